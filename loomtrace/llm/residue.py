@@ -53,6 +53,7 @@ SCRIPTS = (
 )
 WEAK = r"query .{0,30} timed out|(?:please )?(?:try|load|reload)\b.{0,60}|(?:our team|we) (?:has been told|have been told).{0,60}|go back\b.{0,40}|vuelva a intentarlo.{0,40}|réessayez.{0,40}|versuchen sie es.{0,40}|loading…?\.{0,3}|just a moment…?\.{0,3}|incident .{0,30}|(?:request|ray) [\w-]+|this takes up to .{0,80}|\w*(?:error|exception): .{0,80}|do not reload\.?|error|fehler|erreur"
 
+FILLER_HINTS = ("placeholder", "sample text", "replace this", "tbd", "asdf", "qwert", "xxx", "blah", "todo", " here", "coming soon", "construction", "new page", "untitled", "page title", "add a title", "blindtext", "beispieltext", "texte d", "texto d", "foo bar", "product name", "item name", "heading", "headline", "paragraph")
 _SLOT = re.compile("|".join(SLOTS))
 _SLOT_HINT = re.compile(r"[{%$<&@\[_]|XX_")
 _EXPLAINS = re.compile(EXPLAINS, re.I)
@@ -61,7 +62,6 @@ _FILLER = re.compile("|".join(FILLER), re.I)
 _ERROR = re.compile("|".join(ERROR), re.I)
 _SCRIPTS = re.compile("|".join(SCRIPTS), re.I)
 _WEAK = re.compile(WEAK, re.I)
-_WORD = re.compile(r"[^\W\d_]+")
 _CODE = re.compile(r"^\s*(?:for |if |def |return |import |class |SELECT |[\[{]\s*\"|\w+ [+-]?= )|\bWHERE\b|;$")
 _PARTS = re.compile(r"(?<=[.!?…])\s+")
 _PREFIX = re.compile(r"^\w*(?:Error|Exception|Fehler|Erreur)\s?: ")
@@ -85,10 +85,11 @@ def slotted(line: str) -> bool:
 
 def filler(line: str) -> bool:
     """Text that only fills the place of content."""
-    if _FILLER.search(line.strip()):
+    low = line.lower()
+    if any(x in low for x in FILLER_HINTS) and _FILLER.search(line.strip()):
         return True
-    words = [w.lower() for w in _WORD.findall(line)]
-    return len(words) >= 3 and ("lorem" in words or len(words) >= 8) and sum(w in LOREM for w in words) >= 0.3 * len(words)
+    words = low.replace(".", " ").replace(",", " ").split()
+    return len(words) >= 3 and sum(w in LOREM for w in words) >= 0.3 * len(words) and ("lorem" in words or len(words) >= 8)
 
 
 def judged(line: str) -> int:
