@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm import conversations, packing, page_body, pieces, repeats, residue, tokens
+from loomtrace.llm import conversations, packing, page_body, pieces, repeats, replies, residue, tokens
 from loomtrace.llm.common import small_batches, table
 from loomtrace.session import ship
 
@@ -51,6 +51,11 @@ def p3_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.kept_steps(table(spark, sf_dir, "steps"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return replies.defects(table(spark, sf_dir, "model_replies"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     return conversations.conversations(spark, f"{sf_dir}/messages.parquet").select("run_id", "turn", "message_id")
