@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm import conversations, packing, page_body, pieces, repeats, replies, residue, tokens
+from loomtrace.llm import abuse, conversations, packing, page_body, pieces, repeats, replies, residue, tokens
 from loomtrace.llm.common import small_batches, table
 from loomtrace.session import ship
 
@@ -91,6 +91,21 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(packing.containers(sizes, "doc_id", "n_tokens", capacity), capacity)
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return abuse.flagged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "abuse_labels"))
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return abuse.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "abuse_labels"))
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return abuse.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "abuse_labels"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k.startswith("p") and "_" in k and k[1].isdigit() and callable(v)}
 
