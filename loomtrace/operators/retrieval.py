@@ -103,15 +103,16 @@ def validation_selection(ranked: DataFrame, key: str, score: str, outcome: str,
     """(key, part, place): tasks on which a memory is tried: the best-ranked failures and success, filled up by rank,
     and as controls the worst-ranked successes not among them, filled up from the end. Ties go to the smaller key.
 
-    Ranks come from one sort; every later step works on at most failures + successes + controls rows of each kind."""
-    want = failures + successes
-    r = ranked.withColumn("up", F.row_number().over(W.orderBy(F.round(score, 9).desc(), key))).withColumn("kind", F.when(F.col(outcome) == 0, 0).when(F.col(outcome) == 1, 1).otherwise(2))
-    # candidates: enough of each kind from either end, and enough of all
-    by_up = r.withColumn("n_up", F.row_number().over(W.partitionBy("kind").orderBy("up"))).withColumn("n_down", F.row_number().over(W.partitionBy("kind").orderBy(F.desc("up"))))
-    total = want + controls
-    top = by_up.where((F.col("up") <= 2 * total) | (F.col("n_up") <= total) | (F.col("n_down") <= total))
-    last = by_up.orderBy(F.desc("up")).limit(2 * total)
-    near = top.unionByName(last).dropDuplicates([key])
+    Only candidates are ranked: the best and worst few of all, of the failures and of the successes, each a top-n, so no
+    task sorts all rows."""
+    want, total = failures + successes, failures + successes + controls
+    r = ranked.withColumn("kind", F.when(F.col(outcome) == 0, 0).when(F.col(outcome) == 1, 1).otherwise(2)).withColumn("r_", F.round(score, 9))
+    best, worst = [F.desc("r_"), F.asc(key)], [F.asc("r_"), F.desc(key)]
+    near = r.orderBy(*worst).limit(2 * total)
+    for part in (r.orderBy(*best).limit(total), *(r.where(F.col("kind") == k).orderBy(*o).limit(n) for k in (0, 1) for o, n in ((best, total), (worst, 2 * total)))):
+        near = near.unionByName(part)
+    near = near.dropDuplicates([key]).withColumn("up", F.row_number().over(W.orderBy(*best)))
+    near = near.withColumn("n_up", F.row_number().over(W.partitionBy("kind").orderBy("up")))
     first = F.when((F.col("kind") == 0) & (F.col("n_up") <= failures), 0).when((F.col("kind") == 1) & (F.col("n_up") <= successes), 1).otherwise(2)
     a = near.withColumn("phase", first).withColumn("place", F.row_number().over(W.orderBy("phase", "up")))
     related = a.where(F.col("place") <= want).select(key, F.lit("related").alias("part"), "place")

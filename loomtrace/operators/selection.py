@@ -40,6 +40,14 @@ def positions(df: DataFrame, order: list[str]) -> DataFrame:
     return kept.withColumn("pos", offset + within).drop("part_", "mono_")
 
 
+def ranked(df: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """Adds `turn` (rank from 1 within the group) and `n` (the group's rows): row_number for groups of any size. Positions
+    come from a range partitioning by group and order, so a group with a third of all rows spreads over many tasks."""
+    p = positions(df, [group, *order])
+    ends = p.groupBy(group).agg(F.min("pos").alias("first_"), F.count(F.lit(1)).alias("n"))
+    return p.join(ends, group).withColumn("turn", F.col("pos") - F.col("first_") + 1).drop("pos", "first_")
+
+
 def batches(df: DataFrame, order: list[str], size: int) -> DataFrame:
     """L2: adds `batch`, fixed-size slices of the order."""
     return positions(df, order).withColumn("batch", F.floor(F.col("pos") / size))
@@ -65,7 +73,8 @@ def proportional(df: DataFrame, stratum: str, order: Column, n: int) -> DataFram
     counts = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("size"))
     total = counts.agg(F.sum("size").alias("s")).first()["s"] or 1
     quota = counts.withColumn("quota", F.bround(F.lit(n) * F.col("size") / F.lit(total)).cast("int")).drop("size")
-    return df.join(F.broadcast(quota), stratum).withColumn("turn", F.row_number().over(W.partitionBy(stratum).orderBy(order))).where(F.col("turn") <= F.col("quota"))
+    few = df.withColumn("turn", F.row_number().over(W.partitionBy(stratum).orderBy(order))).where(F.col("turn") <= n).drop("turn")  # a limit per group that is applied before the shuffle
+    return few.join(quota, stratum).withColumn("turn", F.row_number().over(W.partitionBy(stratum).orderBy(order))).where((F.col("turn") <= n) & (F.col("turn") <= F.col("quota")))
 
 
 def one_of(df: DataFrame, group: str, order: Column) -> DataFrame:

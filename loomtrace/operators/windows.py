@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 
 def newest_first(df: DataFrame, group: str, order: str, size: Column, most: int) -> DataFrame:
-    """The newest rows of each group whose sizes fit the budget, at least one, up to the first that doesn't."""
+    """The newest rows of each group whose sizes (at least 1) fit the budget, at least one row, up to the first that doesn't.
+
+    No more than `most` rows can fit, so a limit per group comes before the shuffle and bounds what a task sorts."""
     w = W.partitionBy(group).orderBy(F.desc(order))
-    used = df.withColumn("used", F.sum(size).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("back", F.row_number().over(w))
+    few = df.withColumn("back", F.row_number().over(w)).where(F.col("back") <= most + 1)
+    used = few.withColumn("used", F.sum(size).over(w.rowsBetween(W.unboundedPreceding, 0)))
     return used.where((F.col("used") <= most) | (F.col("back") == 1)).drop("back")
 
 
@@ -38,8 +41,10 @@ def round_robin_budget(df: DataFrame, group: str, verb: Column, order: str, size
 
 
 def group_advantage(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """A value less the mean of its group; sums to zero in each."""
-    return df.withColumn("advantage", F.col(value) - F.avg(value).over(W.partitionBy(*by)))
+    """A value less the mean of its group; sums to zero in each. The mean is aggregated and joined, so that a
+    group with a third of all rows is neither sorted nor held by one task."""
+    means = df.groupBy(*by).agg(F.avg(value).alias("mean_"))
+    return df.join(means, by).withColumn("advantage", F.col(value) - F.col("mean_")).drop("mean_")
 
 
 def marginal(df: DataFrame, group: str, order: str, value: str, baseline: float) -> DataFrame:
@@ -61,10 +66,12 @@ def strikes(df: DataFrame, group: str, order: str, bad: Column, most: int = 3) -
     return r.withColumn("streak", F.when(F.col("bad"), streak).otherwise(0)).withColumn("out", F.col("streak") >= most).drop("island")
 
 
-def crossings(df: DataFrame, group: str, order: str, size: str, every: int = 8) -> DataFrame:
-    """The rows at which a growing size passes a multiple of `every`, once per crossing."""
-    before = F.coalesce(F.lag(size).over(W.partitionBy(group).orderBy(order)), F.lit(0))
-    return df.withColumn("before", before).where(F.floor(F.col(size) / every) > F.floor(F.col("before") / every))
+def crossings(df: DataFrame, group: str, place: str, size: str, every: int = 8) -> DataFrame:
+    """The rows at which a growing size passes a multiple of `every`, once per crossing. `place` counts the rows of a
+    group from 1; the row before comes by a join on (group, place)."""
+    before = df.select(group, (F.col(place) + 1).alias(place), F.col(size).alias("before"))
+    j = df.join(before, [group, place], "left").withColumn("before", F.coalesce("before", F.lit(0)))
+    return j.where(F.floor(F.col(size) / every) > F.floor(F.col("before") / every))
 
 
 def recent(df: DataFrame, group: str, position: str, item: Column, window: int = 20) -> DataFrame:
