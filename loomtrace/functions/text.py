@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words left out of retrieval (T1, first list) and of ranking and hashing (second list).
 RETRIEVAL_STOPWORDS = (
@@ -155,7 +156,7 @@ def hashed_bag(words: Column, dim: int = 16) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: F.coalesce(F.try_divide(F.size(F.filter(hit, lambda h: h == b)).cast("double"), n.cast("double")), F.lit(0.0)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json(text: pd.Series) -> pd.Series:
     """JSON with sorted keys and without the keys that name an instance; null stays null, other text as it is."""
 

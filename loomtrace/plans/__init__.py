@@ -1,4 +1,4 @@
 """Queries by area. Importing the package registers them."""
 
-from loomtrace.plans import evaluation, ordered, retrieval, selection  # noqa: F401
+from loomtrace.plans import banks, evaluation, ordered, records, retrieval, selection  # noqa: F401
 from loomtrace.plans.registry import QUERIES, SQL  # noqa: F401

@@ -31,10 +31,10 @@ def _batches(spark, d):
     return r.withColumn("batch", F.floor((F.col("turn") - 1) / 8)).groupBy("model", "batch").agg(F.avg("reward").alias("rate"))
 
 
-@query(f"WITH {TRAJ}, b AS (SELECT model, row_number() OVER (PARTITION BY model ORDER BY started_at, run_id) - 1 AS i, reward FROM traj WHERE reward IS NOT NULL AND model IS NOT NULL AND started_at IS NOT NULL), g AS (SELECT model, i // 8 AS batch, avg(reward) AS rate FROM b GROUP BY ALL) SELECT model, batch, round(rate - avg(rate) OVER (PARTITION BY batch), 6) AS advantage FROM g")
+@query(f"WITH {TRAJ}, b AS (SELECT model, row_number() OVER (PARTITION BY model ORDER BY started_at, run_id) - 1 AS i, reward FROM traj WHERE reward IS NOT NULL AND model IS NOT NULL AND started_at IS NOT NULL), g AS (SELECT model, i // 8 AS batch, avg(reward) AS rate FROM b GROUP BY ALL) SELECT model, batch, round(rate - avg(rate) OVER (PARTITION BY batch), 8) AS advantage FROM g")
 def batch_index_advantage(spark, d):
     """Against the same batch of the other models."""
-    return windows.group_advantage(_batches(spark, d), ["batch"], "rate").select("model", "batch", F.round("advantage", 6).alias("advantage"))
+    return windows.group_advantage(_batches(spark, d), ["batch"], "rate").select("model", "batch", F.round("advantage", 8).alias("advantage"))
 
 
 @query(f"WITH {STEP}, s AS (SELECT run_id, \"index\", action['action'] AS act FROM st) SELECT run_id, \"index\", (SELECT coalesce(string_agg(b.act, ',' ORDER BY b.\"index\"), '') FROM s b WHERE b.run_id = a.run_id AND b.\"index\" BETWEEN a.\"index\" - 20 AND a.\"index\" - 1) AS recent FROM s a")
