@@ -22,14 +22,13 @@ def two_ended(df: DataFrame, group: str, order: str, size: Column, most: int) ->
 
     Adds `kept`; a group that fits is kept whole. The row that doesn't fit ends the taking, as do all after it."""
     g = W.partitionBy(group)
-    r = df.withColumn("n", F.count(F.lit(1)).over(g)).withColumn("i", F.row_number().over(g.orderBy(order))).withColumn("size_", size)
-    tail = F.col("n") - F.col("i")  # 0 for the last
-    head = F.col("i") - 1
+    r = df.withColumn("n_", F.count(F.lit(1)).over(g)).withColumn("i_", F.row_number().over(g.orderBy(order))).withColumn("size_", size)
+    tail = F.col("n_") - F.col("i_")  # 0 for the last
+    head = F.col("i_") - 1
     # takes go tail0, head0, tail1, head1, ...: a row is reached from the nearer end
-    turn = F.least(2 * tail, 2 * head + 1)
-    r = r.withColumn("turn", turn)
-    used = F.sum("size_").over(g.orderBy("turn").rowsBetween(W.unboundedPreceding, 0))
-    return r.withColumn("kept", (F.sum("size_").over(g) <= most) | (used <= most)).drop("turn", "size_", "i")
+    r = r.withColumn("turn_", F.least(2 * tail, 2 * head + 1))
+    used = F.sum("size_").over(g.orderBy("turn_").rowsBetween(W.unboundedPreceding, 0))
+    return r.withColumn("kept", (F.sum("size_").over(g) <= most) | (used <= most)).drop("turn_", "size_", "i_", "n_")
 
 
 def round_robin_budget(df: DataFrame, group: str, verb: Column, order: str, size: Column, most: int) -> DataFrame:
