@@ -12,10 +12,9 @@ hashes, never the elements, and the JVM slices the lists.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,41 +101,48 @@ def text_pieces(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
     return cuts(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), *text_boundaries(text), size, overlap)
 
 
-def split_texts(df: DataFrame, key: str, text: Column, size: int, overlap: int) -> DataFrame:
-    """key, piece_no, begin, end, piece for the texts longer than `size` code points; only these leave the JVM."""
-    long = df.select(key, text.alias("text")).where(F.length("text") > size).groupBy(key).agg(F.first("text").alias("text"))
+PARTS = "ARRAY<STRUCT<begin: INT, end: INT>>"
+
+
+def _as_lists(parts: list[list[tuple[int, int]]]) -> pd.Series:
+    return pd.Series([[{"begin": b, "end": e} for b, e in p] for p in parts])
+
+
+def text_parts(size: int, overlap: int):
+    """A UDF (text) -> the pieces' places; only the text leaves the JVM, and only the places come back."""
+
+    @F.pandas_udf(PARTS)
+    def places(text: pd.Series) -> pd.Series:
+        return _as_lists([text_pieces(t, size, overlap) for t in text])
+
+    return places
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows: tuple[list, ...] = ([], [], [], [], [])
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for no, (x, y) in enumerate(text_pieces(t, size, overlap)):
-                    for col, v in zip(rows, (k, no, x, y, t[x:y])):
-                        col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], b.column(0).type), *(pa.array(r, pa.int32()) for r in rows[1:4]), pa.array(rows[4], pa.string())], names=[key, "piece_no", "begin", "end", "piece"])
 
-    kind = dict(df.dtypes)[key]
-    return long.mapInArrow(run, f"`{key}` {kind}, piece_no INT, begin INT, end INT, piece STRING")
+def list_parts(size: int, overlap: int):
+    """The same for lists, from the hashes of their elements and of what groups them."""
+
+    @F.pandas_udf(PARTS)
+    def places(hashes: pd.Series, marks: pd.Series) -> pd.Series:
+        return _as_lists([cuts(np.asarray(h, np.int64).view(np.uint64), *group_boundaries(np.asarray(m, np.int64)), size, overlap) for h, m in zip(hashes, marks)])
+
+    return places
+
+
+def split_texts(df: DataFrame, key: str, text: Column, size: int, overlap: int) -> DataFrame:
+    """key, piece_no, begin, end, piece for the texts longer than `size` code points, per row; the JVM slices the texts, and a
+    caller that needs no text shuffles none."""
+    long = df.select(key, text.alias("text")).where(F.length("text") > size).withColumn("parts", text_parts(size, overlap)("text"))
+    return long.select(key, "text", F.posexplode("parts").alias("piece_no", "part")).select(
+        key, "piece_no", F.col("part.begin").alias("begin"), F.col("part.end").alias("end"), F.substring("text", F.col("part.begin") + 1, F.col("part.end") - F.col("part.begin")).alias("piece")
+    )
 
 
 def split_lists(df: DataFrame, key: str, items: Column, group: str | None, size: int, overlap: int) -> DataFrame:
     """key, piece_no, begin, end, items for the lists longer than `size`. `group` names the field of an element whose change is a natural boundary."""
-    long = df.select(key, items.alias("items")).where(F.size("items") > size).groupBy(key).agg(F.first("items").alias("items"))
+    long = df.select(key, items.alias("items")).where(F.size("items") > size)
+    hashes = F.transform("items", lambda e: F.xxhash64(e))
     marks = F.transform("items", lambda e: F.xxhash64(e[group]) if group else F.lit(0).cast("bigint"))
-    hashed = long.select("*", F.transform("items", lambda e: F.xxhash64(e)).alias("hashes"), marks.alias("marks"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            c = dict(zip(b.schema.names, b.columns))
-            parts = []
-            for h, m in zip(c["hashes"], c["marks"]):
-                units, kinds = h.values.to_numpy(), m.values.to_numpy()
-                parts.append([{"begin": x, "end": y} for x, y in cuts(units.view(np.uint64), *group_boundaries(kinds), size, overlap)])
-            yield pa.RecordBatch.from_arrays([c[key], pa.array(parts, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))], names=[key, "parts"])
-
-    kind = dict(df.dtypes)[key]
-    where = hashed.select(key, "hashes", "marks").mapInArrow(run, f"`{key}` {kind}, parts ARRAY<STRUCT<begin: INT, end: INT>>")
-    return long.join(where, key).select(key, "items", F.posexplode("parts").alias("piece_no", "part")).select(
+    return long.withColumn("parts", list_parts(size, overlap)(hashes, marks)).select(key, "items", F.posexplode("parts").alias("piece_no", "part")).select(
         key, "piece_no", F.col("part.begin").alias("begin"), F.col("part.end").alias("end"), F.slice("items", F.col("part.begin") + 1, F.col("part.end") - F.col("part.begin")).alias("items")
     )
 
@@ -146,12 +152,8 @@ def limits(size_limits: DataFrame) -> dict[str, tuple[int, int]]:
     return {r["field"]: (int(r["max_size"]), int(r["overlap"])) for r in size_limits.collect() if r["field"] and r["max_size"]}
 
 
-def observation_pieces(steps: DataFrame, size_limits: DataFrame) -> DataFrame:
-    """step_id, field, piece_no, begin, end, piece, items: the ordered pieces of each oversized field of a step, once per step.
-
-    Null, empty and fitting fields have no pieces; a text without any white space is cut at the limit; null elements
-    count as elements; further columns are ignored.
-    """
+def _all_pieces(steps: DataFrame, size_limits: DataFrame) -> DataFrame:
+    """The pieces of every delivered row."""
     by = limits(size_limits)
     known = steps.where("step_id IS NOT NULL")
     text = split_texts(known, "step_id", F.col("observation.text"), *by["observation.text"])
@@ -162,6 +164,15 @@ def observation_pieces(steps: DataFrame, size_limits: DataFrame) -> DataFrame:
     )
 
 
+def observation_pieces(steps: DataFrame, size_limits: DataFrame) -> DataFrame:
+    """step_id, field, piece_no, begin, end, piece, items: the ordered pieces of each oversized field of a step, once per step.
+
+    Null, empty and fitting fields have no pieces; a text without any white space is cut at the limit; null elements
+    count as elements; further columns are ignored.
+    """
+    return _all_pieces(steps, size_limits).dropDuplicates(["step_id", "field", "piece_no"])
+
+
 def oversized(steps: DataFrame, size_limits: DataFrame) -> DataFrame:
-    """step_id, field of what had to be cut: the fields with a second piece."""
-    return observation_pieces(steps, size_limits).where("piece_no = 1").select("step_id", "field")
+    """step_id, field of what had to be cut: the fields with a second piece. Only these two columns are shuffled."""
+    return _all_pieces(steps, size_limits).where("piece_no = 1").select("step_id", "field").distinct()
