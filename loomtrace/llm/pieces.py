@@ -115,7 +115,7 @@ def text_parts(size: int, overlap: int):
     def places(text: pd.Series) -> pd.Series:
         return _as_lists([text_pieces(t, size, overlap) for t in text])
 
-    return places
+    return places.asNondeterministic()  # else the optimizer evaluates it twice, once to see that the list is not empty
 
 
 def list_parts(size: int, overlap: int):
@@ -125,7 +125,7 @@ def list_parts(size: int, overlap: int):
     def places(hashes: pd.Series, marks: pd.Series) -> pd.Series:
         return _as_lists([cuts(np.asarray(h, np.int64).view(np.uint64), *group_boundaries(np.asarray(m, np.int64)), size, overlap) for h, m in zip(hashes, marks)])
 
-    return places
+    return places.asNondeterministic()  # else the optimizer evaluates it twice, once to see that the list is not empty
 
 
 def split_texts(df: DataFrame, key: str, text: Column, size: int, overlap: int) -> DataFrame:
