@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of what is fitted on.
-MAX_LABELLED, MAX_UNLABELLED = 6000, 6000
+MAX_LABELLED, MAX_UNLABELLED = 6000, 4000
 #: Hashed features, rounds of choosing positives, steps of the optimiser in each.
 BITS, ROUNDS, STEPS = 18, 3, 120
 #: The prior to begin with, as a share of what the labelled documents, which are picked, would make it; it never falls below.
@@ -157,20 +158,18 @@ class Sentences:
     """Sentences of documents as one sparse array."""
 
     def __init__(self, texts: list[str | None]):
-        ids: list[int] = []
-        starts: list[int] = []
-        docs: list[int] = []
+        ids, starts, docs = array("i"), array("i"), array("i")
         for d, t in enumerate(texts):
             for s in sentences(t):
                 starts.append(len(ids))
                 docs.append(d)
-                ids += sentence_features(s)
-        self.ids = np.array(ids, np.int64)
+                ids.extend(sentence_features(s))
+        self.ids = np.frombuffer(ids, np.int32) if ids else np.empty(0, np.int32)
         self.starts = np.array(starts, np.int64)
         self.docs = np.array(docs, np.int64)
         lengths = np.diff(np.append(self.starts, len(ids)))
         self.scale = 1 / np.sqrt(np.maximum(lengths, 1)) if len(starts) else np.empty(0)
-        self.row = np.repeat(np.arange(len(starts)), lengths)
+        self.row = np.repeat(np.arange(len(starts), dtype=np.int32), lengths)
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -191,7 +190,7 @@ class Sentences:
         lengths = lengths[keep]
         out.starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64) if len(lengths) else np.empty(0, np.int64)
         out.docs, out.scale = self.docs[keep], self.scale[keep]
-        out.row = np.repeat(np.arange(len(lengths)), lengths)
+        out.row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         return out
 
 
