@@ -148,12 +148,23 @@ def optional_string(text: Column) -> Column:
     return F.when((t != "") & (F.lower(t) != "null"), t)
 
 
-def hashed_bag(words: Column, dim: int = 16) -> Column:
-    """Shares of the words by md5 modulo dim (a power of 16); all zeros without words."""
-    digits = {16: 1, 256: 2}[dim]
-    n = F.size(words)
-    hit = F.transform(words, lambda w: F.conv(F.right(F.md5(w), F.lit(digits)), 16, 10).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: F.coalesce(F.try_divide(F.size(F.filter(hit, lambda h: h == b)).cast("double"), n.cast("double")), F.lit(0.0)))
+def hashed_bag(words: Column) -> Column:
+    """Shares of the words by md5 modulo 16, the digest's last digit; all zeros without words.
+
+    The last digits are joined to one string, of which each bucket counts its digit. `once` binds that string, so that
+    words are found and hashed once and not for every bucket."""
+    digits = F.array_join(F.transform(words, lambda w: F.right(F.md5(w), F.lit(1))), "")
+
+    def shares(s: Column) -> Column:
+        n = F.length(s)
+        return F.array(*[F.coalesce(F.try_divide((n - F.length(F.replace(s, F.lit(d)))).cast("double"), n.cast("double")), F.lit(0.0)) for d in "0123456789abcdef"])
+
+    return once(digits, shares)
+
+
+def once(value: Column, use) -> Column:
+    """use(value), with the value computed once however often `use` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 @F.pandas_udf(StringType())

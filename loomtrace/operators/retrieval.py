@@ -21,7 +21,8 @@ VECTOR_BLOCK = 4096
 def postings(docs: DataFrame, key: str, words: Column) -> DataFrame:
     """K8: (key, term, tf, dl), the materialised index. Documents without words have no postings."""
     w = docs.select(key, words.alias("words"))
-    return w.select(key, F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    # the outer explode keeps the optimizer from finding the words a second time, to filter out empty lists
+    return w.select(key, F.size("words").alias("dl"), F.explode_outer("words").alias("term")).where("term IS NOT NULL").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
 def query_terms(queries: DataFrame, key: str, words: Column) -> DataFrame:
@@ -37,14 +38,14 @@ def small_side(df: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
 def bm25_scores(queries: DataFrame, q_key: str, q_words: Column, docs: DataFrame, d_key: str, d_words: Column) -> DataFrame:
     """O1: (q_key, d_key, score) of every pair that shares a term.
 
-    Only postings of query terms take part in the join; terms are first restricted, then counted, so the heavy side is
-    read once and shuffled by term only for the document frequencies."""
+    Only postings of query terms take part in the join; they are counted before they are shuffled by document."""
     terms = query_terms(queries, q_key, q_words)
     whole = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(d_words)).alias("avgdl")).first()  # two numbers
     n, avgdl = whole["n"], max(whole["avgdl"] or 0.0, 1.0)
     wanted = small_side(terms.select("term").distinct())
     hits = postings(docs, d_key, d_words).join(wanted, "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # a document is one row, so the terms' document frequencies need no shuffle by document
+    df = docs.select(F.explode_outer(F.array_distinct(d_words)).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     rated = terms.join(df, "term").withColumn("idf", F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     norm = K1 * (1 - B + B * F.col("dl") / F.lit(float(avgdl)))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm) * F.col("weight")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomtrace.functions.text import RANKING_STOPWORDS, RETRIEVAL_STOPWORDS, tokens
 from loomtrace.operators import retrieval, similarity
 from loomtrace.plans.registry import TRAJ, query, runs, table
-from loomtrace.session import cut_lineage, ship
+from loomtrace.session import cut_lineage, ship, spread
 
 #: The memory candidate that is looked up where an operator takes one query.
 CANDIDATE = "ticket transfers and refund windows on the help page of the harbour library"
@@ -34,7 +34,7 @@ _RANK = f"doc AS (SELECT doc_id, {toks('text', RANKING_STOPWORDS)} AS ws FROM do
 )
 def bm25_topk(spark, d):
     """The three best documents for each task's instruction, the source counted twice."""
-    docs, tasks = table(spark, d, "documents"), table(spark, d, "tasks")
+    docs, tasks = spread(table(spark, d, "documents")), table(spark, d, "tasks")
     words = tokens(F.concat_ws(" ", "source", "source", "text"), RETRIEVAL_STOPWORDS)
     s = retrieval.bm25_scores(tasks, "id", tokens(F.col("instruction"), RETRIEVAL_STOPWORDS), docs, "doc_id", words)
     return retrieval.top_k(s, "id", "doc_id", 3).select("id", "doc_id", F.round("score", 6).alias("score"), "rank")
@@ -46,7 +46,7 @@ def bm25_topk(spark, d):
 )
 def bm25_rank_all(spark, d):
     """O2: every document's score for one memory candidate, zeros kept."""
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents"))
     q = spark.createDataFrame([(0, CANDIDATE)], "id INT, text STRING")
     s = retrieval.bm25_scores(q, "id", tokens(F.col("text"), RANKING_STOPWORDS), docs, "doc_id", tokens(F.col("text"), RANKING_STOPWORDS))
     return docs.select("doc_id").join(s.select("doc_id", "score"), "doc_id", "left").select("doc_id", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))

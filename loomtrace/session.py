@@ -68,3 +68,9 @@ def ship(spark: SparkSession) -> None:
     path.write_bytes(packed.getvalue())
     sc.addPyFile(str(path))
     sc._loomtrace_shipped = True
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table that comes in fewer splits than half the cores (one small file) dealt out to all; any larger one as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df._jdf.rdd().getNumPartitions() <= cores else df
