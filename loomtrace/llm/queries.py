@@ -7,16 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm import abuse, conversations, packing, page_body, pieces, repeats, replies, residue, tokens
-from loomtrace.llm.common import small_batches, table
-from loomtrace.session import ship
+from loomtrace.llm import abuse, common, conversations, packing, page_body, pieces, repeats, replies, residue, tokens
+from loomtrace.session import ship, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; those with page and document texts spread over the cores where they are a single small file."""
+    t = common.table(spark, sf_dir, name)
+    return spread(t) if name in ("steps", "documents", "model_replies") else t
+
+
 def ready(spark: SparkSession) -> None:
     ship(spark)
-    small_batches(spark)
+    common.small_batches(spark)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
