@@ -37,9 +37,10 @@ FILLER = (
     r"placeholder (?:copy|text|content)\b.{0,60}$", r"^sample text\.? (?:please )?replace\b", r"\breplace this (?:paragraph|text|sentence)\b", r"^(?:tbd[.\s]*)+$", r"\basdf\b.*\basdf\b|\bqwertz?y? qwert", r"^(?:x{3,}[\s.,]*){2,}$",
     r"\bblah[, ]+blah\b", r"\b(?-i:TODO):? (?:write|add|insert|fill|describe|translate|replace|text|content|error)\b", r"\b(?:your|insert) (?:text|title|content|description|name) here\b", r"^(?:coming soon|under construction|new page|untitled document|page title|add a title)[.!…]*$",
     r"^(?:hier steht|hier kommt) (?:ein )?(?:blindtext|beispieltext)|^dies ist ein blindtext|\bblindtext\b.{0,40}$", r"^texte? (?:d'exemple|de relleno|de ejemplo)\b", r"\bfoo bar baz\b", r"^(?:product name|item name|heading|headline|paragraph) \d+$",
+    r"\b(?:goes|go|comes) here\b[.!]?$", r"^(?:please )?(?:enter|add|type|put|insert|write|describe) (?:a|an|your|some|the) [\w ,-]{0,40}\b(?:here|to this section|in this section|for this page)[.!]?$", r"\btexte provisoire\b|\btexte à remplacer\b|\b(?:platzhalter|muster|füll)text\b|\btexto (?:provisional|de muestra|de relleno)\b|\bcontenido pendiente\b|\bhier text (?:einfügen|eingeben)\b", r"\b(\w{3,})(?:\s+\1\b){3,}",
 )
 ERROR = (
-    r"(?:http )?(?:status|error|fehler|erreur|code)\s*[:#]?\s*\d{3}(?:\s*[–:-]?\s*[\w' ]{0,40})?", r"\d{3}\s*[–:-]?\s*(?:internal server error|not found|forbidden|bad gateway|service unavailable|unauthori[sz]ed|bad request|gateway time-?out|not acceptable|too many requests|gone)",
+    r"http status \d+(?:\s*[–:-].{0,60})?|.{0,60}\(http \d{3}\)", r"(?:http )?(?:status|error|fehler|erreur|code)\s*[:#]?\s*\d{3}(?:\s*[–:-]?\s*[\w' ]{0,40})?", r"\d{3}\s*[–:-]?\s*(?:internal server error|not found|forbidden|bad gateway|service unavailable|unauthori[sz]ed|bad request|gateway time-?out|not acceptable|too many requests|gone)",
     r"(?:internal server error|bad gateway|service unavailable|gateway time-?out)(?:\s*[–-].*)?", r"(?:page|seite|file) not found(?:\. .{0,70})?|seite nicht gefunden|page (?:introuvable|non trouvée)|página no encontrada|404",
     r"access denied|access to this page (?:is|was) denied|forbidden|acceso denegado|accès refusé|zugriff verweigert", r"(?:oops|whoops|hoppla|oups|uy|vaya)\b.{0,70}", r"(?:sorry, )?something went wrong.{0,60}|(?:ha ocurrido|se ha producido) un error.{0,60}|une erreur (?:est survenue|s'est produite).{0,60}|ein fehler ist aufgetreten.{0,60}|etwas ist schiefgelaufen.{0,60}",
     r"service (?:is )?(?:temporarily |currently )?unavailable.{0,60}|service momentanément indisponible.{0,40}|(?:der )?dienst (?:ist )?(?:vorübergehend|derzeit) nicht verfügbar.{0,40}|servicio (?:temporalmente )?no disponible.{0,40}", r"(?:we are |we're )?temporarily offline.{0,40}|offline", r"we['’]ll be right back.{0,40}|(?:we are|we're) (?:currently )?down for maintenance.{0,60}|scheduled works are under way.{0,40}|under maintenance.{0,40}",
@@ -53,7 +54,7 @@ SCRIPTS = (
 )
 WEAK = r"query .{0,30} timed out|(?:please )?(?:try|load|reload)\b.{0,60}|(?:our team|we) (?:has been told|have been told).{0,60}|go back\b.{0,40}|vuelva a intentarlo.{0,40}|réessayez.{0,40}|versuchen sie es.{0,40}|loading…?\.{0,3}|just a moment…?\.{0,3}|incident .{0,30}|(?:request|ray) [\w-]+|this takes up to .{0,80}|\w*(?:error|exception): .{0,80}|do not reload\.?|error|fehler|erreur"
 
-FILLER_HINTS = ("placeholder", "sample text", "replace this", "tbd", "asdf", "qwert", "xxx", "blah", "todo", " here", "coming soon", "construction", "new page", "untitled", "page title", "add a title", "blindtext", "beispieltext", "texte d", "texto d", "foo bar", "product name", "item name", "heading", "headline", "paragraph")
+FILLER_HINTS = ("placeholder", "sample text", "replace this", "tbd", "asdf", "qwert", "xxx", "blah", "todo", " here", "coming soon", "construction", "new page", "untitled", "page title", "add a title", "blindtext", "beispieltext", "texte d", "texto d", "foo bar", "product name", "item name", "heading", "headline", "paragraph", "section", "provisoire", "remplacer", "text", "pendiente", "for this page")
 _SLOT = re.compile("|".join(SLOTS))
 _SLOT_HINT = re.compile(r"[{%$<&@\[_]|XX_")
 _EXPLAINS = re.compile(EXPLAINS, re.I)
