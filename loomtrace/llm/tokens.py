@@ -10,6 +10,7 @@ overlap (one word longer than it), the text is encoded whole. Decoding concatena
 from __future__ import annotations
 
 import base64
+import hashlib
 import importlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -91,25 +92,26 @@ def encode_long(text: str, path: str, pattern: str) -> list[int]:
 
 
 def _chunk_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, chunk_no, n_chunks, begin, chunk: the chunks of the long texts."""
+    """row, key, chunk_no, begin, chunk, copies: the chunks of the long texts. `row` is a digest of key and text, so a task
+    that is run again gives the same; rows with equal ones are counted in `copies`."""
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k, t in zip(b.column(0), b.column(1).to_pylist()):
                 parts = spans(len(t))
+                n, row = len(parts), hashlib.md5(f"{k.as_py()}\0{t}".encode("utf-8", "surrogatepass")).hexdigest()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k.as_py()] * len(parts), b.column(0).type), pa.array(range(len(parts)), pa.int32()), pa.array([len(parts)] * len(parts), pa.int32()),
-                     pa.array([x for x, _ in parts], pa.int32()), pa.array([t[x:y] for x, y in parts], pa.string())],
-                    names=[key, "chunk_no", "n_chunks", "begin", "chunk"],
+                    [pa.array([row] * n), pa.array([k.as_py()] * n, b.column(0).type), pa.array(range(n), pa.int32()), pa.array([x for x, _ in parts], pa.int32()), pa.array([t[x:y] for x, y in parts], pa.string())],
+                    names=["row", key, "chunk_no", "begin", "chunk"],
                 )
 
-    return docs.where(F.length(text) > CHUNK).select(key, text).mapInArrow(run, f"`{key}` {kind}, chunk_no INT, n_chunks INT, begin INT, chunk STRING")
+    rows = docs.where(F.length(text) > CHUNK).select(key, text).mapInArrow(run, f"row STRING, `{key}` {kind}, chunk_no INT, begin INT, chunk STRING")
+    return rows.groupBy("row", "chunk_no").agg(F.first(key).alias(key), F.first("begin").alias("begin"), F.first("chunk").alias("chunk"), F.count(F.lit(1)).alias("copies"))
 
 
-def _edges(chunks: DataFrame, key: str, pattern: str) -> DataFrame:
-    """key, chunk_no, head, tail: the boundaries of each chunk inside the overlaps with its neighbours."""
-    kind = dict(chunks.dtypes)[key]
+def _edges(chunks: DataFrame, pattern: str) -> DataFrame:
+    """row, chunk_no, head, tail: the boundaries of each chunk inside the overlaps with its neighbours."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -118,22 +120,21 @@ def _edges(chunks: DataFrame, key: str, pattern: str) -> DataFrame:
                 at = [begin + p for p in boundaries(chunk, pattern)]
                 heads.append([p for p in at if p < begin + OVERLAP - MARGIN])
                 tails.append([p for p in at if begin + CHUNK - OVERLAP <= p < begin + CHUNK - MARGIN])
-            yield pa.RecordBatch.from_arrays([b.column(key), b.column("chunk_no"), pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))], names=[key, "chunk_no", "head", "tail"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("chunk_no"), pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))], names=["row", "chunk_no", "head", "tail"])
 
-    return chunks.select(key, "chunk_no", "begin", "chunk").mapInArrow(run, f"`{key}` {kind}, chunk_no INT, head ARRAY<INT>, tail ARRAY<INT>")
+    return chunks.select("row", "chunk_no", "begin", "chunk").mapInArrow(run, "row STRING, chunk_no INT, head ARRAY<INT>, tail ARRAY<INT>")
 
 
-def _pieces(chunks: DataFrame, key: str, path: str, pattern: str) -> DataFrame:
-    """key, chunk_no, ids: each chunk's part between its stitches, encoded."""
-    kind = dict(chunks.dtypes)[key]
+def _pieces(chunks: DataFrame, path: str, pattern: str) -> DataFrame:
+    """row, chunk_no, ids: each chunk's part between its stitches, encoded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             c = {n: b.column(n).to_pylist() for n in ("begin", "chunk", "start", "stop")}
             ids = encode_texts([t[x - o : None if y is None else y - o] for o, t, x, y in zip(c["begin"], c["chunk"], c["start"], c["stop"])], path, pattern)
-            yield pa.RecordBatch.from_arrays([b.column(key), b.column("chunk_no"), pa.array(ids, pa.list_(pa.int32()))], names=[key, "chunk_no", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("chunk_no"), pa.array(ids, pa.list_(pa.int32()))], names=["row", "chunk_no", "ids"])
 
-    return chunks.select(key, "chunk_no", "begin", "chunk", "start", "stop").mapInArrow(run, f"`{key}` {kind}, chunk_no INT, ids ARRAY<INT>")
+    return chunks.select("row", "chunk_no", "begin", "chunk", "start", "stop").mapInArrow(run, "row STRING, chunk_no INT, ids ARRAY<INT>")
 
 
 def _whole(docs: DataFrame, key: str, text: str, path: str, pattern: str) -> DataFrame:
@@ -157,19 +158,22 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary
     path, pattern = vocabulary or vocabulary_path(), public_tokenizers.PATTERN
     docs = docs.select(key, text)
     short = _whole(docs.where(F.coalesce(F.length(text), F.lit(0)) <= CHUNK), key, text, path, pattern)
-    chunks = cut_lineage(_chunk_rows(docs.where(F.col(key).isNotNull()), key, text).repartition(key, "chunk_no"))
-    edge = cut_lineage(_edges(chunks, key, pattern))
-    left = edge.select(key, (F.col("chunk_no") + 1).alias("chunk_no"), "tail")
-    common = F.array_intersect("tail", "head")
-    stitched = cut_lineage(edge.select(key, "chunk_no", "head").join(left, [key, "chunk_no"]).select(key, "chunk_no", F.array_min(common).alias("at")))
-    broken = stitched.where("at IS NULL").select(key).distinct()
-    starts = stitched.select(key, "chunk_no", F.col("at").alias("start"))
-    stops = stitched.select(key, (F.col("chunk_no") - 1).alias("chunk_no"), F.col("at").alias("stop"))
-    ready = chunks.join(broken, key, "left_anti").join(starts, [key, "chunk_no"], "left").join(stops, [key, "chunk_no"], "left").withColumn("start", F.coalesce("start", F.lit(0)))
-    joined = _pieces(ready, key, path, pattern).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("chunk_no", "ids"))).alias("parts"))
-    long = joined.select(key, F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
-    rest = docs.where(F.length(text) > CHUNK).join(broken, key, "left_semi")
-    return short.unionByName(long).unionByName(_whole(rest, key, text, path, pattern))
+    chunks = cut_lineage(_chunk_rows(docs, key, text))
+    edge = cut_lineage(_edges(chunks, pattern))
+    left = edge.select("row", (F.col("chunk_no") + 1).alias("chunk_no"), "tail")
+    stitched = cut_lineage(edge.select("row", "chunk_no", "head").join(left, ["row", "chunk_no"]).select("row", "chunk_no", F.array_min(F.array_intersect("tail", "head")).alias("at")))
+    broken = stitched.where("at IS NULL").select("row").distinct()
+    starts = stitched.select("row", "chunk_no", F.col("at").alias("start"))
+    stops = stitched.select("row", (F.col("chunk_no") - 1).alias("chunk_no"), F.col("at").alias("stop"))
+    ready = chunks.join(broken, "row", "left_anti").join(starts, ["row", "chunk_no"], "left").join(stops, ["row", "chunk_no"], "left").withColumn("start", F.coalesce("start", F.lit(0)))
+    joined = _pieces(ready, path, pattern).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "ids"))).alias("parts"))
+    keys = chunks.where("chunk_no = 0").select("row", key, F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("copy"))
+    long = joined.join(keys, "row").select(key, F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
+    # texts whose chunks never agree are put together again and encoded whole
+    again = chunks.join(broken, "row", "left_semi").groupBy("row").agg(F.first(key).alias(key), F.array_sort(F.collect_list(F.struct("chunk_no", "chunk"))).alias("c"), F.first("copies").alias("copies")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
+    stride = CHUNK - OVERLAP
+    whole = F.array_join(F.transform("c", lambda e, i: F.when(i + 1 < F.size("c"), F.substring(e["chunk"], 1, stride)).otherwise(e["chunk"])), "")
+    return short.unionByName(long).unionByName(_whole(again.select(key, whole.alias(text)), key, text, path, pattern))
 
 
 def decode(ids: list[int], vocabulary: str | None = None) -> str:

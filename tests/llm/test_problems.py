@@ -246,6 +246,9 @@ def test_ids_equal_the_whole_text_tokenizer(spark):
     for x in texts[5:]:
         assert tokens.encode_long(x, tokens.vocabulary_path(), pt.PATTERN) == t.encode(x, add_special_tokens=False).ids
     assert tokens.encoded(df.limit(0)).count() == 0
+    same = spark.createDataFrame([(None, long), (7, long), (7, long), (7, "a" * 30000)], "doc_id BIGINT, text STRING").withColumn("ids", F.lit("x"))
+    sizes = sorted((r["doc_id"] or 0, len(r["ids"])) for r in tokens.encoded(same).collect())
+    assert sizes == sorted([(0, len(got[7])), (7, len(got[7])), (7, len(got[7])), (7, len(got[5]))])
 
 
 # 8 ---------------------------------------------------------------------------------------------------------------
