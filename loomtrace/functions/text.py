@@ -208,3 +208,36 @@ def closest_hints(most: int = 6, ratio: float = 0.5):
 def next_number(ids: Column, prefix: str = "mem_") -> Column:
     """T13 (aggregate): one more than the largest number among ids of the form prefix + digits."""
     return F.coalesce(F.max(F.regexp_extract(ids, rf"^{prefix}(\d+)$", 1).try_cast("bigint")), F.lit(0)) + 1
+
+
+def listed_actions(text: Column, marker: str) -> Column:
+    """The quoted or comma-separated items after the last marker."""
+    tail = F.substring_index(text, marker, -1)
+    return F.when(F.contains(text, F.lit(marker)), F.filter(F.transform(F.split(tail, ","), lambda x: F.trim(F.regexp_replace(x, r"['\"\[\].\n]", ""))), lambda x: x != "")).otherwise(F.array().cast("array<string>"))
+
+
+def action_code(action: Column) -> Column:
+    """A browser action as a line of code; null for one that addresses another host than a local one by `goto`, or is unknown."""
+    g = lambda k: F.coalesce(F.element_at(action, F.lit(k)), F.lit(""))
+    kind = F.lower(g("action"))
+    local = g("url").rlike(r"^https?://(?:localhost|127\.0\.0\.1|[\w.-]+\.example)(?:[:/]|$)")
+    return (
+        F.when(kind == "click", F.concat(F.lit("click('"), g("ref"), F.lit("')"))).when(kind == "fill", F.concat(F.lit("fill('"), g("ref"), F.lit("', "), F.to_json(F.array(g("text"))), F.lit(")"))).when(kind == "press", F.concat(F.lit("press('"), g("key"), F.lit("')")))
+        .when(kind == "scroll", F.concat(F.lit("scroll("), g("amount"), F.lit(")"))).when(kind == "back", F.lit("go_back()")).when((kind == "goto") & local, F.concat(F.lit("goto('"), g("url"), F.lit("')")))
+    )
+
+
+def guidance(plan: Column, succeeded: Column) -> Column:
+    """A plan as a block under a marker that says how the run before ended."""
+    head = F.when(F.coalesce(succeeded, F.lit(False)), F.lit("[guidance: an earlier run succeeded]")).otherwise(F.lit("[guidance: an earlier run failed]"))
+    return F.concat(head, F.lit("\n"), F.trim(plan))
+
+
+def memory_block(entries: Column) -> Column:
+    """P10: an array of entries as one block: a wrapper around compact JSON, empty without entries."""
+    return F.when(F.size(entries) > 0, F.concat(F.lit("<memories>"), F.to_json(entries), F.lit("</memories>"))).otherwise(F.lit(""))
+
+
+def catalog_text(*parts: Column) -> Column:
+    """The searchable text of an item."""
+    return F.lower(F.concat_ws(" ", *parts))

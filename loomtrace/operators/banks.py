@@ -95,3 +95,31 @@ def next_id(ids: list[str]) -> str:
     """T13 on the driver, for a bank that is at hand."""
     numbers = [int(m.group(1)) for i in ids if (m := re.fullmatch(r"mem_(\d+)", i or ""))]
     return f"mem_{max(numbers, default=0) + 1:06d}"
+
+
+def fold_merging(entries: DataFrame, threshold: float = 0.25, keep: float = 0.9) -> DataFrame:
+    """A chain of drafts folded into a bank that merges: a draft whose words overlap an entry's by the threshold refines
+    the best one (the earliest on ties); where it would lose more than a tenth of the entry's words, the texts are joined.
+
+    entries: chain, position, content. Gives chain, id, content, version. Chains fold in parallel."""
+    from loomtrace.functions.text import RANKING_STOPWORDS
+
+    stop = frozenset(RANKING_STOPWORDS)
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = lambda t: {w for w in re.findall("[a-z0-9]+", t.lower()) if w not in stop}
+        bank: list[list] = []
+        for r in pd.concat(list(batches)).sort_values("position", kind="stable").itertuples(index=False):
+            new = words(r.content or "")
+            score = lambda e: len(new & e[2]) / len(new | e[2]) if new and e[2] else 0.0
+            best = max(bank, key=score, default=None)
+            if best is None or score(best) < threshold:
+                bank.append([r.content or "", 1, new])
+                continue
+            kept = len(best[2] & new) / len(best[2]) if best[2] else 1.0
+            joined = kept < keep and (r.content or "") not in best[0]
+            best[0] = f"{best[0]} {r.content}" if joined else r.content or best[0]
+            best[1], best[2] = best[1] + 1, words(best[0])
+        yield pd.DataFrame([(key[0], f"mem_{i + 1:06d}", e[0], e[1]) for i, e in enumerate(bank)], columns=["chain", "id", "content", "version"])
+
+    return entries.groupBy("chain").applyInPandas(run, "chain STRING, id STRING, content STRING, version INT")
