@@ -110,7 +110,7 @@ def policy_drift(spark, d):
     return rounded(policy.drift(b, "p", "q"), "max_drift", "mean_drift")
 
 
-@query(f"WITH {TRAJ}, g AS (SELECT reward - avg(reward) OVER (PARTITION BY model) AS a, ln(0.25 + CASE WHEN success THEN 0.5 ELSE 0 END) AS lp FROM traj WHERE reward IS NOT NULL) SELECT round(-sum(a * lp), 4) AS pg_term, round(count(*) * 0.5, 4) AS entropy_sum, round(-sum(a * lp) - 0.01 * count(*) * 0.5, 4) AS loss FROM g")
+@query(f"WITH {TRAJ}, g AS (SELECT reward - avg(reward) OVER (PARTITION BY model) AS a, ln(0.25 + CASE WHEN success THEN 0.5 ELSE 0 END) AS lp FROM traj WHERE reward IS NOT NULL) SELECT round(-sum(a * lp), 4) AS pg_term, round(CAST(count(*) AS DOUBLE) * 0.5, 4) AS entropy_sum, round(-sum(a * lp) - 0.01 * count(*) * 0.5, 4) AS loss FROM g")
 def grpo_loss(spark, d):
     """Loss scalars over runs."""
     from loomtrace.operators.windows import group_advantage
@@ -137,7 +137,7 @@ def segment_turns(spark, d):
 
 @query(
     f"""WITH {STEP}, s AS (SELECT run_id, "index", "index" * 40 AS b, "index" * 40 + 25 AS e FROM st), k AS (SELECT run_id, CAST(unnest(range(0, (max("index") + 1) * 40, 7)) AS BIGINT) AS s FROM st GROUP BY run_id)
-    SELECT s.run_id, s."index" AS turn, count(*) AS n, round(sum(-0.01 * (k.s % 13)), 6) AS total FROM s JOIN k ON k.run_id = s.run_id AND k.s < s.e AND k.s + 7 > s.b GROUP BY ALL"""
+    SELECT s.run_id, s."index" AS turn, count(*) AS n, round(sum(CAST(-0.01 AS DOUBLE) * (k.s % 13)), 6) AS total FROM s JOIN k ON k.run_id = s.run_id AND k.s < s.e AND k.s + 7 > s.b GROUP BY ALL"""
 )
 def span_logprob(spark, d):
     """Log-probabilities of the tokens that overlap each turn's span."""
