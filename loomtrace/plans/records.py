@@ -162,14 +162,14 @@ def action_grammar(spark, d):
 
 @query()
 def closest_hint(spark, d):
-    """For each command the objects of all runs that are spelled most alike; needs matching blocks, so no SQL."""
+    """For each target of a run the targets of that run that are spelled most alike; needs matching blocks, so no SQL."""
     from loomtrace.session import ship
 
     ship(spark)
     m = messages(spark, d, F.element_at("action", F.lit("target")).alias("t")).where("t IS NOT NULL")
-    options = m.select(F.regexp_replace("t", r"\s*\d+$", "").alias("o")).distinct().agg(F.sort_array(F.collect_set("o")).alias("options"))
-    words = m.select("t").distinct().withColumn("one", F.lit(1)).join(F.broadcast(options.withColumn("one", F.lit(1))), "one")
-    return words.select("t", tx.closest_hints()(F.col("t"), F.col("options")).alias("h")).select("t", F.array_join("h", ",").alias("hints"))
+    options = m.groupBy("run_id").agg(F.sort_array(F.collect_set(F.regexp_replace("t", r"\s*\d+$", ""))).alias("options"))
+    words = m.select("run_id", "t").distinct().join(options, "run_id")
+    return words.select("run_id", "t", F.array_join(tx.closest_hints()(F.col("t"), F.col("options")), ",").alias("hints"))
 
 
 @query()

@@ -84,3 +84,20 @@ def test_crossings_and_first_writer_as_streams(spark, tmp_path):
     t = folds.folder(spark, src, "g STRING, i INT").withColumn("at", F.lit("2024-01-01").cast("timestamp"))
     folds.drain(folds.first_writer(t, "g", "at"), str(tmp_path / "o2"), str(tmp_path / "c2"))
     assert spark.read.parquet(str(tmp_path / "o2")).count() == 2
+
+
+def test_bank_stream_equals_the_batch_fold(spark, tmp_path):
+    from loomtrace.operators import banks
+
+    ddl = "chain STRING, position INT, op STRING, target STRING, content STRING, scope STRING, task STRING, evidence ARRAY<INT>"
+    ops = [("c", 1, "add", None, "one", "s", "t1", [0]), ("c", 2, "add", None, "ONE", "s", "t2", [0]), ("c", 3, "refine", "mem_000001", "one more", "s", "t3", [2]), ("c", 4, "replace", "mem_000007", "x", "s", "t4", [5]), ("c", 5, "add", None, "two", "", "t6", []), ("d", 1, "add", None, "one", "s", "t1", [0])]
+    df = spark.createDataFrame(ops, ddl)
+    df.where("position <= 2").write.json(str(tmp_path / "in"))
+    run = lambda: folds.drain(folds.bank_events(folds.folder(spark, str(tmp_path / "in"), ddl)), str(tmp_path / "out"), str(tmp_path / "state"))
+    run()
+    df.where("position > 2").write.mode("append").json(str(tmp_path / "in"))
+    run()
+    got = {(r["chain"], r["position"]): (r["memory_id"], r["version"], r["reason"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {("c", 1): ("mem_000001", 1, None), ("c", 2): (None, None, "duplicate_active_memory"), ("c", 3): ("mem_000001", 2, None), ("c", 4): (None, None, "unknown_or_inactive_target"), ("c", 5): (None, None, "missing_evidence_steps"), ("d", 1): ("mem_000001", 1, None)}
+    last = {k[0]: v[1] for k, v in sorted(got.items()) if v[1]}
+    assert last == {r["chain"]: r["version"] for r in banks.fold_operations(df).collect()}
