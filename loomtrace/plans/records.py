@@ -54,13 +54,14 @@ def identifier_leak(spark, d):
     return runs(spark, d).join(t, "source_task_id").select("run_id", F.array_join(tx.leaked(F.col("ids"), F.coalesce("final_answer", F.lit(""))), ",").alias("leaked"))
 
 
-@query(
-    f"""WITH {STEP}, s AS (SELECT step_id, lower(coalesce(action['action'], '')) AS kind, action['ref'] AS ref, action['text'] AS txt, action['url'] AS url, action['answer'] AS ans, list_contains(map_keys(action), 'ref') AS has_ref,
-        list_transform(list_filter(coalesce(observation.elements, []), lambda e: e.ref IS NOT NULL), lambda e: CAST(e.ref AS VARCHAR)) AS refs, action FROM st WHERE action IS NOT NULL),
-    n AS (SELECT *, kind IN ('click', 'fill') OR (kind = 'press' AND ref IS NOT NULL) AS needs FROM s)
-    SELECT step_id, CASE WHEN kind NOT IN ('click', 'fill', 'press', 'scroll', 'back', 'goto', 'finish') THEN 'unsupported_action' WHEN needs AND ref IS NULL THEN 'missing_element_identifier' WHEN needs AND NOT list_contains(refs, ref) THEN 'element_not_in_source_observation'
-        WHEN kind = 'press' AND ref IS NULL AND NOT has_ref THEN 'missing_element_identifier' WHEN kind = 'fill' AND txt IS NULL THEN 'missing_fill_value' WHEN kind = 'goto' AND {_TRIM.format("url")} = '' THEN 'missing_url' WHEN kind = 'finish' AND {_TRIM.format("ans")} = '' THEN 'missing_answer' ELSE 'ok' END AS why FROM n"""
-)
+_WHY = f"""CASE WHEN kind NOT IN ('click', 'fill', 'press', 'scroll', 'back', 'goto', 'finish') THEN 'unsupported_action' WHEN needs AND ref IS NULL THEN 'missing_element_identifier' WHEN needs AND NOT list_contains(refs, ref) THEN 'element_not_in_source_observation'
+        WHEN kind = 'press' AND ref IS NULL AND NOT has_ref THEN 'missing_element_identifier' WHEN kind = 'fill' AND txt IS NULL THEN 'missing_fill_value' WHEN kind = 'goto' AND {_TRIM.format("url")} = '' THEN 'missing_url' WHEN kind = 'finish' AND {_TRIM.format("ans")} = '' THEN 'missing_answer' END"""
+_ACT = f"""{STEP}, s AS (SELECT step_id, run_id, "index", execution_error, lower(coalesce(action['action'], '')) AS kind, action['ref'] AS ref, action['text'] AS txt, action['url'] AS url, action['answer'] AS ans, list_contains(map_keys(action), 'ref') AS has_ref,
+        list_transform(list_filter(coalesce(observation.elements, []), lambda e: e.ref IS NOT NULL), lambda e: CAST(e.ref AS VARCHAR)) AS refs, action FROM st),
+    n AS (SELECT *, kind IN ('click', 'fill') OR (kind = 'press' AND ref IS NOT NULL) AS needs FROM s)"""
+
+
+@query(f"WITH {_ACT} SELECT step_id, coalesce({_WHY}, 'ok') AS why FROM n WHERE action IS NOT NULL")
 def action_validation(spark, d):
     """whether each action can have come from its observation."""
     s = steps(spark, d, "action", F.col("observation.elements").alias("els")).where("action IS NOT NULL")
@@ -76,9 +77,14 @@ def actions_equivalent(spark, d):
     return s.join(q, ["run_id", "index"]).select("run_id", "index", va.equivalent(F.col("action"), F.col("before")).alias("same"))
 
 
-@query()
+@query(
+    f"""WITH {TRAJ}, {_ACT}, w AS (SELECT run_id, "index", {_WHY} AS why, kind = 'finish' AS finish, coalesce(execution_error, '') <> '' AS failed FROM n),
+    p AS (SELECT run_id, count(*) AS n, min("index") AS lo, max("index") AS hi, arg_max(finish, "index") AS ends, count(*) FILTER (finish) AS finishes, arg_min(why, "index") FILTER (why IS NOT NULL) AS bad, bool_or(failed) AS failed FROM w GROUP BY run_id),
+    r AS (SELECT p.run_id, CASE WHEN lo <> 0 OR hi - lo + 1 <> n THEN 'incomplete_or_nonconsecutive_episode' WHEN NOT ends THEN 'missing_terminal_finish' WHEN finishes > 1 THEN 'finish_before_terminal_step' ELSE bad END AS reason, coalesce(success, false) AND NOT failed AS good FROM p LEFT JOIN traj USING (run_id))
+    SELECT run_id, CASE WHEN reason IS NOT NULL THEN 'rejected' WHEN good THEN 'accepted' ELSE 'needs_replay' END AS status, reason FROM r"""
+)
 def episode_status(spark, d):
-    """accepted, needs_replay or rejected for each browser run; the tests hold it against a plain version."""
+    """accepted, needs_replay or rejected for each browser run, with the first reason."""
     return va.episode_reasons(table(spark, d, "steps"), runs(spark, d))
 
 
