@@ -7,8 +7,9 @@ document says only that some sentence of it is abusive, so the positives are cho
 of a confirmed document that the last model finds likeliest, at first those that no cleared document shares words with.
 
 Words are read through their disguises first: look-alike letters, digits and signs for letters, letters set apart,
-repeated or replaced by stars, invisible characters. Fitting uses at most MAX_LABELLED labelled and MAX_UNLABELLED
-unlabelled documents, chosen by a hash of the key; scoring covers every document where it is read.
+repeated or replaced by stars, invisible characters. Fitting uses at most MAX_LABELLED labelled documents, chosen by a
+hash of the key, and all others as unlabelled ones: their part of the risk, of its gradient and of the prior is summed
+over the cluster in every step, each different sentence once with its count. Scoring covers every document where it is read.
 """
 
 from __future__ import annotations
@@ -17,15 +18,22 @@ import re
 import unicodedata
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of what is fitted on.
-MAX_LABELLED, MAX_UNLABELLED = 6000, 4000
+from loomtrace.session import cut_lineage
+
+#: Bound of the labelled documents that are fitted on; the unlabelled ones have none.
+MAX_LABELLED = 6000
+#: Partitions of the unlabelled sentences at most: the driver gets a vector of 2**BITS from each in a step.
+PARTS = 64
+#: Features of the different unlabelled sentences, counted first, up to which they are summed on the driver; beyond, on the cluster. The sums are the same.
+HELD = 12_000_000
 #: Hashed features, rounds of choosing positives, steps of the optimiser in each.
 BITS, ROUNDS, STEPS = 18, 3, 120
 #: The prior to begin with, as a share of what the labelled documents, which are picked, would make it; it never falls below.
@@ -191,10 +199,18 @@ class Sentences:
                     starts.append(len(ids))
                     docs.append(d)
                     ids.extend(x)
-        self.ids = np.frombuffer(ids, np.int32) if ids else np.empty(0, np.int32)
-        self.starts = np.array(starts, np.int64)
-        self.docs = np.array(docs, np.int64)
-        lengths = np.diff(np.append(self.starts, len(ids)))
+        self._hold(np.frombuffer(ids, np.int32) if ids else np.empty(0, np.int32), np.array(starts, np.int64), np.array(docs, np.int64))
+
+    @classmethod
+    def of(cls, ids: np.ndarray, starts: np.ndarray) -> Sentences:
+        """Sentences whose features are known, without their documents."""
+        out = object.__new__(cls)
+        out._hold(ids, starts, np.zeros(len(starts), np.int64))
+        return out
+
+    def _hold(self, ids: np.ndarray, starts: np.ndarray, docs: np.ndarray) -> None:
+        self.ids, self.starts, self.docs = ids, starts, docs
+        lengths = np.diff(np.append(starts, len(ids)))
         self.scale = 1 / np.sqrt(np.maximum(lengths, 1)) if len(starts) else np.empty(0)
         self.row = np.repeat(np.arange(len(starts), dtype=np.int32), lengths)
 
@@ -225,25 +241,130 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_nnpu(pos: Sentences, unl: Sentences, cleared: np.ndarray, pi: float, steps: int = STEPS, rate: float = 0.15, decay: float = 2e-5, w0: np.ndarray | None = None, b0: float = -2.0) -> tuple[np.ndarray, float]:
-    """Weights that minimise the non-negative risk with the sigmoid loss, by Adam. Sentences of documents that annotators
-    cleared take part among the unlabelled with the logistic loss, whose slope doesn't vanish: they are known to be negative."""
+def share_of(x: Sentences, n: np.ndarray, w: np.ndarray, bias: float) -> tuple[np.ndarray, float, float, float]:
+    """What unlabelled sentences, each n times, add to (the gradient, the bias's, the sum of losses, the count of positive scores)."""
+    z = x.score(w, bias)
+    s = _sigmoid(z)
+    g = n * s * (1 - s)
+    return x.gradient(g), float(g.sum()), float((n * s).sum()), float(n[z > 0].sum())
+
+
+class Held:
+    """Unlabelled documents at hand."""
+
+    def __init__(self, texts: list[str]):
+        self.x, self.docs = Sentences(texts), len(texts)
+        self.n = np.ones(len(self.x))
+
+    def __len__(self) -> int:
+        return len(self.x)
+
+    def seen(self) -> np.ndarray:
+        return np.bincount(self.x.ids, minlength=MASK + 1)
+
+    def share(self, w: np.ndarray, bias: float) -> tuple[np.ndarray, float, float, float]:
+        return share_of(self.x, self.n, w, bias)
+
+
+class Spread:
+    """The unlabelled documents of a table, whatever their number: their different sentences with their counts stay on the
+    cluster, and every sum over them is a job that gives a vector and three numbers a partition. Up to `held` features
+    they are brought to the driver, all of them, which saves the jobs."""
+
+    def __init__(self, texts: DataFrame, held: int = HELD):
+        self.sc = texts.sparkSession.sparkContext
+        parts = max(1, min(PARTS, self.sc.defaultParallelism))
+
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                c = Counter(s for t in b.column(0).to_pylist() for s in sentences(t))
+                yield pa.RecordBatch.from_arrays([pa.array([s.encode("utf-8", "replace") for s in c], pa.binary()), pa.array(list(c.values()), pa.int64())], names=["s", "n"])
+
+        def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids, n = [], []
+                for s, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    for x in instances(s.decode()):
+                        ids.append(array("i", x).tobytes())
+                        n.append(k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(n, pa.int64())], names=["ids", "n"])
+
+        once = texts.mapInArrow(split, "s BINARY, n BIGINT").groupBy("s").agg(F.sum("n").alias("n"))
+        # in one order, so that sums of floating-point numbers are the same each time
+        self.rows = cut_lineage(once.mapInArrow(hashed, "ids BINARY, n BIGINT").groupBy("ids").agg(F.sum("n").alias("n")).repartition(parts, "ids").sortWithinPartitions("ids"))
+        self.docs = texts.count()
+        self.size, features_ = self.rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.length("ids")), F.lit(0)) / 4).first()
+        self.blocks = [unpacked(b) for b in self.rows.toArrow().to_batches(max_chunksize=8192)] if features_ <= held else None
+
+    def __len__(self) -> int:
+        return self.size
+
+    def _sums(self, w: np.ndarray | None, bias: float) -> tuple[np.ndarray, float, float, float]:
+        if self.blocks is not None:
+            return summed(self.blocks, w, bias)
+        model = self.sc.broadcast(w)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, *rest = summed(map(unpacked, batches), model.value, bias)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), *(pa.array([v]) for v in rest)], names=["g", "gb", "loss", "up"])
+
+        got = self.rows.mapInArrow(run, "g BINARY, gb DOUBLE, loss DOUBLE, up DOUBLE").collect()  # at most PARTS rows
+        model.destroy()
+        total = np.zeros(MASK + 1)
+        for r in got:
+            total += np.frombuffer(r["g"])
+        return total, sum(r["gb"] for r in got), sum(r["loss"] for r in got), sum(r["up"] for r in got)
+
+    def seen(self) -> np.ndarray:
+        return self._sums(None, 0.0)[0]
+
+    def share(self, w: np.ndarray, bias: float) -> tuple[np.ndarray, float, float, float]:
+        return self._sums(w, bias)
+
+
+def summed(blocks: Iterable[tuple[Sentences, np.ndarray]], w: np.ndarray | None, bias: float) -> tuple[np.ndarray, float, float, float]:
+    """The shares of all blocks; without weights, how often each feature occurs."""
+    total, rest = np.zeros(MASK + 1), np.zeros(3)
+    for x, n in blocks:
+        if w is None:
+            total += x.gradient(n / x.scale)
+        else:
+            g, *more = share_of(x, n, w, bias)
+            total += g
+            rest += more
+    return total, *map(float, rest)
+
+
+def unpacked(b: pa.RecordBatch) -> tuple[Sentences, np.ndarray]:
+    """The sentences of a batch of (ids, n), and how often each occurs."""
+    c = b.column(0)
+    at = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1] if len(c) else np.zeros(1, np.int32)
+    ids = np.frombuffer(c.buffers()[2], np.uint8)[at[0] : at[-1]].view(np.int32) if len(c) else np.empty(0, np.int32)
+    return Sentences.of(ids, (at[:-1] - at[0]).astype(np.int64) // 4), b.column(1).to_numpy(zero_copy_only=False).astype(float)
+
+
+def fit_nnpu(pos: Sentences, unl: Sentences, cleared: np.ndarray, pi: float, free: Held | Spread, steps: int = STEPS, rate: float = 0.15, decay: float = 2e-5, w0: np.ndarray | None = None, b0: float = -2.0) -> tuple[np.ndarray, float]:
+    """Weights that minimise the non-negative risk with the sigmoid loss, by Adam. unl: the sentences of documents that annotators
+    cleared, free: the unlabelled ones. Sentences that are known to be cleared take part among the unlabelled with the logistic loss, whose slope doesn't vanish: they are known to be negative."""
     w, bias = (np.zeros(MASK + 1) if w0 is None else w0.copy()), b0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    weight, n = 1 / max(1, len(pos)), len(unl)
-    cleared = cleared if not cleared.all() else np.zeros_like(cleared)
+    weight, n = 1 / max(1, len(pos)), len(unl) + len(free)
+    cleared = cleared if len(free) or not cleared.all() else np.zeros_like(cleared)
+    open_ = len(free) + np.count_nonzero(~cleared)
     for t in range(1, steps + 1):
         zp, zu = pos.score(w, bias), unl.score(w, bias)
         sp, su = _sigmoid(zp), _sigmoid(zu)
+        gf, gfb, loss, _ = free.share(w, bias)
         # the loss is s(-z) for a positive and s(z) for a negative; either has the slope s(1-s)
         push = WARM if 3 * t < steps else 1
         gp, gu = -pi * push * weight * sp * (1 - sp), su * np.where(cleared, CLEARED, 1 - su) / n
-        if np.mean(su[~cleared]) - pi * np.sum(weight * sp) >= 0:
+        turn = 1
+        if (np.sum(su[~cleared]) + loss) / open_ - pi * np.sum(weight * sp) >= 0:
             gp = 2 * gp
         else:
-            gu, gp = np.where(cleared, gu, -gu), np.zeros_like(gp)
-        g = pos.gradient(gp) + unl.gradient(gu) + decay * pi * w
-        gb = gp.sum() + gu.sum()
+            gu, gp, turn = np.where(cleared, gu, -gu), np.zeros_like(gp), -1
+        g = pos.gradient(gp) + unl.gradient(gu) + turn * gf / n + decay * pi * w
+        gb = gp.sum() + gu.sum() + turn * gfb / n
         m += 0.1 * (g - m)
         v += 0.01 * (g * g - v)
         mb, vb = mb + 0.1 * (gb - mb), vb + 0.01 * (gb * gb - vb)
@@ -258,21 +379,23 @@ def _best_of(docs: np.ndarray, z: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def learn(positive: list[str], negative: list[str], unlabelled: list[str], rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """(weights, bias) from confirmed documents, cleared ones and unlabelled ones. Without confirmed documents nothing is flagged."""
+def learn(positive: list[str], negative: list[str], unlabelled: list[str] | DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """(weights, bias) from confirmed documents, cleared ones and unlabelled ones (a list, or a table of their texts). Without confirmed documents nothing is flagged."""
     if not positive:
         return np.zeros(MASK + 1), -10.0
-    pos, rest = Sentences(positive), Sentences([*negative, *unlabelled])
-    if not len(pos) or not len(rest):
+    pos, rest = Sentences(positive), Sentences(negative)
+    free = Held(unlabelled) if isinstance(unlabelled, list) else Spread(unlabelled)
+    n = len(rest) + len(free)
+    if not len(pos) or not n:
         return np.zeros(MASK + 1), -10.0
     share = len(positive) / max(1, len(positive) + len(negative))
-    per_doc = len(rest) / max(1, len(negative) + len(unlabelled))
+    per_doc = n / max(1, len(negative) + free.docs)
     # labelled documents are picked, so their share of positives is only an upper bound of the prior; it is estimated anew from each round's model
     most = float(np.clip(share / max(per_doc, 1), 1e-4, 0.2))
     pi = PRIOR * most
     # round 0: rarity. A sentence whose words cleared and unlabelled documents hardly use is the likely reason.
-    seen = np.bincount(rest.ids, minlength=MASK + 1) + 1.0
-    z = np.add.reduceat(-np.log(seen / len(rest))[pos.ids], pos.starts) * pos.scale**2
+    seen = np.bincount(rest.ids, minlength=MASK + 1) + free.seen() + 1.0
+    z = np.add.reduceat(-np.log(seen / n)[pos.ids], pos.starts) * pos.scale**2
     # a sentence with words from the lists is likelier than any rare one
     z = z + 10.0 * (np.add.reduceat(np.isin(pos.ids, _MARKS).astype(float), pos.starts) > 0)
     keep = z >= _best_of(pos.docs, z, len(positive))[pos.docs]
@@ -280,10 +403,10 @@ def learn(positive: list[str], negative: list[str], unlabelled: list[str], round
         chosen = pos.pick(keep)
         # annotators miss some: a cleared sentence made of what several positives have isn't taken for known
         common = (np.bincount(chosen.ids, minlength=MASK + 1) >= 3).astype(float)
-        alike = np.add.reduceat(common[rest.ids], rest.starts) * rest.scale**2
-        w, bias = fit_nnpu(chosen, rest, (rest.docs < len(negative)) & (alike < ALIKE), pi)
+        alike = np.add.reduceat(common[rest.ids], rest.starts) * rest.scale**2 if len(rest) else np.empty(0)
+        w, bias = fit_nnpu(chosen, rest, alike < ALIKE, pi, free)
         z = pos.score(w, bias)
-        pi = float(np.clip(1.5 * np.mean(rest.score(w, bias) > 0), PRIOR * most, most))
+        pi = float(np.clip(1.5 * (np.count_nonzero(rest.score(w, bias) > 0) + free.share(w, bias)[3]) / n, PRIOR * most, most))
         top = _best_of(pos.docs, z, len(positive))
         surer = (z > 0) | (z >= top[pos.docs]) & (z > -1)
         keep = surer if surer.any() else keep
@@ -304,8 +427,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     got = texts.join(votes, "doc_id").select("doc_id", "text", "vote").orderBy("doc_id").collect()
     positive = [r["text"] for r in got if r["vote"] > 0.5]
     negative = [r["text"] for r in got if r["vote"] < 0.5]
-    free = [r[0] for r in texts.join(votes, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_UNLABELLED).select("text").collect()]
-    return learn(positive, negative, free)
+    return learn(positive, negative, texts.join(votes, "doc_id", "left_anti").select("text"))
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:

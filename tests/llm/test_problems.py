@@ -346,6 +346,23 @@ def test_abuse_is_found_through_disguises(spark):
     assert abuse.flagged(d, lab.limit(0)).count() == 0 and abuse.flagged(d.limit(0), lab).count() == 0
 
 
+def test_every_unlabelled_document_enters_the_risk(spark, monkeypatch):
+    texts = [f"Row {k} of the table.\nThe ferry leaves at nine." for k in range(4500)]
+    pos, neg = ["You are a worthless idiot and nobody wants you here."] * 3, ["The ferry leaves at ten."]
+    df, held = spark.createDataFrame([(t,) for t in texts], "text STRING"), abuse.Held(texts)
+    w = np.random.default_rng(1).normal(size=abuse.MASK + 1)
+    for spread in (abuse.Spread(df), abuse.Spread(df, held=0)):
+        assert (len(spread), spread.docs) == (len(held), held.docs) == (9000, 4500) and np.allclose(spread.seen(), held.seen())
+        for a, b in zip(spread.share(w, -1.0), held.share(w, -1.0)):
+            assert np.allclose(a, b, rtol=1e-9)
+    docs = spark.createDataFrame([*((k, "s", t) for k, t in enumerate(texts)), *((10_000 + k, "s", t) for k, t in enumerate(pos + neg))], "doc_id BIGINT, source STRING, text STRING")
+    lab = spark.createDataFrame([*((10_000 + k, "a", 1) for k in range(3)), (10_003, "a", 0)], "doc_id BIGINT, annotator STRING, label INT")
+    seen = []
+    monkeypatch.setattr(abuse, "learn", lambda p, n, u: seen.append((len(p), len(n), u.count())))
+    abuse.fitted(docs, lab)
+    assert seen == [(3, 1, 4500)]
+
+
 def test_words_read_through_disguises():
     one = lambda t: abuse.read(t)[0][0]
     assert one("1d10t") == one("Idioot") == one("ІDІОТ") == one("idiot")
