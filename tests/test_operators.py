@@ -39,6 +39,15 @@ def test_first_divergence(spark):
     assert [r[0] for r in df.select(tx.first_divergence(F.col("a"), F.col("b"))).collect()] == [2, None, 2, 0]
 
 
+def test_divergence_beyond_200_characters(spark, tmp_path):
+    from loomtrace.plans import QUERIES
+
+    pairs = [("x" * 250 + "a", "x" * 250 + "b"), ("é😀" * 150, "é😀" * 150 + "z"), ("y" * 300, "y" * 300), ("y" * 200, "y" * 201), ("", "")]
+    df = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "reply_id BIGINT, content STRING, prompt STRING")
+    df.write.parquet(str(tmp_path / "model_replies.parquet"))
+    assert {r["reply_id"]: r["at"] for r in QUERIES["divergence_index"](spark, str(tmp_path)).collect()} == {0: 250, 1: 300, 2: None, 3: 200, 4: None}
+
+
 def test_identifiers_and_leak(spark):
     got = one(spark, tx.identifiers(F.col("t")), t="Order #ab12-9 of ABC123, mail x.y@z.org, call 555-123-4567, ENTREGÓ")
     assert got == sorted(["#ab12-9", "abc123", "x.y@z.org", "555-123-4567"])
