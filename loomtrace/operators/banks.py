@@ -27,6 +27,14 @@ def as_of(log: DataFrame, key: str, supersedes: str, position: str, at: Column)
     return superseded(log, key, supersedes, position).where((F.col(position) < at) & (F.col("superseded_at").isNull() | (F.col("superseded_at") >= at)))
 
 
+def targets_as_of(readers: DataFrame, log: DataFrame, key: str, supersedes: str, position: str) -> DataFrame:
+    """Adds `visible`: whether each reader's `target` is in the bank as of the reader's own position `at`, by the
+    interval (position, superseded_at) of the target. One join on the target's key; null and unknown targets aren't visible."""
+    spans = superseded(log, key, supersedes, position).select(F.col(key).alias("target"), F.col(position).alias("from_"), F.col("superseded_at").alias("to_"))
+    seen = (F.col("from_") < F.col("at")) & (F.col("to_").isNull() | (F.col("to_") >= F.col("at")))
+    return readers.join(spans, "target", "left").withColumn("visible", F.coalesce(seen, F.lit(False))).drop("from_", "to_")
+
+
 VERSIONED = "chain STRING, id STRING, content STRING, scope STRING, status STRING, version INT, evidence ARRAY<STRING>, n_history INT"
 
 

@@ -30,6 +30,14 @@ def bank_asof(spark, d):
     return banks.as_of(_log(spark, d), "id", "supersedes", "position", F.lit(500)).select("id")
 
 
+@query(f"WITH {_LOG}, r AS (SELECT id, position, position - 20 AS target FROM lg), s AS (SELECT id AS target, position AS from_, superseded_at FROM lg LEFT JOIN by_ USING (id)) SELECT r.id, target, coalesce(from_ < r.position AND (superseded_at IS NULL OR superseded_at >= r.position), false) AS visible FROM r LEFT JOIN s USING (target)")
+def bank_asof_targets(spark, d):
+    """Each document's target, the entry twenty positions before, looked up in the bank as of that document's own position."""
+    log = _log(spark, d)
+    readers = log.select("id", F.col("position").alias("at"), (F.col("position") - 20).alias("target"))
+    return banks.targets_as_of(readers, log, "id", "supersedes", "position").select("id", "target", "visible")
+
+
 @query()
 def bank_fold(spark, d):
     """G1: a versioned bank per task from its runs' answers as operations; an ordered fold, so no SQL."""

@@ -177,6 +177,13 @@ def test_fold_of_operations(spark):
     assert (c["content"], c["version"], c["n_history"], c["evidence"]) == ("other", 3, 2, ["t4:5"])
 
 
+def test_each_target_as_its_reader_sees_it(spark):
+    log = spark.createDataFrame([(1, 1, None), (2, 600, 1), (3, 700, None)], "id INT, position INT, supersedes INT")
+    readers = spark.createDataFrame([(1, 500, 1), (2, 600, 1), (3, 601, 1), (4, 700, 3), (5, 701, 3), (6, 900, 9), (7, 900, None)], "reader INT, at INT, target INT")
+    got = {r["reader"]: r["visible"] for r in banks.targets_as_of(readers, log, "id", "supersedes", "position").collect()}
+    assert got == {1: True, 2: True, 3: False, 4: False, 5: True, 6: False, 7: False}
+
+
 def test_refining_keeps_evidence(spark):
     ops = [("c", 1, "add", None, "one", "s", "old", [2]), ("c", 2, "refine", "mem_000001", "one!", "s", "new", [0])]
     r = banks.fold_operations(spark.createDataFrame(ops, "chain STRING, position INT, op STRING, target STRING, content STRING, scope STRING, task STRING, evidence ARRAY<INT>")).first()
