@@ -1,20 +1,22 @@
-"""Problem 2: the main body of a page told from the site's frame, line by line.
-
-Method. The page streams through the standard library's HTML parser (for plain page text the links among
-`observation.elements`, separators and widget marks stand for the tags that a rendering has swallowed); every line
-gets its text-to-tag ratio; a Gaussian smooths the ratios along the page; two-means clustering puts a threshold
-between content and frame. The clustered regions decide lines that show nothing by themselves. An exact check follows:
-lines that recur on a large share of the host's pages, consent notices, boxes and the like are frame inside a content
-region too, and what stands under the page's own heading stays content in a thin region.
-
-Scale. The recurring lines of a host are counted with two partial aggregations; a host keeps only lines on at least
-SHARE of its pages, so a host's list has at most (lines per page / SHARE) entries whatever the number of its pages.
+"""Problem 2: the main body of a page told from the site's frame, line by line, by the density of text against tags.
+
+Method. A page's lines stream through the standard library's HTML parser, whose events count the tags that are left in
+the text. Plain page text has lost its tags in rendering, so their traces count in their place: a line that recurs on
+other pages of its host, or on other hosts, was put there by a template; a line that is, or begins with, the title of
+another page of the host is a link; separators part the entries of a menu. Every line gets the logarithm of its
+text-to-tag ratio, a Gaussian smooths the ratios along the page (blank lines take up room, so blocks keep apart), and
+two-means clustering parts the lines into the dense and the thin: the body and the frame. Nothing else decides.
+
+Scale. Recurrence is counted over all pages with partial aggregations, on hashes of lines. What is kept of it is bounded
+by the lines that recur (at least LEVELS[0] of a host's pages, or of the hosts) and the titles; up to
+BROADCAST_ENTRIES of these, counted first, go to the workers as two sorted arrays, beyond that they are joined to the
+pages by a salted key, so a host with a third of all rows spreads over SALT times as many tasks.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import numpy as np
@@ -25,57 +27,36 @@ from pyspark.sql import functions as F
 from loomtrace.llm.common import is_shown
 from loomtrace.session import cut_lineage
 
-#: A line is the host's when it is on at least this share of the host's pages, and on this many.
-SHARE, MIN_PAGES = 0.3, 8
+#: Shares of a host's pages, and of all hosts, that part how recurrent a line is into four levels.
+LEVELS, HOST_LEVELS = (0.03, 0.1, 0.3), (0.05, 0.2, 0.5)
+#: Pages, or hosts, that are added to the count before a share is taken: a line on both pages of a host isn't yet recurrent on all.
+DOUBT = 2
 #: Standard deviation of the Gaussian, in lines, and how far it reaches.
-SIGMA, REACH = 1.5, 4
-#: Entries of the per-host lists (8 bytes each, and overhead) up to which they are broadcast; beyond, a salted join.
-BROADCAST_ENTRIES = 500_000
+SIGMA, REACH = 1.2, 4
+#: Where two-means begins, and how many lines each of these two points stands for: a page all of one kind isn't torn apart.
+ANCHORS, ANCHOR_LINES = (-5.0, 5.0), 10.0
+#: Entries (9 bytes each) up to which the recurrent lines are broadcast; beyond, a salted join.
+BROADCAST_ENTRIES = 2_000_000
 SALT = 16
 
-# Words of site frames in the languages of the pages.
-NAV = {
-    *"home|about us|contact|catalogue|archive|maps|support|help|shop|offers|tickets|forum|press|careers|downloads|events|opening hours|stories|sitemap|news|services|products|blog|faq|search".split("|"),
-    *"startseite|über uns|kontakt|katalog|archiv|karten|hilfe|laden|angebote|presse|termine|karriere|aktuelles|suche|öffnungszeiten|shop".split("|"),
-    *"accueil|à propos|contact|catalogue|archives|plan|aide|boutique|offres|billets|presse|agenda|actualités|recherche|horaires".split("|"),
-    *"inicio|quiénes somos|contacto|catálogo|archivo|mapas|ayuda|tienda|ofertas|entradas|prensa|agenda|noticias|buscar|horarios".split("|"),
+#: What each trace of a tag, or of text, adds to the logarithm of a line's text-to-tag ratio: round figures near those of
+#: a logistic regression over the smoothed traces of the pages at sf0.1.
+WEIGHTS = {
+    "one": -5.0, "host1": -3.0, "host2": -2.4, "host3": -3.2, "web1": 2.7, "web2": -0.3, "web3": 6.0, "template_text": -1.15, "text": 1.6, "sentence": 3.9, "separators": -1.9, "titles": -6.6, "begins_with_title": -30.0,
+    "opens_block": -2.4, "above_heading": -6.9, "heading": 14.5, "table": 11.0, "tags": -0.5,
 }
-USER = r"(?:sign in|sign up|log in(?: / register)?|log out|register|my account|hello, guest|basket \(\d+\)|cart \(\d+\)|english ▾|anmelden|registrieren|mein konto|hallo, gast|warenkorb \(\d+\)|deutsch ▾|se connecter|mon compte|bonjour, invité|panier \(\d+\)|français ▾|iniciar sesión|mi cuenta|hola, invitado|(?:cesta|carrito) \(\d+\)|español ▾)"
-BUTTON = r"(?:accept all|reject all|accept|reject|settings|allow(?: all)?|only necessary|ok, got it|got it|agree and close|manage options|privacy choices|cookie settings|alle akzeptieren|akzeptieren|ablehnen|alle ablehnen|einstellungen|einverstanden|zustimmen|nur notwendige|j'accepte|tout accepter|tout refuser|accepter|refuser|paramètres|continuer sans accepter|aceptar todo|aceptar|rechazar(?: todo)?|de acuerdo|ajustes|configurar)"
-CONSENT = (
-    r"cookies?\b", r"\bconsent\b", r"\btrackers?\b", r"your device|ihrem gerät|votre appareil|su dispositivo", r"small (?:text )?files|kleine dateien|petits fichiers|pequeños archivos",
-    r"\bstores? and reads?\b|to store and read", r"\bidentifiers\b", r"\badverts? that fit|advertis", r"strictly necessary|necessary ones|notwendig|nécessaires|necesarios", r"\bprivacy matters|optional(?: trackers)?\b|facultatifs|opcionales",
-    r"\bvendors\b", r"\bwithdraw it\b|unless you object|change it at any time|change your choice|jederzeit ändern|modifier votre choix|cambiar su elección", r"\bcounts as agreement|by browsing on|you agree\b", r"\bdata notice\b",
-    r"measures? (?:its visitors|audiences)", r"\d+ partners\b", r"remember your language", r"count readers", r"you decide which|choose what suits|only with your consent", r"\bwe use|verwenden cookies|utilisons des cookies|usamos cookies", r"data helps us", r"(?:others|some) (?:help us|are needed)",
-    r"this device only", r"listed in the settings",
-)
-NOTICE = (
-    r"^skip to (?:main )?content|^☰|^menu$|^saltar al contenido|^aller au contenu|^zum inhalt(?: springen)?",
-    r"^free delivery on orders|^last visit:|^visitor number \d|^only \d+ hours left|^you have \d+ new messages|^live chat:|^today in .{1,40}°c",
-    r"^share \||^share this page|^was this page helpful|^rate this (?:article|page)|^leave a comment\b.*[·|]|^partager ?:|^cette page vous a-t-elle aidé|^compartir:|^¿le ha sido útil|^seite teilen|^war diese seite hilfreich|^follow us|^suivez-nous|^síganos|^folgen sie uns",
-    r"^download the app|^join \d+ thousand readers|^get our letter|^tell a friend about|^sponsored\b|^advertisement|^publicité|^publicidad|^anzeige\b|^werbung\b|^abonnez-vous|^suscríbase|^jetzt den newsletter|^subscribe to our|^opening hours of our shops",
-    r"^©|^\(c\) \d{4}",
-    r"^terms of use\b|^privacy(?: policy)? [|·]|^imprint\b|^mentions légales|^aviso legal|^impressum\b|^back to top|^nach oben ↑|^haut de page|^volver arriba",
-    r"^prices include tax|^prix toutes taxes|^precios con impuestos|^alle preise inkl|^photographs on these pages belong|^no part of this page may be copied|^members of the .* guild since|^secure payment\b|^complaints may be sent to|^the weights and measures given are approximate|^made with care in|^language: \w+ \(change\)|^images load slowly|^v\d+(?:\.\d+)+$|^need help\? call us|^the map needs javascript",
-)
-NOTICE_WITHIN = ("people are looking at this page", "all rights reserved", "tous droits réservés", "todos los derechos reservados", "alle rechte vorbehalten", " is a trading name of ", " is supported by the readers of ")
-BOX = r"^(?:related|similar|recommended|you may also like|recently viewed|editor['’]s picks|customers also bought|most read(?: this week)?|popular right now|more from\b.*|related (?:links|articles|pages|products|topics)|see also|trending(?: now)?|beliebt|auch interessant|ähnliche\b.*|weitere\b.*|das könnte sie interessieren|zuletzt angesehen|meistgelesen|mehr aus\b.*|à voir aussi|à lire aussi|populaires?|articles similaires|vus récemment|les plus lus|plus de\b.*|también le puede interesar|populares|lo más popular|artículos relacionados|relacionados?|lo más leído|vistos? recientemente|más de\b.*)$"
-
-_SEP = re.compile(r"\s*[|›»>·•]\s*|\s+/\s+|\s{2,}")
-_CRUMB = re.compile(r"\s*[›»>]\s*|\s+/\s+")
-_NOTICE = re.compile("|".join(NOTICE))
-_BOX = re.compile(BOX)
-_CONSENT = [re.compile(x) for x in CONSENT]
-CONSENT_HINTS = ("cooki", "consent", "track", "devic", "gerät", "appareil", "dispositivo", "files", "necess", "privacy", "agree", "partner", "language", "visitor", "data ", "readers", "store")
-#: A menu line and a consent notice are no longer than this.
-MENU_CHARS, CONSENT_CHARS = 240, 600
-_BUTTONS = re.compile(rf"(?:{BUTTON}[\s|·/]*)+")
-_BUTTON_END = re.compile(rf"[.!?] {BUTTON}(?:\s+{BUTTON})*$")
-_USERS = re.compile(rf"(?:{USER}[\s|·/»›>]*)+$")
-_SENTENCE = re.compile(r"[.!?…。！？”\"]\)?$")
+_WEIGHTS = np.array(list(WEIGHTS.values()))
+
+SEPARATORS = r"\s*[|›»>·•\t]\s*|\s+/\s+|\s{2,}"
+TITLE_SEPARATORS = r"\s+[|–—-]\s+|\s+::\s+|\s+·\s+"
+#: A colon after which a teaser begins.
+COLON = ": "
+EDGES = " \t\r\x0b\x0c"
+_SEP = re.compile(SEPARATORS)
+_TITLE_SEP = re.compile(TITLE_SEPARATORS)
 _DIGITS = re.compile(r"[0-9]+")
-
-BLANK, FRAME, BOX_HEAD, NAV_WORD, SENTENCE, SHORT = range(6)
+_ENDS = frozenset(".!?…。！？”\"")
+TITLE_BIT = 16
 
 
 class Events(HTMLParser):
@@ -95,204 +76,6 @@ class Events(HTMLParser):
         self.text += len(data.strip())
 
 
-def facts(line: str) -> tuple[int, int, int]:
-    """(characters of text, tags, kind) of a line by itself."""
-    s = line.strip()
-    if not s or not is_shown(s):
-        return 0, 0, BLANK
-    low = s.lower()
-    text, tags = len(s), 0
-    if "<" in s:
-        e = Events()
-        e.feed(s)
-        text, tags = e.text, e.tags
-    words = len(low.split())
-    short = len(low) <= MENU_CHARS
-    parts = [p for p in _SEP.split(low) if p] if short else [low]
-    if _NOTICE.match(low) or any(x in low for x in NOTICE_WITHIN) or low.endswith("↑") or short and _BUTTONS.fullmatch(low):
-        return text, tags + 3 + len(parts), FRAME
-    if len(low) <= CONSENT_CHARS and any(x in low for x in CONSENT_HINTS) and (sum(1 for r in _CONSENT if r.search(low)) >= 2 or _BUTTON_END.search(low) and any(r.search(low) for r in _CONSENT)):
-        return text, tags + max(3, text // 25), FRAME
-    if short:
-        if _BOX.match(low):
-            return text, tags + 1, BOX_HEAD
-        rest = _USERS.sub("", low)
-        if rest != low and (not rest or len(rest.split()) <= 4 or all(p in NAV for p in _SEP.split(rest) if p)):
-            return text, tags + 2 + len(parts), FRAME
-        if len(parts) == 1 and parts[0] in NAV:
-            return text, tags + 1, NAV_WORD
-        if len(parts) > 1:
-            known = sum(p in NAV or bool(_USERS.fullmatch(p)) for p in parts)
-            if known == len(parts) or known >= 2 and known >= len(parts) - 1:
-                return text, tags + 2 * len(parts), FRAME
-    if words >= 6 and _SENTENCE.search(s[-3:]) or words >= 14 or (words <= 2 and len(s) > 40):
-        return text, tags, SENTENCE
-    return text, tags, SHORT
-
-
-_known: dict[str, tuple[int, int, int]] = {}
-
-
-def known_facts(line: str) -> tuple[int, int, int]:
-    f = _known.get(line)
-    if f is None:
-        if len(_known) > 400_000:
-            _known.clear()
-        f = _known[line] = facts(line)
-    return f
-
-
-#: An item of a box that tells how its page begins: a title, a colon, a sentence.
-_TEASER = re.compile(r"(?!In \S+ they )(?=\S+(?: \S+){0,7}?: )[^.!]{3,70}?: [A-ZÀ-Ý¿¡“\"].{15,}[.!?…]$")
-_TITLE_SEP = re.compile(r"\s+[|–—-]\s+|\s+::\s+|\s+·\s+")
-
-
-def site_of(host: str | None) -> str:
-    """The site's name as the host spells it: 'www.old-mill.example' gives 'old mill'."""
-    labels = (host or "").split(".")
-    return max(labels[-3:-1] or [""], key=len).replace("-", " ") if len(labels) > 1 else ""
-
-
-def heading_at(lines: list[str], kinds: list[int], title: str | None, site: str) -> int | None:
-    """The line with the page's own heading: a part of the title, or the last part of the breadcrumb, and no sentence before it."""
-    wanted = {p for p in [title or "", *_TITLE_SEP.split(title or "")] if p and p != "Untitled" and p.lower() != site}
-    crumbs = set()
-    for i, s in enumerate(lines[:40]):
-        if kinds[i] == BLANK:
-            continue
-        if kinds[i] == SENTENCE and s not in wanted and s not in crumbs:
-            return None
-        if s in wanted or s in crumbs:
-            if kinds[i] in (SHORT, SENTENCE) or s in crumbs:
-                return i
-        parts = _CRUMB.split(s)
-        if len(parts) > 1 and parts[0].lower() in NAV:
-            crumbs.add(parts[-1])
-    return None
-
-
-def ratio(text: int, tags: int) -> float:
-    return min(text, 400) / (1 + tags)
-
-
-def smooth_regions(ratios: list[list[float]]) -> list[np.ndarray]:
-    """For each page, which lines lie in a content region: Gaussian smoothing, then two-means on the log of the ratio.
-
-    All pages of a batch go through numpy at once, one after the other with a gap that the Gaussian cannot cross."""
-    if not ratios:
-        return []
-    kernel = np.exp(-0.5 * (np.arange(-REACH, REACH + 1) / SIGMA) ** 2)
-    lengths = np.array([len(r) for r in ratios])
-    starts = np.concatenate([[0], np.cumsum(lengths + REACH)[:-1]])
-    flat, mask = np.zeros(int(lengths.sum()) + REACH * len(ratios)), np.zeros(int(lengths.sum()) + REACH * len(ratios))
-    for s, r in zip(starts, ratios):
-        flat[s : s + len(r)] = r
-        mask[s : s + len(r)] = 1
-    spread = lambda a: np.convolve(a, kernel)[REACH : REACH + len(a)]
-    smooth = np.log1p(spread(flat) / np.maximum(spread(mask), 1e-9)) * mask
-    page = np.repeat(np.arange(len(ratios)), lengths + REACH)
-    high = np.maximum.reduceat(smooth, starts)
-    low = np.minimum.reduceat(np.where(mask > 0, smooth, np.inf), starts)
-    for _ in range(8):
-        cut = (low + high) / 2
-        up = (smooth >= cut[page]) & (mask > 0)
-        down = ~up & (mask > 0)
-        n_up, n_down = np.bincount(page, up, len(ratios)), np.bincount(page, down, len(ratios))
-        high = np.where(n_up > 0, np.bincount(page, smooth * up, len(ratios)) / np.maximum(n_up, 1), high)
-        low = np.where(n_down > 0, np.bincount(page, smooth * down, len(ratios)) / np.maximum(n_down, 1), low)
-    inside = smooth >= ((low + high) / 2)[page]
-    return [inside[s : s + n] for s, n in zip(starts, lengths)]
-
-
-def frame_lines(pages: list[tuple[str | None, str | None, list | None, frozenset | set, str | None]]) -> list[list[int]]:
-    """The numbers of the frame lines of each page (text, title, link names, the host's recurring line keys, host)."""
-    read = []
-    for text, title, links, recurring, host in pages:
-        if not text:
-            read.append(None)
-            continue
-        raw = text.split("\n")
-        lines = [x.strip() for x in raw]
-        got = [known_facts(x) for x in lines]
-        site = site_of(host)
-        kinds = [FRAME if site and g[2] == SHORT and x.lower() == site else g[2] for x, g in zip(lines, got)]
-        names = {x for x in links or () if x}
-        tagged = [(t, g + 1 if x in names else g) for x, (t, g, _) in zip(lines, got)]
-        repeat = [k != BLANK and bool(recurring) and line_key(x) in recurring for x, k in zip(lines, kinds)]
-        read.append((lines, kinds, names, repeat, heading_at(lines, kinds, title, site), [ratio(*x) for x in tagged]))
-    regions = iter(smooth_regions([r[5] for r in read if r]))
-    return [checked(*r[:5], next(regions)) if r else [] for r in read]
-
-
-def checked(lines: list[str], kinds: list[int], names: set[str], repeat: list[bool], heading: int | None, content: np.ndarray) -> list[int]:
-    """The exact check on the clustered regions; returns the numbers of the frame lines."""
-    out, boxed = [], False
-    n = len(lines)
-    shown = [i for i in range(n) if kinds[i] != BLANK]
-    place = {i: k for k, i in enumerate(shown)}
-    framed = lambda i: kinds[i] in (FRAME, BOX_HEAD) or repeat[i]
-    started = heading is not None
-    for i in range(n):
-        kind, s = kinds[i], lines[i]
-        if kind == BLANK:
-            boxed = False
-            continue
-        if heading is not None and i <= heading:
-            if i < heading:
-                out.append(i)
-            continue
-        if kind == BOX_HEAD:
-            out.append(i)
-            boxed = True
-            continue
-        if kind == FRAME:
-            out.append(i)
-            boxed = False
-            continue
-        if boxed and (kind in (SHORT, NAV_WORD) or _TEASER.match(s) or s[-1] not in ".。" and len(s.split()) <= 10):
-            out.append(i)
-            continue
-        boxed = False
-        # a short line over a paragraph is a heading within the body, however many pages of the host have it
-        heads = kind != SENTENCE and place[i] + 1 < len(shown) and kinds[shown[place[i] + 1]] == SENTENCE and not repeat[shown[place[i] + 1]]
-        if repeat[i] and not heads and not (kind == NAV_WORD and heading is not None):
-            out.append(i)
-            continue
-        if kind == NAV_WORD:
-            k = place[i]
-            beside = [shown[j] for j in (k - 1, k + 1) if 0 <= j < len(shown)]
-            if any(kinds[j] == NAV_WORD and abs(j - i) == 1 or framed(j) and abs(j - i) == 1 and not started for j in beside) or s.lower() == "sitemap":
-                out.append(i)
-                continue
-        if heading is None and not started:
-            parts = _CRUMB.split(s)
-            if len(parts) > 1 and parts[0].lower() in NAV:
-                out.append(i)
-                continue
-            if kind == SHORT and s in names and not content[i]:
-                out.append(i)
-                continue
-            started = kind == SENTENCE
-            continue
-        parts = _CRUMB.split(s)
-        if len(parts) > 1 and parts[0].lower() in NAV and parts[1].lower() in NAV:
-            out.append(i)
-    return out
-
-
-def line_key(line: str) -> int:
-    """The key under which lines of a host are counted: digits masked, spaces at the ends dropped; equals xxhash64 in the JVM."""
-    k = _keys.get(line)
-    if k is None:
-        if len(_keys) > 400_000:
-            _keys.clear()
-        k = _keys[line] = xxhash64(_DIGITS.sub("0", line.strip(" \t\r\x0b\x0c")).encode())
-    return k
-
-
-_keys: dict[str, int] = {}
-
-
 def xxhash64(data: bytes) -> int:
     import xxhash
 
@@ -300,77 +83,251 @@ def xxhash64(data: bytes) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
+def line_key(line: str) -> int:
+    """The key under which a line or a part of one is counted: digits masked, spaces at the ends dropped; equals xxhash64 in the JVM."""
+    return xxhash64(_DIGITS.sub("0", line.strip(EDGES)).encode("utf-8", "replace"))
+
+
+class Line:
+    """What a line shows by itself."""
+
+    __slots__ = ("key", "parts", "weights", "head", "text", "sentence", "separators", "table", "tags")
+
+    def __init__(self, s: str) -> None:
+        self.tags, n = 0, len(s)
+        if "<" in s:
+            e = Events()
+            e.feed(s)
+            self.tags, n = e.tags, max(1, e.text) if e.tags else len(s)
+        self.key, self.text, self.sentence, self.table = line_key(s), float(np.log(n)), s[-1] in _ENDS, "\t" in s
+        parts = [p for p in _SEP.split(s) if p] or [s]
+        self.separators = len(parts) - 1
+        size = sum(map(len, parts))
+        self.parts, self.weights = [line_key(p) for p in parts] if self.separators else [self.key], [len(p) / size for p in parts]
+        self.head = line_key(parts[0][: parts[0].index(COLON)]) if COLON in parts[0] else None
+
+
+_lines: dict[str, Line | None] = {}
+
+
+def line_of(s: str) -> Line | None:
+    """The Line of a stripped line; None if it shows nothing. Lines of ordinary length are kept for the worker: 100,000 of at most 400 characters."""
+    if len(s) > 400:
+        return Line(s) if is_shown(s) else None
+    if s in _lines:
+        return _lines[s]
+    if len(_lines) >= 100_000:
+        _lines.clear()
+    got = _lines[s] = Line(s) if is_shown(s) else None
+    return got
+
+
+Codes = Callable[[np.ndarray], np.ndarray]
+
+
+class Recurrence:
+    """The codes of (host, line) keys, from two sorted arrays."""
+
+    def __init__(self, keys: np.ndarray, codes: np.ndarray) -> None:
+        self.keys, self.codes = keys, codes
+
+    def __call__(self, wanted: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(wanted), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.codes[at], 0).astype(np.int64)
+
+
+def traces(pages: list[tuple[str, str | None, int | None]], codes: Codes) -> tuple[list[list[Line | None]], list[np.ndarray], list[np.ndarray]]:
+    """For each page (text, title, hash of its host): its lines, how recurrent each is (the code of the line), and one row of WEIGHTS' traces for each line."""
+    read, wanted = [], []
+    for text, title, host in pages:
+        lines = [line_of(x.strip()) for x in text.split("\n")]
+        own = {line_key(p) for p in (title or "", *_TITLE_SEP.split(title or "")) if p}
+        h = 0 if host is None else host
+        for ln in lines:
+            if ln is not None:
+                wanted += [k ^ h for k in ln.parts]
+                wanted.append(ln.key ^ h)
+                wanted.append((ln.key if ln.head is None else ln.head) ^ h)
+        read.append((lines, own, host))
+    got = codes(np.array(wanted, np.int64))
+    all_lines, all_codes, rows, at = [], [], [], 0
+    for lines, own, host in read:
+        x, c = np.zeros((len(lines), len(WEIGHTS))), np.zeros(len(lines), np.int64)
+        level = []
+        for i, ln in enumerate(lines):
+            if ln is None:
+                level.append((0, 0))
+                continue
+            n = len(ln.parts)
+            part, c[i], head = got[at : at + n], 0 if host is None else got[at + n], got[at + n + 1]
+            at += n + 2
+            if host is None:
+                part, head = part * 0, 0
+            on_host, on_web = int(c[i]) & 3, int(c[i]) >> 2 & 3
+            level.append((on_host, on_web))
+            titles = sum(w for k, w, p in zip(ln.parts, ln.weights, part) if p & TITLE_BIT and k not in own)
+            x[i] = (
+                1, on_host >= 1, on_host >= 2, on_host >= 3, on_web >= 1, on_web >= 2, on_web >= 3, ln.text if on_host >= 2 or on_web >= 2 else 0, ln.text, ln.sentence, ln.separators, titles, ln.head is not None and bool(head & TITLE_BIT),
+                i == 0 or lines[i - 1] is None, 0, 0, ln.table, np.log1p(ln.tags),
+            )
+        # the page's own heading: the first line that is its title, or a part of it that isn't the site's name on every page
+        heading = next((i for i, ln in enumerate(lines) if ln is not None and ln.key in own and level[i][0] < 3), None)
+        if heading is not None:
+            x[:heading, 14] = 1
+            x[heading, 15] = 1
+        all_lines.append(lines)
+        all_codes.append(c)
+        rows.append(x)
+    return all_lines, all_codes, rows
+
+
+def smoothed(rows: list[np.ndarray], shown: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the smoothed log ratio of all lines of all pages, 1 where a line shows something, the page of each), pages one after the other with a gap that the Gaussian cannot cross."""
+    lengths = np.array([len(r) for r in rows])
+    starts = np.concatenate([[0], np.cumsum(lengths + REACH)[:-1]])
+    total = int(lengths.sum()) + REACH * len(rows)
+    flat, mask = np.zeros(total), np.zeros(total)
+    for s, r, m in zip(starts, rows, shown):
+        flat[s : s + len(r)] = (r @ _WEIGHTS) * m
+        mask[s : s + len(r)] = m
+    kernel = np.exp(-0.5 * (np.arange(-REACH, REACH + 1) / SIGMA) ** 2)
+    spread = lambda a: np.convolve(a, kernel)[REACH : REACH + len(a)]
+    return spread(flat) / np.maximum(spread(mask), 1e-9) * mask, mask, np.repeat(np.arange(len(rows)), lengths + REACH)
+
+
+def clustered(smooth: np.ndarray, mask: np.ndarray, page: np.ndarray, n: int) -> np.ndarray:
+    """Two-means on the smoothed ratios of each page: True where a line belongs to the dense cluster."""
+    low, high = np.full(n, ANCHORS[0]), np.full(n, ANCHORS[1])
+    for _ in range(8):
+        up = (smooth >= ((low + high) / 2)[page]) & (mask > 0)
+        down = ~up & (mask > 0)
+        high = (np.bincount(page, smooth * up, n) + ANCHORS[1] * ANCHOR_LINES) / (np.bincount(page, up, n) + ANCHOR_LINES)
+        low = (np.bincount(page, smooth * down, n) + ANCHORS[0] * ANCHOR_LINES) / (np.bincount(page, down, n) + ANCHOR_LINES)
+    return smooth >= ((low + high) / 2)[page]
+
+
+def frame_lines(pages: list[tuple[str, str | None, int | None]], codes: Codes) -> tuple[list[list[int]], list[list[Line | None]], list[np.ndarray]]:
+    """(the numbers of the frame lines, the lines, the lines' codes) of each page (text, title, hash of its host)."""
+    if not pages:
+        return [], [], []
+    lines, seen, rows = traces(pages, codes)
+    shown = [np.array([ln is not None for ln in p], float) for p in lines]
+    smooth, mask, page = smoothed(rows, shown)
+    dense = clustered(smooth, mask, page, len(pages))
+    out, at = [], 0
+    for s in shown:
+        out.append(np.flatnonzero((s > 0) & ~dense[at : at + len(s)]).tolist())
+        at += len(s) + REACH
+    return out, lines, seen
+
+
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 
 
-def host_lines(steps: DataFrame) -> DataFrame:
-    """host, line_key: the lines that recur on at least SHARE of the host's distinct pages (addresses), and on MIN_PAGES."""
-    o = F.col("observation")
-    page = steps.where("observation.text IS NOT NULL AND observation.url IS NOT NULL").select(
-        host_of(o["url"]).alias("host"), F.xxhash64(F.regexp_replace(o["url"], "[?#].*$", "")).alias("page"), F.regexp_replace(o["text"], r"[0-9]+", "0").alias("text")
-    )
-    keys = F.transform(F.split("text", "\n"), lambda x: F.xxhash64(F.btrim(x, F.lit(" \t\r\x0b\x0c"))))
-    lines = page.select("host", "page", F.explode(F.array_distinct(keys)).alias("line_key"))
-    on = lines.distinct().groupBy("host", "line_key").agg(F.count(F.lit(1)).alias("n"))
-    pages = page.groupBy("host").agg(F.approx_count_distinct("page", 0.02).alias("pages"))
-    often = on.where(F.col("n") >= MIN_PAGES).join(pages, "host").where(F.col("n") >= SHARE * F.col("pages"))
-    return often.select("host", "line_key")
+def _masked(c: Column) -> Column:
+    return F.regexp_replace(c, "[0-9]+", "0")
 
 
-def with_host_lines(steps: DataFrame, lines: DataFrame, *columns: Column | str) -> DataFrame:
-    """steps with the list of its host's recurring lines. The lists are broadcast while their counted entries stay under
-    BROADCAST_ENTRIES; beyond that the join is salted, so that a host with a third of all rows spreads over SALT tasks."""
-    kept = cut_lineage(lines.groupBy("host").agg(F.collect_list("line_key").alias("recurring")))
-    entries = kept.agg(F.coalesce(F.sum(F.size("recurring")), F.lit(0))).first()[0]
-    left = steps.select(host_of(F.col("observation.url")).alias("host"), *columns)
-    if entries <= BROADCAST_ENTRIES:
-        return left.join(F.broadcast(kept), "host", "left")
-    left = left.withColumn("salt", F.abs(F.xxhash64(F.monotonically_increasing_id())) % SALT)
-    right = kept.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).cast("bigint"))
-    return left.join(right, ["host", "salt"], "left").drop("salt")
+def _hashes(parts: Column) -> Column:
+    return F.transform(parts, lambda x: F.xxhash64(F.btrim(x, F.lit(EDGES))))
 
 
-def frame_numbers(steps: DataFrame) -> DataFrame:
-    """step_id, lines: the numbers of the frame lines of each step's page, once per step."""
+def recurrences(steps: DataFrame) -> DataFrame:
+    """entry, code: for each (host, line) that recurs, and for each title of a host's pages, the hash of both and how
+    recurrent it is: the level among the host's pages (0-3), 4 times that among the hosts, 16 for a title."""
     o = F.col("observation")
-    links = F.transform(F.filter(o["elements"], lambda e: e["tag"] == "a"), lambda e: F.trim(e["name"]))
-    rows = with_host_lines(steps, host_lines(steps), "step_id", o["text"].alias("text"), o["title"].alias("title"), links.alias("links")).where("step_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hosts: dict[str | None, frozenset] = {None: frozenset()}
+    page = steps.where("observation.text IS NOT NULL AND observation.url IS NOT NULL").select(
+        F.xxhash64(host_of(o["url"])).alias("host"), F.xxhash64(F.regexp_replace(o["url"], "[?#].*$", "")).alias("page"), _hashes(F.split(_masked(o["text"]), "\n")).alias("keys"),
+        F.when(o["title"].isNotNull(), _hashes(F.array_append(F.split(_masked(o["title"]), TITLE_SEPARATORS), _masked(o["title"])))).alias("titles"),
+    )
+    lines = page.select("host", "page", F.explode(F.array_distinct("keys")).alias("key")).distinct()
+    pages = page.groupBy("host").agg(F.approx_count_distinct("page", 0.02).alias("pages"))
+    on = lines.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).join(pages, "host")
+    on = cut_lineage(on.select("host", "key", ((F.col("n") - 1) / (F.col("pages") + DOUBT)).alias("share")))
+    hosts = on.select("host").distinct().count()
+    web = on.groupBy("key").agg(F.count(F.lit(1)).alias("hosts")).select("key", ((F.col("hosts") - 1) / (hosts + DOUBT)).alias("web")).where(F.col("web") > HOST_LEVELS[0])
+    level = lambda c, bounds: sum((F.coalesce(F.col(c), F.lit(0.0)) > b).cast("int") for b in bounds)
+    lined = on.join(web, "key", "left").select("host", "key", (level("share", LEVELS) + 4 * level("web", HOST_LEVELS)).alias("code")).where("code > 0")
+    titled = page.select("host", F.explode("titles").alias("key")).distinct().withColumn("code", F.lit(TITLE_BIT))
+    return lined.unionByName(titled).select(F.col("host").bitwiseXOR(F.col("key")).alias("entry"), "code").groupBy("entry").agg(F.sum("code").cast("int").alias("code"))
+
+
+def with_pages(steps: DataFrame, fn: Callable[[pa.RecordBatch, list[Codes]], pa.RecordBatch], schema: str, *more: Column, broadcast: int = BROADCAST_ENTRIES) -> DataFrame:
+    """fn over Arrow batches of step_id, text, title, host (its hash) and `more`, with the codes of recurrent lines."""
+    entries = cut_lineage(recurrences(steps))
+    o = F.col("observation")
+    host = F.xxhash64(F.nullif(host_of(o["url"]), F.lit("")))
+    rows = steps.where("step_id IS NOT NULL").select(F.col("step_id").cast("bigint"), o["text"].alias("text"), o["title"].alias("title"), F.when(o["url"].isNotNull(), host).alias("host"), *more)
+    if entries.limit(broadcast + 1).count() <= broadcast:
+        t = entries.toArrow()  # at most `broadcast` rows of 12 bytes
+        keys, codes = t.column(0).to_numpy(), t.column(1).to_numpy().astype(np.uint8)
+        order = np.argsort(keys)
+        shared = steps.sparkSession.sparkContext.broadcast((keys[order], codes[order]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = Recurrence(*shared.value)
+            for b in batches:
+                yield fn(b, known)
+
+        return rows.mapInArrow(run, schema)
+    # one row for each step, then its candidates joined to the entries, salted: a line of a host with a third of all rows is no hot key
+    rows = rows.dropDuplicates(["step_id"])
+    parts = F.concat(*[_hashes(F.split(_masked(F.col("text")), at)) for at in ("\n", f"\n|{SEPARATORS}", f"\n|{COLON}|{SEPARATORS}")])
+    wanted = rows.where("host IS NOT NULL AND text IS NOT NULL").select("step_id", "host", F.explode(F.array_distinct(parts)).alias("key"))
+    wanted = wanted.select("step_id", F.col("key").bitwiseXOR(F.col("host")).alias("entry"), F.pmod(F.xxhash64("step_id"), F.lit(SALT)).alias("salt"))
+    salted = entries.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))))
+    met = wanted.join(salted, ["entry", "salt"]).groupBy("step_id").agg(F.collect_list("entry").alias("entries"), F.collect_list("code").alias("codes"))
+
+    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c = dict(zip(b.schema.names, b.columns))
-            host = c["host"].to_pylist()
-            for k, h in enumerate(host):
-                if h not in hosts:
-                    v = c["recurring"][k]
-                    hosts[h] = frozenset(v.as_py() or ())
-            done: dict[tuple, int] = {}
-            todo, which = [], []
-            text, title, links = c["text"].to_pylist(), c["title"].to_pylist(), c["links"]
-            for k, (t, ti, h) in enumerate(zip(text, title, host)):
-                j = done.get((t, ti))
-                if j is None:
-                    j = done[(t, ti)] = len(todo)
-                    todo.append((t, ti, links[k].as_py(), hosts[h], h))
-                which.append(j)
-            found = frame_lines(todo)
-            yield pa.RecordBatch.from_arrays([c["step_id"].cast(pa.int64()), pa.array([found[j] for j in which], pa.list_(pa.int32()))], names=["step_id", "lines"])
-
-    return rows.mapInArrow(run, "step_id BIGINT, lines ARRAY<INT>").groupBy("step_id").agg(F.first("lines").alias("lines"))
-
-
-def frame_rows(steps: DataFrame) -> DataFrame:
-    """step_id, line_no: one row for each frame line with visible characters. Null and empty texts have no lines;
-    a step delivered repeatedly counts once; further columns are ignored."""
-    return frame_numbers(steps).select("step_id", F.explode("lines").alias("line_no"))
-
-
-def main_bodies(steps: DataFrame) -> DataFrame:
-    """step_id, body, n_lines: the main body of each step's page; null where the text is null, empty where all is frame."""
-    text = steps.select("step_id", F.col("observation.text").alias("text")).where("step_id IS NOT NULL").groupBy("step_id").agg(F.first("text").alias("text"))
-    both = text.join(frame_numbers(steps), "step_id", "left")
-    lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda x, i: ~F.array_contains(F.coalesce(F.col("lines"), F.array().cast("array<int>")), i))
-    return both.select("step_id", F.array_join(kept, "\n").alias("body"), F.size(kept).alias("n_lines"))
+            keys = b.column("entries").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            codes = b.column("codes").flatten().to_numpy(zero_copy_only=False)
+            keys, first = np.unique(keys, return_index=True)
+            yield fn(b.drop_columns(["entries", "codes"]), Recurrence(keys, codes[first]))
+
+    return rows.join(met, "step_id", "left").mapInArrow(run_joined, schema)
+
+
+def each_page(b: pa.RecordBatch, codes: Codes) -> tuple[list[tuple], list[int], tuple]:
+    """(the different pages of a batch, which of them each row has, what frame_lines says of them)."""
+    done: dict[tuple, int] = {}
+    which = [done.setdefault(k, len(done)) for k in zip(b.column("text").to_pylist(), b.column("title").to_pylist(), b.column("host").to_pylist())]
+    pages = list(done)
+    some = [k for k, p in enumerate(pages) if p[0]]
+    frames, lines, seen = frame_lines([pages[k] for k in some], codes)
+    full: list[tuple] = [([], [], np.empty(0, np.int64))] * len(pages)
+    for k, *got in zip(some, frames, lines, seen):
+        full[k] = tuple(got)
+    return pages, which, full
+
+
+def frame_rows(steps: DataFrame, broadcast: int = BROADCAST_ENTRIES) -> DataFrame:
+    """step_id, line_no: one row for each frame line with visible characters. Null and empty texts have no lines; a page
+    without an address is judged by what it shows alone; a step delivered repeatedly counts once; further columns are ignored."""
+
+    def run(b: pa.RecordBatch, codes: Codes) -> pa.RecordBatch:
+        _, which, got = each_page(b, codes)
+        return pa.RecordBatch.from_arrays([b.column("step_id"), pa.array([got[k][0] for k in which], pa.list_(pa.int32()))], names=["step_id", "lines"])
+
+    numbers = with_pages(steps, run, "step_id BIGINT, lines ARRAY<INT>", broadcast=broadcast)
+    return numbers.groupBy("step_id").agg(F.first("lines").alias("lines")).select("step_id", F.explode("lines").alias("line_no"))
+
+
+def main_bodies(steps: DataFrame, broadcast: int = BROADCAST_ENTRIES) -> DataFrame:
+    """step_id, body, n_lines: the main body of each step's page and how many lines it kept (blank ones too); null where
+    the text is null, empty where all is frame. The bodies are cut where the pages are read; no text is shuffled but they."""
+
+    def run(b: pa.RecordBatch, codes: Codes) -> pa.RecordBatch:
+        pages, which, got = each_page(b, codes)
+        bodies, counts = [], []
+        for (text, _, _), (frame, _, _) in zip(pages, got):
+            out = set(frame)
+            kept = None if text is None else [x for i, x in enumerate(text.split("\n")) if i not in out]
+            bodies.append(None if kept is None else "\n".join(kept))
+            counts.append(None if kept is None else len(kept))
+        return pa.RecordBatch.from_arrays([b.column("step_id"), pa.array([bodies[k] for k in which], pa.string()), pa.array([counts[k] for k in which], pa.int32())], names=["step_id", "body", "n_lines"])
+
+    return with_pages(steps, run, "step_id BIGINT, body STRING, n_lines INT", broadcast=broadcast).dropDuplicates(["step_id"])

@@ -1,58 +1,68 @@
 """Problem 3: template residue, filler, error pages and demands for scripts where real content should stand.
 
-Method. Normalised lines are counted by host (the table of problem 2); the lines recurrent there, and the rest of the
-site's frame, are subtracted; the residual of a page is searched for evidence. Unfilled placeholders, their rendered
-leftovers and filler count wherever they stand in it; error pages and demands for scripts only if little else is left.
-Sentences that explain or quote such things carry words of explanation and don't count. Every distinct line is judged
-once per worker and kept, since pages repeat theirs.
+Method. Normalised lines are counted by host (the counts of problem 2) and the recurrent ones, the host's boilerplate,
+are subtracted; the residual of a page is searched for evidence. Unfilled placeholders, their rendered leftovers and
+filler count wherever they stand in the residual. Error messages and demands for scripts count by their share of what is
+left of the page: the plain wordings from SHARE on, sentences that only speak of an error or of scripts from LOOSE_SHARE
+on, on a page without a heading of its own, so that a small notice beside a full page, or a page about such things, doesn't. The rest is weighed without the lines
+that problem 2 finds thin. Sentences that explain or quote placeholders carry words of explanation and don't count.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtrace.llm import page_body
-from loomtrace.llm.page_body import BLANK, FRAME, frame_lines, host_lines, known_facts, line_key, with_host_lines
+from loomtrace.llm.common import is_shown
+from loomtrace.llm.page_body import _TITLE_SEP, BROADCAST_ENTRIES, Codes, each_page, with_pages
 
-#: Characters that may stand beside an error message or a demand for scripts before the page counts as full.
-BESIDE = 90
+#: A line on more than the second of page_body's LEVELS of its host's pages is boilerplate.
+RECURRENT = 2
+#: The share of a page's residual from which evidence of an error page or of a demand for scripts counts: plain wordings, and sentences that speak of it.
+SHARE, LOOSE_SHARE = 0.1, 0.5
 
 # Shapes of unfilled slots, phrases of errors and fillers.
 _NAME = r"[A-Za-z][\w.]*"
 _HTML = "a|abbr|address|article|aside|audio|b|base|blockquote|body|br|button|canvas|caption|cite|code|col|dd|del|details|div|dl|dt|em|embed|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|i|iframe|img|input|ins|kbd|label|legend|li|link|main|map|meta|nav|noscript|object|ol|optgroup|option|p|param|picture|pre|q|s|samp|script|section|select|small|source|span|strong|style|sub|summary|sup|svg|table|tbody|td|template|textarea|tfoot|th|thead|time|title|tr|track|u|ul|var|video|wbr"
 SLOTS = (
     rf"\{{\{{\s*{_NAME}", rf"[$#]\{{\s*{_NAME}\s*\}}", rf"\{{%\s*{_NAME}\s*%\}}", rf"\{{\s*{_NAME}\s*\}}", r"\{\d\}", rf"<!--\s*{_NAME}\s*-->", rf"<%=?\s*{_NAME}\s*%>",
-    rf"%%{_NAME}%%", rf"%{_NAME}%", rf"(?<!\w)__{_NAME}?__(?!\w)", rf"@@{_NAME}@@", r"(?<![\w$])\$[A-Za-z][\w.]{2,}\$", rf"\[\[{_NAME}\]\]", r"\[[A-Za-z_. ]+ HERE\]", r"\[[A-Z]+(?:_[A-Z]+)+\]", r"\[(?:insert|your) [^\]]*\]",
+    rf"%%{_NAME}%%", rf"%{_NAME}%", rf"(?<!\w)__{_NAME}?__(?!\w)", rf"@@{_NAME}@@", r"(?<![\w$])\$[A-Za-z][\w.]{2,}\$", rf"\[\[{_NAME}\]\]", r"\[\[[A-Z]+(?:[ _][A-Z]+)+\]\]", r"\[[A-Za-z_. ]+ HERE\]", r"\[[A-Z]+(?:_[A-Z]+)+\]", r"\[(?:insert|your) [^\]]*\]",
     rf"XX_{_NAME}?_XX", rf"%\({_NAME}\)[sdf]", r"(?<![\w%])%[sd]\b", r"<(?:insert|your|no) [^>]*>", rf"(?:<|&lt;)(?!(?:{_HTML})\b){_NAME}(?:>|&gt;)",
 )
 EXPLAINS = r"\b(?:writes?|use|used|form|works|described|engine|templates?|placeholders?|brackets?|python|yields?|printf|syntax|variables?|chapter|fixed|machine|envelope|rank|matrix|subsets?|branch|means?|stands? for|replaced by|example|function|behaviou?r|sum|rows|stops|columns?|test|reader|schreib\w*|verwend\w*|écri\w*|utilis\w*|escrib\w*|usar?)\b"
 LEFTOVER = r"(?<![\w'\"“])(?:undefined|NaN|null|None)(?![\w'\"”])"
 LOREM = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident culpa officia deserunt mollit anim est laborum vestibulum gravida porta mollis aliquam tempora facilis magnum ornatum nihilum".split())
 FILLER = (
-    r"placeholder (?:copy|text|content)\b.{0,60}$", r"^sample text\.? (?:please )?replace\b", r"\breplace this (?:paragraph|text|sentence)\b", r"^(?:tbd[.\s]*)+$", r"\basdf\b.*\basdf\b|\bqwertz?y? qwert", r"^(?:x{3,}[\s.,]*){2,}$",
+    r"placeholder (?:copy|text|content)\b.*$", r"^sample text\.? (?:please )?replace\b", r"\breplace this (?:paragraph|text|sentence)\b", r"^(?:tbd[.\s]*)+$", r"\basdf\b.*\basdf\b|\bqwertz?y? qwert", r"^(?:x{3,}[\s.,]*){2,}$",
     r"\bblah[, ]+blah\b", r"\b(?-i:TODO):? (?:write|add|insert|fill|describe|translate|replace|text|content|error)\b", r"\b(?:your|insert) (?:text|title|content|description|name) here\b", r"^(?:coming soon|under construction|new page|untitled document|page title|add a title)[.!…]*$",
-    r"^(?:hier steht|hier kommt) (?:ein )?(?:blindtext|beispieltext)|^dies ist ein blindtext|\bblindtext\b.{0,40}$", r"^texte? (?:d'exemple|de relleno|de ejemplo)\b", r"\bfoo bar baz\b", r"^(?:product name|item name|heading|headline|paragraph) \d+$",
-    r"\b(?:goes|go|comes) here\b[.!]?$", r"^(?:please )?(?:enter|add|type|put|insert|write|describe) (?:a|an|your|some|the) [\w ,-]{0,40}\b(?:here|to this section|in this section|for this page)[.!]?$", r"\btexte provisoire\b|\btexte à remplacer\b|\b(?:platzhalter|muster|füll)text\b|\btexto (?:provisional|de muestra|de relleno)\b|\bcontenido pendiente\b|\bhier text (?:einfügen|eingeben)\b", r"\b(\w{3,})(?:\s+\1\b){3,}",
+    r"^(?:hier steht|hier kommt) (?:ein )?(?:blindtext|beispieltext)|^dies ist ein blindtext|\bblindtext\b.*$", r"^texte? (?:d'exemple|de relleno|de ejemplo)\b", r"\bfoo bar baz\b", r"^(?:product name|item name|heading|headline|paragraph) \d+$",
+    r"\b(?:goes|go|comes) here\b[.!]?$", r"^(?:please )?(?:enter|add|type|put|insert|write|describe) (?:a|an|your|some|the) [\w ,-]*\b(?:here|to this section|in this section|for this page)[.!]?$", r"\btexte provisoire\b|\btexte à remplacer\b|\b(?:platzhalter|muster|füll)text\b|\btexto (?:provisional|de muestra|de relleno)\b|\bcontenido pendiente\b|\bhier text (?:einfügen|eingeben)\b", r"\b(\w{3,})(?:\s+\1\b){3,}",
 )
 ERROR = (
-    r"http status \d+(?:\s*[–:-].{0,60})?|.{0,60}\(http \d{3}\)", r"(?:http )?(?:status|error|fehler|erreur|code)\s*[:#]?\s*\d{3}(?:\s*[–:-]?\s*[\w' ]{0,40})?", r"\d{3}\s*[–:-]?\s*(?:internal server error|not found|forbidden|bad gateway|service unavailable|unauthori[sz]ed|bad request|gateway time-?out|not acceptable|too many requests|gone)",
-    r"(?:internal server error|bad gateway|service unavailable|gateway time-?out)(?:\s*[–-].*)?", r"(?:page|seite|file) not found(?:\. .{0,70})?|seite nicht gefunden|page (?:introuvable|non trouvée)|página no encontrada|404",
-    r"access denied|access to this page (?:is|was) denied|forbidden|acceso denegado|accès refusé|zugriff verweigert", r"(?:oops|whoops|hoppla|oups|uy|vaya)\b.{0,70}", r"(?:sorry, )?something went wrong.{0,60}|(?:ha ocurrido|se ha producido) un error.{0,60}|une erreur (?:est survenue|s'est produite).{0,60}|ein fehler ist aufgetreten.{0,60}|etwas ist schiefgelaufen.{0,60}",
-    r"service (?:is )?(?:temporarily |currently )?unavailable.{0,60}|service momentanément indisponible.{0,40}|(?:der )?dienst (?:ist )?(?:vorübergehend|derzeit) nicht verfügbar.{0,40}|servicio (?:temporalmente )?no disponible.{0,40}", r"(?:we are |we're )?temporarily offline.{0,40}|offline", r"we['’]ll be right back.{0,40}|(?:we are|we're) (?:currently )?down for maintenance.{0,60}|scheduled works are under way.{0,40}|under maintenance.{0,40}",
-    r"this site can['’]t be reached.{0,60}|the connection was (?:reset|refused|interrupted).{0,40}|(?:database )?connection (?:failed|lost).{0,40}|host did not answer.{0,60}|(?:connection|request) timed out.{0,40}", r"(?:your )?session (?:has )?expired.{0,80}", r"this (?:listing|page|item|product) (?:is no longer available|has moved|was deleted|does not exist).{0,60}", r"not available in your (?:region|country).{0,40}", r"the (?:link|address) you followed is (?:broken|wrong).{0,60}",
-    r"we are experiencing heavy traffic.{0,60}|you are number \d+ in the queue.{0,40}|too many requests.{0,60}", r"traceback \(most recent call last\):.{0,200}|unhandled exception.{0,120}|fatal error.{0,120}", r"(?:checking|verifying) your browser.{0,80}|verify (?:that )?you are (?:a )?human.{0,60}|are you a robot\??", r"you do not have permission.{0,80}", r"the server (?:met|encountered) an? (?:unexpected condition|error).{0,80}", r"(?:sorry, )?(?:we|you) could(?: not|n['’]t) (?:find|load).{0,80}", r"(?:no|nothing) (?:results )?found here.{0,40}", r"la página no existe.{0,40}|cette page n'existe (?:pas|plus).{0,40}|diese seite existiert nicht.{0,40}",
+    r"http status \d+(?:\s*[–:-].*)?|.*\(http \d{3}\)", r"(?:http )?(?:status|error|fehler|erreur|code)\s*[:#]?\s*\d{3}(?:\s*[–:-]?\s*[\w' ]*)?", r"\d{3}\s*[–:-]?\s*(?:internal server error|not found|forbidden|bad gateway|service unavailable|unauthori[sz]ed|bad request|gateway time-?out|not acceptable|too many requests|gone)",
+    r"(?:internal server error|bad gateway|service unavailable|gateway time-?out)(?:\s*[–-].*)?", r"(?:page|seite|file) not found(?:\. .*)?|seite nicht gefunden|page (?:introuvable|non trouvée)|página no encontrada|404",
+    r"access denied|access to this page (?:is|was) denied|forbidden|acceso denegado|accès refusé|zugriff verweigert", r"(?:oops|whoops|hoppla|oups|uy|vaya)\b.*", r"(?:sorry, )?something went wrong.*|(?:ha ocurrido|se ha producido) un error.*|une erreur (?:est survenue|s'est produite).*|ein fehler ist aufgetreten.*|etwas ist schiefgelaufen.*",
+    r"service (?:is )?(?:temporarily |currently )?unavailable.*|service momentanément indisponible.*|(?:der )?dienst (?:ist )?(?:vorübergehend|derzeit) nicht verfügbar.*|servicio (?:temporalmente )?no disponible.*", r"(?:we are |we're )?temporarily offline.*|offline", r"we['’]ll be right back.*|(?:we are|we're) (?:currently )?down for maintenance.*|scheduled works are under way.*|under maintenance.*",
+    r"this site can['’]t be reached.*|the connection was (?:reset|refused|interrupted).*|(?:database )?connection (?:failed|lost).*|host did not answer.*|(?:connection|request) timed out.*", r"(?:your )?session (?:has )?expired.*", r"this (?:listing|page|item|product) (?:is no longer available|has moved|was deleted|does not exist).*", r"not available in your (?:region|country).*", r"the (?:link|address) you followed is (?:broken|wrong).*",
+    r"we are experiencing heavy traffic.*|you are number \d+ in the queue.*|too many requests.*", r"traceback \(most recent call last\):.*|unhandled exception.*|fatal error.*", r"(?:checking|verifying) your browser.*|verify (?:that )?you are (?:a )?human.*|are you a robot\??", r"you do not have permission.*", r"the server (?:met|encountered) an? (?:unexpected condition|error).*", r"(?:sorry, )?(?:we|you) could(?: not|n['’]t) (?:find|load).*", r"(?:the|this) (?:page|address|file|document|resource) (?:you (?:are looking for|were looking for|requested|asked for) )?(?:does not exist|could not be found|was not found|has been removed).*", r"(?:no|nothing) (?:results )?found here.*", r"(?:la|esta) página (?:solicitada )?no existe.*|(?:cette|la) page (?:demandée )?n'existe (?:pas|plus).*|(?:diese|die angeforderte) seite existiert nicht.*",
     r"<html\b.*(?:bad gateway|error|unavailable|not found|forbidden|denied).*", r"\[object object\]",
 )
 SCRIPTS = (
-    r"(?:please )?(?:enable|activate|turn on|switch on|allow) (?:javascript|scripts?|js)\b.{0,60}", r"you need to enable javascript.{0,60}", r"(?:this|our) (?:site|page|website|app) (?:requires|needs) (?:javascript|scripts?|js)\b.{0,80}", r"(?:js|javascript|scripts?|scripting) (?:is |are )?(?:disabled|switched off|turned off|required|needed|off)\b.{0,60}", r"(?:your browser is not supported\.? ?)?scripting must be active.{0,30}", r"if nothing happens, javascript is switched off.{0,20}", r"(?:.{0,40} )?scripts and cookies have to be on.{0,20}",
-    r"veuillez activer javascript.{0,60}|javascript est désactivé.{0,40}", r"active javascript.{0,60}|(?:por favor, )?(?:habilite|active) (?:el )?javascript.{0,60}", r"(?:bitte )?(?:aktivieren sie|schalten sie) javascript.{0,60}|javascript (?:muss|ist) (?:aktiviert|deaktiviert).{0,40}",
+    r"(?:please )?(?:enable|activate|turn on|switch on|allow) (?:javascript|scripts?|js)\b.*", r"you need to enable javascript.*", r"(?:this|our) (?:site|page|website|app) (?:requires|needs) (?:javascript|scripts?|js)\b.*", r"(?:js|javascript|scripts?|scripting) (?:is |are )?(?:disabled|switched off|turned off|required|needed|off)\b.*", r"(?:your browser is not supported\.? ?)?scripting must be active.*", r"if nothing happens, javascript is switched off.*", r"(?:.* )?scripts and cookies have to be on.*",
+    r"veuillez activer javascript.*|javascript est désactivé.*", r"active javascript.*|(?:por favor, )?(?:habilite|active) (?:el )?javascript.*", r"(?:bitte )?(?:aktivieren sie|schalten sie) javascript.*|javascript (?:muss|ist) (?:aktiviert|deaktiviert).*",
+)
+WEAK = r"query .* timed out|(?:please )?(?:try|load|reload)\b.*|(?:our team|we) (?:has been told|have been told).*|go back\b.*|vuelva a intentarlo.*|réessayez.*|versuchen sie es.*|loading…?\.*|just a moment…?\.*|incident .*|(?:request|ray) [\w-]+|this takes up to .*|\w*(?:error|exception): .*|do not reload\.?|error|fehler|erreur"
+
+# what a sentence that only speaks of scripts, or of a failed request, has: a word of each group
+LOOSE = (
+    (r"\b(?:java\s?scripts?|scripts?|scripting|js|skripte?)\b", r"\b(?:enabl\w*|activ\w*|aktiv\w*|turn\w*|switch\w*|allow\w*|requir\w*|needs?|must|only|without|disabled|off|eingeschaltet\w*|einschalten|benötig\w*|nur|ohne|désactiv\w*|nécessaire|sans|requis|habilit\w*|desactivad\w*|necesi\w*|sin|blocked|blockiert)\b"),
+    (r"\b[45]\d\d\b", r"\b(?:errors?|fehler|erreurs?|errores|http\S*|upstream|gateway|denied|refused|forbidden|unavailable|not found|timed? ?out|overload\w*|server|proxy|status|verweigert|refusé|denegado|indisponible|nicht (?:gefunden|verfügbar)|introuvable|no (?:encontrad\w*|disponible))\b"),
 )
-WEAK = r"query .{0,30} timed out|(?:please )?(?:try|load|reload)\b.{0,60}|(?:our team|we) (?:has been told|have been told).{0,60}|go back\b.{0,40}|vuelva a intentarlo.{0,40}|réessayez.{0,40}|versuchen sie es.{0,40}|loading…?\.{0,3}|just a moment…?\.{0,3}|incident .{0,30}|(?:request|ray) [\w-]+|this takes up to .{0,80}|\w*(?:error|exception): .{0,80}|do not reload\.?|error|fehler|erreur"
 
 FILLER_HINTS = ("placeholder", "sample text", "replace this", "tbd", "asdf", "qwert", "xxx", "blah", "todo", " here", "coming soon", "construction", "new page", "untitled", "page title", "add a title", "blindtext", "beispieltext", "texte d", "texto d", "foo bar", "product name", "item name", "heading", "headline", "paragraph", "section", "provisoire", "remplacer", "text", "pendiente", "for this page")
 _SLOT = re.compile("|".join(SLOTS))
@@ -63,13 +73,13 @@ _FILLER = re.compile("|".join(FILLER), re.I)
 _ERROR = re.compile("|".join(ERROR), re.I)
 _SCRIPTS = re.compile("|".join(SCRIPTS), re.I)
 _WEAK = re.compile(WEAK, re.I)
+_LOOSE = [[re.compile(x, re.I) for x in group] for group in LOOSE]
+_QUOTES = re.compile(r"[“”„«»]")
+_STOP = re.compile(r"[\s.!…]+$")
 _CODE = re.compile(r"^\s*(?:for |if |def |return |import |class |SELECT |[\[{]\s*\"|\w+ [+-]?= )|\bWHERE\b|;$")
 _PARTS = re.compile(r"(?<=[.!?…])\s+")
 _PREFIX = re.compile(r"^\w*(?:Error|Exception|Fehler|Erreur)\s?: ")
 
-PLAIN, IN_PLACE, FAILS, MARGIN = range(4)
-
-
 def slotted(line: str) -> bool:
     """An unfilled placeholder or its rendered leftover, in a sentence that doesn't explain it."""
     if _SLOT_HINT.search(line) and not _CODE.search(line):
@@ -93,45 +103,66 @@ def filler(line: str) -> bool:
     return len(words) >= 3 and sum(w in LOREM for w in words) >= 0.3 * len(words) and ("lorem" in words or len(words) >= 8)
 
 
-def judged(line: str) -> int:
-    """PLAIN; IN_PLACE: a case wherever it stands; FAILS: one if it stands nearly alone; MARGIN: may stand beside a failure."""
+#: How much of a line is what: (it has residue or filler, characters of plain failure, of loose failure, beside a failure, of anything else).
+Judged = tuple[bool, int, int, int, int]
+
+
+def judged(line: str) -> Judged:
+    """What the sentences of a line show, each by its whole length."""
     s = line.strip()
     if slotted(s) or filler(s):
-        return IN_PLACE
-    if len(s) <= 260 and (_ERROR.fullmatch(s) or _SCRIPTS.fullmatch(s)):
-        return FAILS
-    return MARGIN if _WEAK.fullmatch(s) else PLAIN
+        return True, 0, 0, 0, 0
+    if failing(s):
+        return False, len(s), 0, 0, 0
+    n = [0, 0, 0, 0]
+    for p in _PARTS.split(s):
+        n[0 if failing(p) else 2 if _WEAK.fullmatch(p) else 1 if any(all(x.search(p) for x in g) for g in _LOOSE) and not _EXPLAINS.search(p) and not _QUOTES.search(p) else 3] += len(p)
+    return False, *n
 
 
-_judged: dict[str, int] = {}
+def failing(part: str) -> bool:
+    """A plain wording of an error page or of a demand for scripts, not one that is quoted."""
+    p = _STOP.sub("", part) or part
+    return not _QUOTES.search(part) and bool(_ERROR.fullmatch(p) or _ERROR.fullmatch(part) or _SCRIPTS.fullmatch(p))
 
 
-def known_judged(line: str) -> int:
+_judged: dict[str, Judged] = {}
+
+
+def known_judged(line: str) -> Judged:
+    """The same, kept for the worker for lines of ordinary length: 100,000 of at most 400 characters."""
+    if len(line) > 400:
+        return judged(line)
     j = _judged.get(line)
     if j is None:
-        if len(_judged) > 400_000:
+        if len(_judged) >= 100_000:
             _judged.clear()
         j = _judged[line] = judged(line)
     return j
 
 
-def page_fails(text: str, frame: list[int], recurring: frozenset | set, title: str | None) -> bool:
-    """Whether a page's residual shows residue, filler, an error or a demand for scripts."""
+def page_fails(text: str, title: str | None, frame: list[int], codes: np.ndarray) -> bool:
+    """Whether a page's residual shows residue, filler, an error or a demand for scripts. codes: how recurrent each line is on its host."""
     frames = set(frame)
-    fails, beside = False, 0
-    heading = {p for p in page_body._TITLE_SEP.split(title or "")}
+    total, headed = np.zeros(4), False
+    heading = {p for p in (title or "", *_TITLE_SEP.split(title or ""))}
     for i, raw in enumerate(text.split("\n")):
         s = raw.strip()
-        if not s or recurring and line_key(s) in recurring or i in frames and known_facts(s)[2] == FRAME:
+        if not s:
+            continue
+        in_place, *n = known_judged(s)
+        if s in heading and n[3]:
+            headed = True
+        if int(codes[i]) & 3 >= RECURRENT:
             continue
-        j = known_judged(s)
-        if j == IN_PLACE:
+        if in_place:
             return True
-        if j == FAILS:
-            fails = True
-        elif i not in frames and j == PLAIN and s not in heading and known_facts(s)[2] != BLANK:
-            beside += len(s)
-    return fails and beside <= BESIDE
+        if i in frames or s in heading or not is_shown(s):
+            n[3] = 0
+        total += n
+    plain, loose, beside, rest = total
+    whole = plain + loose + beside + rest
+    return bool(plain and plain + loose + beside >= SHARE * whole or loose and not headed and plain + loose >= LOOSE_SHARE * whole)
 
 
 def error_fails(error: str) -> bool:
@@ -141,58 +172,56 @@ def error_fails(error: str) -> bool:
         return False
     if re.fullmatch(r"undefined|null|NaN|None", body) or slotted(body) or filler(body) or re.search(r"\bTODO\b", body):
         return True
-    return bool(_SCRIPTS.fullmatch(body) or _ERROR.fullmatch(body))
-
-
-def evidence(steps: DataFrame) -> DataFrame:
-    """step_id, text_fails, error_fails for each step, once per step."""
-    o = F.col("observation")
-    links = F.transform(F.filter(o["elements"], lambda e: e["tag"] == "a"), lambda e: F.trim(e["name"]))
-    has = "step_id IS NOT NULL AND (text <> '' OR error <> '')"
-    rows = with_host_lines(steps, host_lines(steps), "step_id", o["text"].alias("text"), o["title"].alias("title"), links.alias("links"), F.col("execution_error").alias("error")).where(has)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hosts: dict[str | None, frozenset] = {None: frozenset()}
-        errors: dict[str, bool] = {}
-        for b in batches:
-            c = dict(zip(b.schema.names, b.columns))
-            host, text, title = c["host"].to_pylist(), c["text"].to_pylist(), c["title"].to_pylist()
-            for k, h in enumerate(host):
-                if h not in hosts:
-                    hosts[h] = frozenset(c["recurring"][k].as_py() or ())
-            done: dict[tuple, int] = {}
-            todo, which = [], []
-            for k, key in enumerate(zip(text, title)):
-                if key not in done:
-                    done[key] = len(todo)
-                    todo.append((*key, c["links"][k].as_py(), hosts[host[k]], host[k]))
-                which.append(done[key])
-            bad = [bool(t) and page_fails(t, f, rec, ti) for (t, ti, _, rec, _), f in zip(todo, frame_lines(todo))]
-            err = []
-            for e in c["error"].to_pylist():
-                if e is None:
-                    err.append(False)
-                    continue
-                if e not in errors:
-                    if len(errors) > 100_000:
-                        errors.clear()
-                    errors[e] = error_fails(e)
-                err.append(errors[e])
-            yield pa.RecordBatch.from_arrays([c["step_id"].cast(pa.int64()), pa.array([bad[j] for j in which]), pa.array(err)], names=["step_id", "text_fails", "error_fails"])
-
-    return rows.mapInArrow(run, "step_id BIGINT, text_fails BOOLEAN, error_fails BOOLEAN")
-
-
-def failing_fields(steps: DataFrame) -> DataFrame:
+    return failing(body)
+
+
+_errors: dict[str, bool] = {}
+
+
+def known_error(error: str | None) -> bool:
+    """error_fails, kept for the worker for reports of ordinary length."""
+    if error is None or len(error) > 400:
+        return error is not None and error_fails(error)
+    if error not in _errors:
+        if len(_errors) >= 100_000:
+            _errors.clear()
+        _errors[error] = error_fails(error)
+    return _errors[error]
+
+
+def _judge(b: pa.RecordBatch, codes: Codes) -> tuple[list[bool], list[bool]]:
+    """(the text fails, the error report fails) for each row of a batch."""
+    pages, which, got = each_page(b, codes)
+    bad = [bool(text) and page_fails(text, title, frame, seen) for (text, title, _), (frame, _, seen) in zip(pages, got)]
+    return [bad[k] for k in which], [known_error(e) for e in b.column("execution_error").to_pylist()]
+
+
+def evidence(steps: DataFrame, broadcast: int = BROADCAST_ENTRIES) -> DataFrame:
+    """step_id, text_fails, error_fails for each delivered row."""
+
+    def run(b: pa.RecordBatch, codes: Codes) -> pa.RecordBatch:
+        bad, err = _judge(b, codes)
+        return pa.RecordBatch.from_arrays([b.column("step_id"), pa.array(bad, pa.bool_()), pa.array(err, pa.bool_())], names=["step_id", "text_fails", "error_fails"])
+
+    return with_pages(steps, run, "step_id BIGINT, text_fails BOOLEAN, error_fails BOOLEAN", F.col("execution_error"), broadcast=broadcast)
+
+
+def failing_fields(steps: DataFrame, broadcast: int = BROADCAST_ENTRIES) -> DataFrame:
     """step_id, field ('text' or 'execution_error'), one row for each failing field of a step. Null and empty fields
     don't fail; repeated deliveries count once; further columns are ignored."""
     fields = F.array_compact(F.array(F.when(F.col("text_fails"), F.lit("text")), F.when(F.col("error_fails"), F.lit("execution_error"))))
-    return evidence(steps).where("text_fails OR error_fails").select("step_id", F.explode(fields).alias("field")).distinct()
+    return evidence(steps, broadcast).where("text_fails OR error_fails").select("step_id", F.explode(fields).alias("field")).distinct()
 
 
 def kept_steps(steps: DataFrame) -> DataFrame:
-    """The steps with failing texts and error reports taken out (set to null): step_id, text, execution_error."""
-    bad = failing_fields(steps).groupBy("step_id").agg(F.collect_set("field").alias("bad"))
-    once = steps.where("step_id IS NOT NULL").select("step_id", F.col("observation.text").alias("text"), "execution_error").groupBy("step_id").agg(F.first("text").alias("text"), F.first("execution_error").alias("execution_error"))
-    out = lambda f: F.when(~F.coalesce(F.array_contains("bad", f), F.lit(False)), F.col(f)).alias(f)
-    return once.join(bad, "step_id", "left").select("step_id", out("text"), out("execution_error"))
+    """The steps with failing texts and error reports taken out (set to null): step_id, text, execution_error. Texts are
+    dropped where they are read; those kept are shuffled once, to be one for each step."""
+
+    def run(b: pa.RecordBatch, codes: Codes) -> pa.RecordBatch:
+        kept = []
+        for name, bad in zip(("text", "execution_error"), _judge(b, codes)):
+            c = b.column(name)
+            kept.append(pa.compute.if_else(pa.array(bad, pa.bool_()), pa.scalar(None, c.type), c))
+        return pa.RecordBatch.from_arrays([b.column("step_id"), *kept], names=["step_id", "text", "execution_error"])
+
+    return with_pages(steps, run, "step_id BIGINT, text STRING, execution_error STRING", F.col("execution_error")).dropDuplicates(["step_id"])
