@@ -1,18 +1,24 @@
 """Problem 4: prompt and response pairs with a defect, by tagging the clauses of each answer.
 
 A linear-chain conditional random field tags every clause as answer, refusal, echo, foreign or unfinished; the share of
-the answer that each tag covers makes the pair's defect. The field is trained here, with numpy, on at most TRAIN_REPLIES
-replies (chosen by a hash of their key, so the choice does not depend on the order of rows) and on corruptions of them:
-an answer cut off, the question in its place, an answer in another language. Seed rules label the clauses of the
-sample; the trained field carries over what stands next to them. Everything else covers all rows: a reply is tagged where it
-is read, and only (key, defect) is shuffled.
+the answer that each tag covers makes the pair's defect. Its features are hashed words, pairs of words and word beginnings
+of the clause that the question doesn't have, and measurements: where the clause stands and how it ends, what it shares
+with the question and the prompt, its language against the one expected, what `finish_reason` and `parsed` say.
+
+The field is trained here, with numpy, on at most TRAIN_REPLIES replies of at most TRAIN_CHARS characters, chosen by a hash
+of their key, so the choice does not depend on the order of rows. Labels come from distant evidence (wordings of
+refusals, which are labels only and no features; `finish_reason`; objects that aren't closed) and from corruptions whose
+labels are known by how they were made: an answer cut off, the question in its place or before it, an answer in another
+language. Everything else covers all rows: a reply is tagged where it is read, and only (key, defect) is shuffled.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import random
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +30,10 @@ from loomtrace.llm.common import is_shown
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
-#: The bound of the training sample, and the rounds over it.
-TRAIN_REPLIES, ROUNDS = 3000, 80
+#: Bounds of the training sample: replies, and characters of prompt and content together. Rounds over it.
+TRAIN_REPLIES, TRAIN_CHARS, ROUNDS = 3000, 8000, 60
+#: Hashed features.
+BITS = 16
 #: Shares of an answer's characters from which a tag makes a defect.
 ECHO_SHARE, REFUSAL_SHARE, FOREIGN_SHARE = 0.85, 0.4, 0.5
 
@@ -161,8 +169,23 @@ def language_of(text: str) -> str | None:
 _languages: dict[tuple, str | None] = {}
 
 
+def _weights() -> dict[str, dict[str, float]]:
+    """word: {language: weight} of the learned and the common words together, made once for what has been learned."""
+    if _WEIGHED.get("of") != id(_LEARNED) + len(_LEARNED):
+        out = {w: dict(v) for w, v in _LEARNED.items()}
+        for k, v in _OF.items():
+            for w in v:
+                by = out.setdefault(w, {})
+                by[k] = by.get(k, 0) + 0.5
+        _WEIGHED.update(of=id(_LEARNED) + len(_LEARNED), words=out)
+    return _WEIGHED["words"]
+
+
+_WEIGHED: dict = {}
+
+
 def _language_of(text: str) -> str | None:
-    script = script_of(text)
+    script = None if text.isascii() else script_of(text)
     if script:
         return script
     words = lower_words(text)
@@ -171,21 +194,20 @@ def _language_of(text: str) -> str | None:
     score: dict[str, float] = {}
     if "¿" in text or "¡" in text:
         score["es"] = 1.5
+    weights = _weights()
     for w in words:
-        for k, v in _LEARNED.get(w, {}).items():
+        for k, v in weights.get(w, {}).items():
             score[k] = score.get(k, 0) + v
-        for k, v in _OF.items():
-            if w in v:
-                score[k] = score.get(k, 0) + 0.5
-    for k, marks in _MARKS:
-        n = sum(any(m in w for m in marks) for w in words) * (1.5 if k in ("pl", "tr", "pt") else 0.3)
-        if n:
-            score[k] = score.get(k, 0) + n
-    ranked = sorted(score.items(), key=lambda x: -x[1])
+    if not text.isascii():
+        for k, marks in _MARKS:
+            n = sum(any(m in w for m in marks) for w in words) * (1.5 if k in ("pl", "tr", "pt") else 0.3)
+            if n:
+                score[k] = score.get(k, 0) + n
+    ranked = sorted(score.values(), reverse=True)
     if not ranked:
         return None
-    lead = ranked[0][1] - (ranked[1][1] if len(ranked) > 1 else 0)
-    return ranked[0][0] if ranked[0][1] >= 1 and lead >= 0.4 else None
+    lead = ranked[0] - (ranked[1] if len(ranked) > 1 else 0)
+    return max(score, key=score.get) if ranked[0] >= 1 and lead >= 0.4 else None
 
 
 def expected_language(question: str) -> str | None:
@@ -220,98 +242,198 @@ def clauses(text: str) -> list[str]:
     return [c for c in (x.strip() for x in _CLAUSE.split(text)) if c]
 
 
-FEATURES = ("bias", "first", "last", "refuses", "reports", "courtesy", "is_question", "repeats", "from_prompt", "other_language", "own_language", "open_end", "broken_form", "tail_word", "short", "number", "after_refusal", "answers_more")
+#: Measurements of a clause; the first ids of the field. Hashed words come after them.
+MEASURES = (
+    "bias", "first", "last", "alone", "is_question", "is_echo", "echo_half", "in_prompt", "other_language", "own_language", "no_language", "ended", "open_end", "open_long", "broken_form", "tail_word", "open_list", "short", "short_alone", "number", "cut_by_length", "stopped", "filtered", "parsed_empty",
+)
+_M = {n: k for k, n in enumerate(MEASURES)}
+MASK = (1 << BITS) - 1
+_HASHES: dict[str, int] = {}
+
 
+def _id(feature: str) -> int:
+    k = _HASHES.get(feature)
+    if k is None:
+        if len(_HASHES) >= 200_000:
+            _HASHES.clear()
+        k = zlib.crc32(feature.encode("utf-8", "replace")) & MASK
+        k = _HASHES[feature] = k if k >= len(MEASURES) else k + len(MEASURES)
+    return k
 
-def features(parts: list[str], question: str, prompt: str, expected: str | None, broken: bool, raw: str) -> np.ndarray:
-    """One row of FEATURES for each clause."""
+
+class Clauses:
+    """The clauses of one reply's answer: their texts, feature ids, and the measurements that hold for each."""
+
+    __slots__ = ("parts", "ids", "echo")
+
+    def __init__(self, parts: list[str], ids: list[list[int]], echo: bool) -> None:
+        self.parts, self.ids, self.echo = parts, ids, echo
+
+    def has(self, measure: str) -> np.ndarray:
+        k = _M[measure]
+        return np.array([k in x for x in self.ids], bool)
+
+
+def features(parts: list[str], question: str, prompt: str, expected: str | None, broken: bool, raw: str, finish: str | None = None, parsed: dict | None = None) -> list[list[int]]:
+    """The feature ids of each clause."""
     q, whole = plain(question), plain(prompt)
-    out = np.zeros((len(parts), len(FEATURES)), np.float32)
-    refused = False
+    asked = set(q.split())
+    finish = (finish or "").strip().lower()
+    out = []
+    listed = bool(_LISTED.search(raw.rstrip(" ")))
     for i, p in enumerate(parts):
         c = plain(_LEAD.sub("", p))
         last = i == len(parts) - 1
         lang = language_of(p)
-        refuses = bool(_REFUSES.search(p)) and not _REPORTS.search(p)
         words = c.split()
-        open_end = last and not _END.search(p) and (len(words) >= 4 or len(parts) > 1) and not _ITEM.match(p)
-        row = (
-            1, i == 0, last, refuses, bool(_REPORTS.search(p)), bool(_COURTESY.search(p)), p.rstrip("”\"» ").endswith("?"), bool(c) and len(c) >= 8 and (c == q or c in q and len(c) >= 0.6 * len(q) or q in c and len(q) >= 0.8 * len(c)), len(c) >= 12 and c in whole,
-            lang is not None and expected is not None and lang != expected, lang is not None and lang == expected, open_end, last and broken, last and bool(words) and words[-1] in _TAILS and not _END.search(p), len(words) <= 3, any(x.isdigit() for x in c), refused, len(parts) > 1,
-        )
-        out[i] = row
-        refused = refused or refuses
-    if parts and _LISTED.search(raw.rstrip(" ") if raw else ""):
-        out[-1, FEATURES.index("open_end")] = out[-1, FEATURES.index("tail_word")] = 1
+        ended = bool(_END.search(p))
+        shared = sum(w in asked for w in words) / max(1, len(words))
+        on = {
+            "bias": True, "first": i == 0, "last": last, "alone": len(parts) == 1, "is_question": p.rstrip("”\"» ").endswith("?"), "is_echo": len(c) >= 8 and (c == q or c in q and len(c) >= 0.6 * len(q) or q in c and len(q) >= 0.8 * len(c)),
+            "echo_half": shared >= 0.6 and len(words) >= 4, "in_prompt": len(c) >= 12 and c in whole, "other_language": lang is not None and expected is not None and lang != expected, "own_language": lang is not None and lang == expected, "no_language": lang is None, "ended": last and ended and not listed,
+            "open_end": last and not ended and not _ITEM.match(p), "open_long": last and not ended and (len(words) >= 4 or len(parts) > 1) and not _ITEM.match(p), "broken_form": last and broken, "tail_word": last and not ended and bool(words) and words[-1] in _TAILS, "open_list": last and listed,
+            "short": len(words) <= 3, "short_alone": len(words) <= 3 and len(parts) == 1, "number": any(x.isdigit() for x in c), "cut_by_length": last and finish == "length", "stopped": last and finish == "stop", "filtered": finish == "content_filter", "parsed_empty": parsed is not None and not is_shown(dict(parsed).get("answer")),
+        }
+        ids = [_M[k] for k, v in on.items() if v]
+        own = [w for w in words if w not in asked and not w.isdigit()]
+        ids += {_id(w) for w in own} | {_id(f"{a} {b}") for a, b in zip(own, own[1:])} | {_id("^" + w[:5]) for w in own if len(w) > 5}
+        out.append(ids)
     return out
 
 
-def seed_tags(x: np.ndarray) -> np.ndarray:
-    """Labels of the training sample, from the plain evidence of each clause."""
-    f = {n: x[:, k] > 0 for k, n in enumerate(FEATURES)}
-    tags = np.full(len(x), ANSWER)
-    tags[f["other_language"]] = FOREIGN
-    tags[f["refuses"] & ~f["reports"]] = REFUSAL
-    if (tags == REFUSAL).any():
-        tags[f["courtesy"] & (tags == ANSWER)] = REFUSAL
-    tags[f["repeats"]] = ECHO
-    tags[(f["open_end"] | f["broken_form"] | f["tail_word"]) & ~f["repeats"]] = UNFINISHED
+def sequence(prompt: str | None, content: str | None, finish: str | None = None, parsed: dict | None = None) -> Clauses | None:
+    """The clauses of a reply's answer; None if there is no answer with visible characters."""
+    answer, broken = answer_of(content)
+    if not is_shown(answer):
+        return None
+    question = question_of(prompt)
+    parts = clauses(answer) or [answer.strip()]
+    said, q = plain(_LEAD.sub("", " ".join(parts))), plain(question)
+    copied = bool(said) and said in (q, plain(prompt or ""), f"{q} {q}")
+    return Clauses(parts, features(parts, question, prompt or "", expected_language(question), broken, answer, finish, parsed), copied)
+
+
+def distant_tags(s: Clauses, finish: str | None) -> np.ndarray | None:
+    """Labels of a reply as it is, from evidence outside the field's features where there is some; None where evidence contradicts itself, and the reply is left out."""
+    tags = np.where(s.has("other_language"), FOREIGN, ANSWER)
+    refuses = np.array([bool(_REFUSES.search(p)) and not _REPORTS.search(p) for p in s.parts])
+    tags[refuses] = REFUSAL
+    if refuses.any():
+        tags[[bool(_COURTESY.search(p)) for p in s.parts]] = REFUSAL
+    elif (finish or "").strip().lower() == "content_filter":
+        return None
+    if s.echo:
+        tags[:] = ECHO
+        return tags
+    tags[s.has("is_echo")] = ECHO
+    open_, cut = s.has("open_long")[-1], (finish or "").strip().lower() == "length"
+    if s.has("broken_form")[-1] or s.has("open_list")[-1] or open_ and cut:
+        tags[-1] = UNFINISHED
+    elif open_ and tags[-1] != REFUSAL:
+        return None
     return tags
 
 
 class Field:
-    """A linear-chain conditional random field over clauses, in numpy."""
+    """A linear-chain conditional random field over clauses with sparse features, in numpy."""
 
     def __init__(self, emit: np.ndarray | None = None, move: np.ndarray | None = None):
         k = len(TAGS)
-        self.emit = np.zeros((len(FEATURES), k)) if emit is None else emit
+        self.emit = np.zeros((MASK + 1 + len(MEASURES), k)) if emit is None else emit
         self.move = np.zeros((k, k)) if move is None else move
 
-    def fit(self, xs: list[np.ndarray], ys: list[np.ndarray], rounds: int = ROUNDS, rate: float = 0.08, decay: float = 1e-4) -> Field:
-        """Maximises the likelihood by Adam; all sequences of the sample go through one padded array."""
-        n, length, k = len(xs), max(map(len, xs)), len(TAGS)
-        x = np.zeros((n, length, len(FEATURES)))
-        y = np.zeros((n, length), int)
-        real = np.zeros((n, length), bool)
-        for i, (a, b) in enumerate(zip(xs, ys)):
-            x[i, : len(a)], y[i, : len(a)], real[i, : len(a)] = a, b, True
-        pairs = real[:, 1:]
+    def scores(self, rows: list[list[int]]) -> np.ndarray:
+        """The score of each tag for each clause; every clause has at least its bias."""
+        lengths = np.array([len(r) for r in rows])
+        flat = np.fromiter((x for r in rows for x in r), np.int64, int(lengths.sum()))
+        return np.add.reduceat(self.emit[flat], np.concatenate([[0], np.cumsum(lengths)[:-1]]), axis=0)
+
+    def fit(self, xs: list[list[list[int]]], ys: list[np.ndarray], rounds: int = ROUNDS, rate: float = 0.08, decay: float = 3e-4) -> Field:
+        """Maximises the likelihood by Adam. Sequences are padded within groups of about one length, so a long answer pads no short one."""
+        groups: dict[int, list[int]] = {}
+        for i, x in enumerate(xs):
+            groups.setdefault(len(x).bit_length(), []).append(i)
+        packed = [_Padded([xs[i] for i in g], [ys[i] for i in g]) for g in groups.values()]
         state = [np.zeros_like(w) for w in (self.emit, self.move) for _ in range(2)]
-        hot = np.eye(k)[y] * real[..., None]
         for t in range(1, rounds + 1):
-            score = x @ self.emit
-            alpha, beta = np.zeros((n, length, k)), np.zeros((n, length, k))
-            alpha[:, 0] = score[:, 0]
-            for j in range(1, length):
-                nxt = _logsum(alpha[:, j - 1, :, None] + self.move, 1) + score[:, j]
-                alpha[:, j] = np.where(real[:, j, None], nxt, alpha[:, j - 1])
-            for j in range(length - 2, -1, -1):
-                nxt = _logsum(self.move[None] + (score[:, j + 1] + beta[:, j + 1])[:, None, :], 2)
-                beta[:, j] = np.where(real[:, j + 1, None], nxt, 0)
-            z = _logsum(alpha[:, -1], 1)
-            unary = np.exp(alpha + beta - z[:, None, None]) * real[..., None]
-            g_emit = np.einsum("nlf,nlk->fk", x, hot - unary) / n - decay * self.emit
-            joint = np.exp(np.minimum(alpha[:, :-1, :, None] + self.move + (score + beta)[:, 1:, None, :] - z[:, None, None, None], 0)) * pairs[..., None, None]
-            seen = (hot[:, :-1, :, None] * hot[:, 1:, None, :] * pairs[..., None, None]).sum((0, 1))
-            g_move = (seen - joint.sum((0, 1))) / n - decay * self.move
+            g_emit, g_move = np.zeros_like(self.emit), np.zeros_like(self.move)
+            for p in packed:
+                p.gradient(self, g_emit, g_move)
             for w, g, m, v in ((self.emit, g_emit, state[0], state[1]), (self.move, g_move, state[2], state[3])):
+                g = g / len(xs) - decay * w
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 w += rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         return self
 
-    def tag(self, x: np.ndarray) -> np.ndarray:
-        """The likeliest tags of one sequence (Viterbi)."""
-        score = x @ self.emit
-        best, back = score[0], []
-        for s in score[1:]:
-            all_ = best[:, None] + self.move
-            back.append(all_.argmax(0))
-            best = all_.max(0) + s
-        path = [int(best.argmax())]
-        for b in reversed(back):
-            path.append(int(b[path[-1]]))
-        return np.array(path[::-1])
+    def tag(self, sequences: list[list[list[int]]]) -> list[np.ndarray]:
+        """The likeliest tags of each sequence (Viterbi), all of a batch at once, in groups of about one length."""
+        out: list[np.ndarray] = [np.empty(0, int)] * len(sequences)
+        if not sequences:
+            return out
+        flat = self.scores([r for s in sequences for r in s])
+        ends = np.cumsum([len(s) for s in sequences])
+        groups: dict[int, list[int]] = {}
+        for i, s in enumerate(sequences):
+            groups.setdefault(len(s).bit_length(), []).append(i)
+        for g in groups.values():
+            lengths = np.array([len(sequences[i]) for i in g])
+            longest, n = int(lengths.max()), len(g)
+            score = np.zeros((n, longest, len(TAGS)))
+            for j, i in enumerate(g):
+                score[j, : lengths[j]] = flat[ends[i] - lengths[j] : ends[i]]
+            best, back = score[:, 0], np.zeros((n, longest, len(TAGS)), int)
+            for j in range(1, longest):
+                all_ = best[:, :, None] + self.move
+                back[:, j] = all_.argmax(1)
+                best = np.where((j < lengths)[:, None], all_.max(1) + score[:, j], best)
+            at = best.argmax(1)
+            path = np.zeros((n, longest), int)
+            for j in range(longest - 1, -1, -1):
+                path[:, j] = at
+                at = np.where((j > 0) & (j < lengths), back[np.arange(n), j, at], at)
+            for j, i in enumerate(g):
+                out[i] = path[j, : lengths[j]]
+        return out
+
+
+class _Padded:
+    """Labelled sequences of about one length in one array."""
+
+    def __init__(self, xs: list[list[list[int]]], ys: list[np.ndarray]) -> None:
+        n, longest, k = len(xs), max(map(len, xs)), len(TAGS)
+        self.real = np.zeros((n, longest), bool)
+        y = np.zeros((n, longest), int)
+        for i, (a, b) in enumerate(zip(xs, ys)):
+            self.real[i, : len(a)], y[i, : len(a)] = True, b
+        rows = [r for x in xs for r in x]
+        lengths = np.array([len(r) for r in rows])
+        self.flat = np.fromiter((v for r in rows for v in r), np.int64, int(lengths.sum()))
+        self.starts, self.row = np.concatenate([[0], np.cumsum(lengths)[:-1]]), np.repeat(np.arange(len(rows)), lengths)
+        self.used, self.at = np.unique(self.flat, return_inverse=True)
+        self.hot = np.eye(k)[y] * self.real[..., None]
+        self.pairs = self.real[:, 1:]
+        self.seen = (self.hot[:, :-1, :, None] * self.hot[:, 1:, None, :] * self.pairs[..., None, None]).sum((0, 1))
+
+    def gradient(self, f: Field, g_emit: np.ndarray, g_move: np.ndarray) -> None:
+        """Adds the gradient of the log likelihood."""
+        (n, length), k, real = self.real.shape, len(TAGS), self.real
+        score = np.zeros((n, length, k))
+        score[real] = np.add.reduceat(f.emit[self.flat], self.starts, axis=0)
+        alpha, beta = np.zeros((n, length, k)), np.zeros((n, length, k))
+        alpha[:, 0] = score[:, 0]
+        for j in range(1, length):
+            alpha[:, j] = np.where(real[:, j, None], _logsum(alpha[:, j - 1, :, None] + f.move, 1) + score[:, j], alpha[:, j - 1])
+        for j in range(length - 2, -1, -1):
+            beta[:, j] = np.where(real[:, j + 1, None], _logsum(f.move[None] + (score[:, j + 1] + beta[:, j + 1])[:, None, :], 2), 0)
+        z = _logsum(alpha[:, -1], 1)
+        unary = np.exp(alpha + beta - z[:, None, None]) * real[..., None]
+        slope = (self.hot - unary)[real]
+        for t in range(k):
+            g_emit[self.used, t] += np.bincount(self.at, slope[self.row, t], len(self.used))
+        if length > 1:
+            joint = np.exp(np.minimum(alpha[:, :-1, :, None] + f.move + (score + beta)[:, 1:, None, :] - z[:, None, None, None], 0)) * self.pairs[..., None, None]
+            g_move += self.seen - joint.sum((0, 1))
 
 
 def _logsum(a: np.ndarray, axis: int) -> np.ndarray:
@@ -319,99 +441,117 @@ def _logsum(a: np.ndarray, axis: int) -> np.ndarray:
     return (m + np.log(np.exp(a - m).sum(axis, keepdims=True))).squeeze(axis)
 
 
-def sequence(prompt: str | None, content: str | None) -> tuple[list[str], np.ndarray] | None:
-    """The clauses of a reply's answer and their features; None if there is no answer with visible characters."""
-    answer, broken = answer_of(content)
-    if not is_shown(answer):
-        return None
-    question = question_of(prompt)
-    parts = clauses(answer) or [answer.strip()]
-    return parts, features(parts, question, prompt or "", expected_language(question), broken, answer)
+Sample = list[tuple[str | None, str | None, str | None, dict | None]]
+_TRAINED: dict[str, tuple[Field, dict]] = {}
+
+
+def trained(sample: Sample, seed: int = 7) -> Field:
+    """A field fitted to a sample of (prompt, content, finish_reason, parsed) and to corruptions of it. What was fitted to the same sample before is taken as it is."""
+    key = hashlib.sha256(repr((seed, sample)).encode("utf-8", "replace")).hexdigest()
+    if key not in _TRAINED:
+        _TRAINED.clear()
+        field = _train(sample, random.Random(seed))
+        _TRAINED[key] = (field, dict(_LEARNED))
+    field, learned = _TRAINED[key]
+    _learn(learned)
+    return field
 
 
-def trained(sample: list[tuple[str | None, str | None]], seed: int = 7) -> Field:
-    """A field fitted to a sample of (prompt, content) and to corruptions of it, which are labelled by how they were made."""
-    rng = random.Random(seed)
-    xs, ys, sound = [], [], []
+def _learn(words: dict) -> None:
     _LEARNED.clear()
-    texts = [c for p, a in sample for t in (question_of(p), answer_of(a)[0]) if t for c in clauses(t)]
-    for again in (False, True):
-        _LEARNED.update(learn_words(texts, again))
+    _LEARNED.update(words)
     _languages.clear()
-    for prompt, content in sample:
-        got = sequence(prompt, content)
-        if got is None:
-            continue
-        tags = seed_tags(got[1])
-        xs.append(got[1][:60])
-        ys.append(tags[:60])
-        if (tags == ANSWER).all():
-            sound.append((prompt, " ".join(got[0])))
-    for prompt, text in sound[: max(1, len(sound) // 2)]:
+    _WEIGHED.clear()
+
+
+def _train(sample: Sample, rng: random.Random) -> Field:
+    _learn({})
+    texts = [c for p, a, _, _ in sample for t in (question_of(p), answer_of(a)[0]) if t for c in clauses(t)]
+    for again in (False, True):
+        _learn(learn_words(texts, again))
+    xs, ys, sound, refused = [], [], [], []
+
+    def add(s: Clauses | None, tags) -> None:
+        if s is not None:
+            xs.append(s.ids)
+            ys.append(tags(s) if callable(tags) else np.full(len(s.ids), tags))
+
+    for prompt, content, finish, parsed in sample:
+        s = sequence(prompt, content, finish, parsed)
+        tags = None if s is None else distant_tags(s, finish)
+        if tags is not None:
+            add(s, lambda _: tags)
+            if (tags == ANSWER).all():
+                sound.append((prompt, " ".join(s.parts), finish))
+            elif (tags == REFUSAL).all():
+                refused.append(" ".join(s.parts))
+    whole = lambda last: lambda s: np.array([ANSWER] * (len(s.ids) - 1) + [last])
+    for prompt, text, finish in sound[: max(1, len(sound) // 2)]:
+        question = question_of(prompt)
         if len(text) > 30:
             cut = rng.randint(12, len(text) - 2)
-            parts, x = sequence(prompt, text[:cut]) or ([], None)
-            if x is not None and text[cut - 1 : cut + 1].isalnum():
-                y = np.full(len(parts), ANSWER)
-                y[-1] = UNFINISHED
-                x[-1, FEATURES.index("open_end")] = 1
-                xs.append(x[:60])
-                ys.append(y[:60])
-        got = sequence(prompt, question_of(prompt))
-        if got is not None:
-            xs.append(got[1][:60])
-            ys.append(np.full(len(got[0]), ECHO)[:60])
-        other, foreign = rng.choice(sound)
-        if expected_language(question_of(other)) not in (None, expected_language(question_of(prompt))):
-            got = sequence(prompt, foreign)
-            if got is not None:
-                xs.append(got[1][:60])
-                ys.append(np.where(got[1][:60, FEATURES.index("other_language")] > 0, FOREIGN, ANSWER))
+            # cut within a word or between words, not at a sentence's end
+            if not _END.search(text[:cut].rstrip()) and len(text[:cut].split()) >= 4:
+                add(sequence(prompt, text[:cut], rng.choice(["length", "stop", None])), whole(UNFINISHED))
+        if rng.random() < 0.2:
+            add(sequence(prompt, f"{text}\n\n1. {' '.join(text.split()[:2])}\n2. ", rng.choice(["length", "stop", None])), whole(UNFINISHED))
+        if refused and rng.random() < 0.3:
+            add(sequence(prompt, rng.choice(refused), finish), REFUSAL)
+        add(sequence(prompt, rng.choice(["{}", "{}", "Q: {}", "You asked: {}", "{} {}"]).format(question, question), finish), ECHO)
+        add(sequence(prompt, f"{question} {text}", finish), lambda s: np.where(s.has("is_echo") & (np.arange(len(s.ids)) == 0), ECHO, ANSWER))
+        other, foreign, _ = rng.choice(sound)
+        if expected_language(question_of(other)) not in (None, expected_language(question)):
+            add(sequence(prompt, foreign, finish), lambda s: np.where(s.has("own_language"), ANSWER, FOREIGN))
     return Field().fit(xs, ys) if xs else Field()
 
 
-def defect(field: Field, prompt: str | None, content: str | None) -> str | None:
-    """The defect of a pair, None for a proper one. Copies come before breaks, breaks before refusals, refusals before languages."""
-    got = sequence(prompt, content)
-    if got is None:
-        return "empty"
-    parts, x = got
-    tags = field.tag(x)
-    size = np.array([len(p) for p in parts], float)
-    share = lambda t: size[tags == t].sum() / size.sum()
-    question, answer = question_of(prompt), plain(_LEAD.sub("", " ".join(parts)))
-    if share(ECHO) >= ECHO_SHARE or answer and answer in (plain(question), plain(prompt or ""), f"{plain(question)} {plain(question)}"):
+def _defect(s: Clauses, tags: np.ndarray) -> str | None:
+    """The defect that the tags' shares make. Copies come before breaks, breaks before refusals, refusals before languages."""
+    size = np.array([len(p) for p in s.parts], float)
+    # a clause without a word of the question or the prompt copies nothing
+    tags = np.where((tags == ECHO) & ~(s.has("is_echo") | s.has("echo_half") | s.has("in_prompt")), ANSWER, tags)
+    share = np.bincount(tags, size, len(TAGS)) / size.sum()
+    if share[ECHO] >= ECHO_SHARE or s.echo:
         return "copied_question"
     if tags[-1] == UNFINISHED:
         return "truncated"
-    polite = x[:, FEATURES.index("courtesy")] > 0
-    refusing = (tags == REFUSAL) & (x[:, FEATURES.index("refuses")] > 0)
-    if refusing.any() and size[(tags == REFUSAL) | polite].sum() / size.sum() >= REFUSAL_SHARE:
+    if share[REFUSAL] >= REFUSAL_SHARE:
         return "refusal"
-    if share(FOREIGN) >= FOREIGN_SHARE or share(FOREIGN) > 0 and share(ANSWER) == 0:
+    if share[FOREIGN] >= FOREIGN_SHARE or share[FOREIGN] > 0 and share[ANSWER] == 0:
         return "wrong_language"
     return None
 
 
+def pair_defects(field: Field, pairs: Sample) -> list[str | None]:
+    """The defect of each (prompt, content, finish_reason, parsed), None for a proper pair."""
+    read = [sequence(*p) for p in pairs]
+    some = [s for s in read if s is not None]
+    tags = iter(field.tag([s.ids for s in some]))
+    return ["empty" if s is None else _defect(s, next(tags)) for s in read]
+
+
 def defects(replies: DataFrame, sample_size: int = TRAIN_REPLIES) -> DataFrame:
     """reply_id, defect for each reply with one: empty, truncated, refusal, copied_question, wrong_language.
 
     Null contents and answers, blank ones and objects without an answer are empty; a null prompt has no language and
-    nothing to copy; repeated deliveries count once. `finish_reason` and `parsed` decide nothing: they aren't always right,
-    and what they say shows in the content. An empty table gives no rows; further columns are ignored.
+    nothing to copy; repeated deliveries count once. `finish_reason` and `parsed` are evidence among other, since they
+    aren't always right. An empty table gives no rows; further columns are ignored.
     """
-    once = replies.where("reply_id IS NOT NULL").select("reply_id", "prompt", "content")
-    sample = once.where("content IS NOT NULL AND prompt IS NOT NULL").orderBy(F.xxhash64("reply_id"), "reply_id").limit(sample_size).select("prompt", "content").collect()
-    field = trained([(r[0], r[1]) for r in sample])
-    emit, move, learned = field.emit, field.move, dict(_LEARNED)
+    once = replies.where("reply_id IS NOT NULL").select(F.col("reply_id").cast("bigint"), "prompt", "content", "finish_reason", "parsed")
+    short = F.length("content") + F.length("prompt") <= TRAIN_CHARS
+    sample = once.where(F.col("content").isNotNull() & F.col("prompt").isNotNull() & short).orderBy(F.xxhash64("reply_id"), "reply_id", F.md5("content")).limit(sample_size).collect()
+    field = trained([(r["prompt"], r["content"], r["finish_reason"], r["parsed"]) for r in sample])
+    used = np.flatnonzero(field.emit.any(1))
+    model = replies.sparkSession.sparkContext.broadcast((used.astype(np.int32), field.emit[used].astype(np.float32), field.move, dict(_LEARNED)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = Field(emit, move)
-        _LEARNED.clear()
-        _LEARNED.update(learned)
-        _languages.clear()
+        at, values, move, learned = model.value
+        f = Field(move=move)
+        f.emit[at] = values
+        _learn(learned)
         for b in batches:
-            got = [defect(f, p, c) for p, c in zip(b.column("prompt").to_pylist(), b.column("content").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("reply_id").cast(pa.int64()), pa.array(got, pa.string())], names=["reply_id", "defect"]).filter(pa.array([g is not None for g in got]))
+            pairs = list(zip(*(b.column(n).to_pylist() for n in ("prompt", "content", "finish_reason", "parsed"))))
+            got = pair_defects(f, pairs)
+            yield pa.RecordBatch.from_arrays([b.column("reply_id"), pa.array(got, pa.string())], names=["reply_id", "defect"]).filter(pa.array([g is not None for g in got], pa.bool_()))
 
-    return once.mapInArrow(run, "reply_id BIGINT, defect STRING").groupBy("reply_id").agg(F.first("defect").alias("defect"))
+    return once.mapInArrow(run, "reply_id BIGINT, defect STRING").groupBy("reply_id").agg(F.min("defect").alias("defect"))

@@ -203,6 +203,8 @@ def test_defects(spark):
     rows, want = [], {}
     for k, c in enumerate(GOOD * 6):
         rows.append((k, Q, c))
+    for k in range(30, 110):
+        rows.append((k, f"What does item {k} cost in {VOCAB[k % 30]} street?", f"The item in {VOCAB[k * 7 % 30]} street costs {k} crowns without delivery. The {VOCAB[k * 3 % 30]} is closed on weekdays and in the {VOCAB[k * 5 % 30]}."))
     n = len(rows)
     for d, cs in CASES.items():
         for c in cs:
@@ -210,18 +212,39 @@ def test_defects(spark):
             want[n] = d
             n += 1
     rows.append((n, "Antworte auf Englisch: Was kostet der Artikel?", "The price of the item is twelve crowns without the delivery."))
-    rows += [(n + 1, None, "The northern road is shorter."), (None, Q, None)]
-    got = {r["reply_id"]: r["defect"] for r in replies.defects(spark.createDataFrame(rows, "reply_id BIGINT, prompt STRING, content STRING")).collect()}
+    rows += [(n + 1, None, "It is closed on weekdays and costs two crowns."), (None, Q, None)]
+    rows = [(*r, "stop" if k % 2 else None, {"answer": r[2]} if k % 3 == 0 and r[2] else None, "x") for k, r in enumerate(rows)]
+    schema = "reply_id BIGINT, prompt STRING, content STRING, finish_reason STRING, parsed MAP<STRING,STRING>, defect STRING"
+    got = {r["reply_id"]: r["defect"] for r in replies.defects(spark.createDataFrame(rows, schema)).collect()}
     assert got == want
-    assert replies.defects(spark.createDataFrame([], "reply_id BIGINT, prompt STRING, content STRING")).count() == 0
+    assert replies.defects(spark.createDataFrame([], schema)).count() == 0
+
+
+REFUSALS = ["I'm sorry, but I can't help with that request.", "As an assistant I must decline to answer.", "I will not comment on such a request.", "I am not able to help with that, sorry.", "Unfortunately it is outside what I may do.", "I would rather not answer a request of this kind.", "My guidelines do not allow me to help with that."]
+
+
+def test_the_field_knows_more_than_its_labels():
+    """Wordings that no rule labels, and measurements that no rule reads."""
+    rng = random.Random(3)
+    rows = [(Q, c, None, None) for c in GOOD * 6] + [(Q, c, "stop", None) for c in REFUSALS * 8] + [(f"What does item {k} cost?", f"The item costs {rng.randint(2, 90)} crowns without delivery.", None, None) for k in range(40)]
+    field = replies.trained(rows)
+    held_out = ["That request falls outside what I may help with.", "Helping with such a request is not something for me, sorry."]
+    for x in held_out:
+        assert not replies._REFUSES.search(x) or x == held_out[0]
+    assert replies.pair_defects(field, [(Q, x, None, None) for x in held_out]) == ["refusal", "refusal"]
+    assert replies.trained(rows) is field
+    long = " ".join(f"Stop {k} of the road is by the mill." for k in range(200))
+    assert replies.pair_defects(field, [(Q, long, None, None), (Q, long + " The last stop is by the old", "length", None)]) == [None, "truncated"]
 
 
 def test_field_learns_transitions():
     rng = np.random.default_rng(1)
-    xs = [np.eye(len(replies.FEATURES))[rng.integers(0, 3, 5)] for _ in range(60)]
-    ys = [x[:, :3].argmax(1) for x in xs]
+    ys = [rng.integers(0, 3, 5) for _ in range(60)] + [rng.integers(0, 3, 40) for _ in range(5)]
+    xs = [[[0, 100 + int(t)] for t in y] for y in ys]
     f = replies.Field().fit(xs, ys)
-    assert np.mean([np.mean(f.tag(x) == y) for x, y in zip(xs, ys)]) > 0.98
+    got = f.tag(xs)
+    assert np.mean(np.concatenate(got) == np.concatenate(ys)) > 0.98
+    assert all(np.array_equal(a, f.tag([x])[0]) for a, x in zip(got, xs))
 
 
 # 5 ---------------------------------------------------------------------------------------------------------------
