@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -64,7 +65,29 @@ LOOSE = (
     (r"\b[45]\d\d\b", r"\b(?:errors?|fehler|erreurs?|errores|http\S*|upstream|gateway|denied|refused|forbidden|unavailable|not found|timed? ?out|overload\w*|server|proxy|status|verweigert|refusé|denegado|indisponible|nicht (?:gefunden|verfügbar)|introuvable|no (?:encontrad\w*|disponible))\b"),
 )
 
+#: A sentence with none of these, and no number of three digits, matches none of the patterns for errors and scripts.
+HINTS = (
+    "http", "error", "erreur", "fehler", "exception", "gateway", "unavailable", "not found", "gefunden", "introuvable", "trouvée", "encontrada", "denied", "forbidden", "denegado", "refusé", "verweigert", "oops", "whoops", "hoppla", "oups", "vaya", "uy", "wrong", "schiefgelaufen", "survenue", "s'est produite", "offline",
+    "indisponible", "verfügbar", "no disponible", "right back", "maintenance", "scheduled works", "reached", "connection", "did not answer", "timed out", "expired", "available", "has moved", "was deleted", "not exist", "broken", "traffic", "queue", "too many", "traceback", "your browser", "human", "robot", "permission", "the server",
+    "could not", "couldn't", "couldn’t", "found here", "n'existe", "no existe", "existiert nicht", "[object object]", "script", "skript", "js", "the address", "the file", "the document", "the resource", "this file", "was not found", "been removed", "try", "load", "been told", "go back", "vuelva", "réessayez", "versuchen", "moment", "incident", "request", "ray ", "takes up", "upstream", "status", "server", "proxy", "overload",
+)
 FILLER_HINTS = ("placeholder", "sample text", "replace this", "tbd", "asdf", "qwert", "xxx", "blah", "todo", " here", "coming soon", "construction", "new page", "untitled", "page title", "add a title", "blindtext", "beispieltext", "texte d", "texto d", "foo bar", "product name", "item name", "heading", "headline", "paragraph", "section", "provisoire", "remplacer", "text", "pendiente", "for this page")
+
+
+def automaton(words: tuple[str, ...]) -> ahocorasick.Automaton:
+    """All words sought at once, in one pass over a text."""
+    a = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for w in words:
+        a.add_word(w)
+    a.make_automaton()
+    return a
+
+
+def has_any(a: ahocorasick.Automaton, text: str) -> bool:
+    return next(a.iter(text), None) is not None
+
+
+_HINTED, _FILLER_HINTED = automaton(HINTS), automaton(FILLER_HINTS)
 _SLOT = re.compile("|".join(SLOTS))
 _SLOT_HINT = re.compile(r"[{%$<&@\[_]|XX_")
 _EXPLAINS = re.compile(EXPLAINS, re.I)
@@ -74,6 +97,7 @@ _ERROR = re.compile("|".join(ERROR), re.I)
 _SCRIPTS = re.compile("|".join(SCRIPTS), re.I)
 _WEAK = re.compile(WEAK, re.I)
 _LOOSE = [[re.compile(x, re.I) for x in group] for group in LOOSE]
+_STATUS = re.compile(r"\b[1-5]\d\d\b")
 _QUOTES = re.compile(r"[“”„«»]")
 _STOP = re.compile(r"[\s.!…]+$")
 _CODE = re.compile(r"^\s*(?:for |if |def |return |import |class |SELECT |[\[{]\s*\"|\w+ [+-]?= )|\bWHERE\b|;$")
@@ -97,7 +121,7 @@ def slotted(line: str) -> bool:
 def filler(line: str) -> bool:
     """Text that only fills the place of content."""
     low = line.lower()
-    if any(x in low for x in FILLER_HINTS) and _FILLER.search(line.strip()):
+    if has_any(_FILLER_HINTED, low) and _FILLER.search(line.strip()):
         return True
     words = low.replace(".", " ").replace(",", " ").split()
     return len(words) >= 3 and sum(w in LOREM for w in words) >= 0.3 * len(words) and ("lorem" in words or len(words) >= 8)
@@ -112,18 +136,25 @@ def judged(line: str) -> Judged:
     s = line.strip()
     if slotted(s) or filler(s):
         return True, 0, 0, 0, 0
+    if not hinted(s):
+        return False, 0, 0, 0, len(s)
     if failing(s):
         return False, len(s), 0, 0, 0
     n = [0, 0, 0, 0]
     for p in _PARTS.split(s):
-        n[0 if failing(p) else 2 if _WEAK.fullmatch(p) else 1 if any(all(x.search(p) for x in g) for g in _LOOSE) and not _EXPLAINS.search(p) and not _QUOTES.search(p) else 3] += len(p)
+        n[3 if not hinted(p) else 0 if failing(p) else 2 if _WEAK.fullmatch(p) else 1 if not _QUOTES.search(p) and any(all(x.search(p) for x in g) for g in _LOOSE) and not _EXPLAINS.search(p) else 3] += len(p)
     return False, *n
 
 
+def hinted(s: str) -> bool:
+    """Whether any of the patterns below can match at all: each needs one of the hints."""
+    return has_any(_HINTED, s.lower()) or bool(_STATUS.search(s))
+
+
 def failing(part: str) -> bool:
     """A plain wording of an error page or of a demand for scripts, not one that is quoted."""
     p = _STOP.sub("", part) or part
-    return not _QUOTES.search(part) and bool(_ERROR.fullmatch(p) or _ERROR.fullmatch(part) or _SCRIPTS.fullmatch(p))
+    return hinted(part) and not _QUOTES.search(part) and bool(_ERROR.fullmatch(p) or _ERROR.fullmatch(part) or _SCRIPTS.fullmatch(p))
 
 
 _judged: dict[str, Judged] = {}
@@ -144,7 +175,8 @@ def known_judged(line: str) -> Judged:
 def page_fails(text: str, title: str | None, frame: list[int], codes: np.ndarray) -> bool:
     """Whether a page's residual shows residue, filler, an error or a demand for scripts. codes: how recurrent each line is on its host."""
     frames = set(frame)
-    total, headed = np.zeros(4), False
+    plain, loose, beside, rest, headed = 0, 0, 0, 0, False
+    levels = (codes & 3).tolist()
     heading = {p for p in (title or "", *_TITLE_SEP.split(title or ""))}
     for i, raw in enumerate(text.split("\n")):
         s = raw.strip()
@@ -153,14 +185,13 @@ def page_fails(text: str, title: str | None, frame: list[int], codes: np.ndarray
         in_place, *n = known_judged(s)
         if s in heading and n[3]:
             headed = True
-        if int(codes[i]) & 3 >= RECURRENT:
+        if levels[i] >= RECURRENT:
             continue
         if in_place:
             return True
-        if i in frames or s in heading or not is_shown(s):
-            n[3] = 0
-        total += n
-    plain, loose, beside, rest = total
+        plain, loose, beside = plain + n[0], loose + n[1], beside + n[2]
+        if n[3] and i not in frames and s not in heading and is_shown(s):
+            rest += n[3]
     whole = plain + loose + beside + rest
     return bool(plain and plain + loose + beside >= SHARE * whole or loose and not headed and plain + loose >= LOOSE_SHARE * whole)
 
