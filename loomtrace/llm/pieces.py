@@ -1,8 +1,8 @@
 """Problem 1: oversized observations cut into overlapping pieces at natural boundaries, by content-defined chunking.
 
 A rolling hash over the content sets landmarks; each landmark snaps to the nearest natural boundary; a piece ends at
-the best landmark between the minimum and the maximum size, failing one at the best boundary, failing that at the
-maximum. The next piece begins at the last boundary at least `overlap` before that cut. Since a landmark depends on
+the best landmark between the minimum and the maximum size, failing one at the best boundary, failing that (no white
+space, no sentence ends) at the unit with the least rolling hash between the two. The next piece begins at the last boundary at least `overlap` before that cut. Since a landmark depends on
 the few units around it only, an edit moves the cuts near it and leaves the others.
 
 Units are code points of a text, or elements of a list. Lists are cut by the hashes of their elements; Python sees
@@ -67,7 +67,8 @@ def cuts(units: np.ndarray, pos: np.ndarray, strength: np.ndarray, size: int, ov
     n = len(units)
     overlap = max(0, min(overlap, (size - 1) // 3))
     smallest = max(overlap * 2 + 1, int(size * MINIMUM))
-    landmarks = np.flatnonzero(rolling(units) % np.uint64(EVERY) == 0) + 1
+    hashes = rolling(units)
+    landmarks = np.flatnonzero(hashes % np.uint64(EVERY) == 0) + 1
     snapped = np.empty(0, np.int64)
     if len(pos) and len(landmarks):
         i = np.clip(np.searchsorted(pos, landmarks), 1, len(pos) - 1) if len(pos) > 1 else np.zeros(len(landmarks), np.int64)
@@ -84,7 +85,7 @@ def cuts(units: np.ndarray, pos: np.ndarray, strength: np.ndarray, size: int, ov
                 s = strength[among[a:b]]
                 end = int(p[a + np.flatnonzero(s == s.max())[0]])
                 break
-        end = end or hi
+        end = end or lo + int(hashes[lo - 1 : hi].argmin())
         out.append((begin, end))
         target = end - overlap
         a, b = np.searchsorted(pos, target - int(overlap * REACH_BACK)), np.searchsorted(pos, target, "right")
@@ -167,7 +168,7 @@ def _all_pieces(steps: DataFrame, size_limits: DataFrame) -> DataFrame:
 def observation_pieces(steps: DataFrame, size_limits: DataFrame) -> DataFrame:
     """step_id, field, piece_no, begin, end, piece, items: the ordered pieces of each oversized field of a step, once per step.
 
-    Null, empty and fitting fields have no pieces; a text without any white space is cut at the limit; null elements
+    Null, empty and fitting fields have no pieces; a text without any boundary is cut at its rolling hash's least values; null elements
     count as elements; further columns are ignored.
     """
     return _all_pieces(steps, size_limits).dropDuplicates(["step_id", "field", "piece_no"])

@@ -58,6 +58,15 @@ def test_an_edit_moves_only_near_cuts():
     assert len(x & y) >= 0.6 * len(x)
 
 
+def test_an_edit_moves_only_near_cuts_without_boundaries():
+    rng = random.Random(6)
+    a = "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(120_000))
+    cut = lambda t: [t[b:e] for b, e in pieces.text_pieces(t, 2000, 100)]
+    before, after = cut(a), set(cut(a[:100] + "字" + a[100:]))
+    assert sum(p in after for p in before) >= 0.9 * len(before)
+    check_cuts(len(a), pieces.text_pieces(a, 2000, 100), 2000, 100)
+
+
 def test_pieces_of_steps(spark):
     el = [(i, "a" if i < 13 else "input", "", str(i), "") for i in range(25)]
     rows = [step(1, text="word " * 100), step(1, text="word " * 100), step(2, text=""), step(3), step(4, text="x" * 450), step(5, elements=el), step(6, text="é" * 200), step(None, text="word " * 100)]
