@@ -1,39 +1,36 @@
 """Problem 5: conversations rebuilt from message rows by keyed streaming state.
 
-The state is keyed by (run, segment of consecutive indexes), so one endless run, even one with a third of all rows,
-spreads over many keys, and no key buffers more than two messages for each of SEGMENT indexes: a second message of
-the same kind at an index breaks the segment, and a broken segment keeps a mark and no messages. Event time is the
-time of ingestion. A segment is emitted when the watermark has passed its last message by IDLE, or at the end mark
-that closes a finite input. A batch step then joins the segments of a run: good is a run all of whose segments are
-good and follow each other without a gap.
-
-A finite table is read in one micro-batch (availableNow), so the watermark drops no row however late it came.
+The state is keyed by (run, index): what has been said and done at one place of a conversation, in four message ids and a
+mark, whatever the number of messages or deliveries there. So one endless run, even one with a third of all rows, spreads
+over many keys, and no key buffers a list. Event time is the time of ingestion: a place stays open while rows keep coming
+within IDLE of each other (a session window), late ones are taken in while the watermark, LATENESS behind the newest row,
+hasn't passed it, and it is emitted when the watermark has, or at the end mark that closes a finite input. Places that were
+emitted more than once are merged, and a batch step joins the places of a run: good is a run all of whose places hold one
+observation and one action and follow each other without a gap.
+
+A finite table is read in one micro-batch (availableNow), so the watermark drops no row however late it came; a live
+stream (`emitted`) drops what comes after the watermark has passed.
 """
 
 from __future__ import annotations
 
-import json
+import atexit
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomtrace.llm.common import shown
 from loomtrace.session import shared_dir
 
-#: Consecutive indexes that share one state key.
-SEGMENT = 256
-#: How late a message may come (the watermark's delay) and how long a segment waits for more.
+#: How late a message may come (the watermark's delay) and how long a place waits for more.
 LATENESS = "7 days"
-IDLE_MS = 24 * 3600 * 1000
+IDLE = "1 day"
 #: The key of the mark that ends a finite input.
 END = "\u0000end"
 
-STATE = "messages STRING, broken BOOLEAN, last_ms LONG"
-OUTPUT = "run_id STRING, segment INT, good BOOLEAN, lowest INT, highest INT, messages ARRAY<STRUCT<index: INT, speaker: INT, message_id: BIGINT>>"
+PLACES = "run_id STRING, index INT, said_first BIGINT, said_last BIGINT, done_first BIGINT, done_last BIGINT, broken BOOLEAN"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def speaker(observation: Column, action: Column) -> Column:
@@ -50,7 +47,6 @@ def prepared(messages: DataFrame) -> DataFrame:
     at = F.coalesce(F.col("ingested_at"), F.col("sent_at")).cast("timestamp")
     return messages.where("run_id IS NOT NULL").select(
         "run_id",
-        F.coalesce(F.floor(F.col("index") / SEGMENT).cast("int"), F.lit(-1)).alias("segment"),
         F.col("message_id").cast("bigint").alias("message_id"),
         F.col("index").cast("int").alias("index"),
         speaker(F.col("observation"), F.col("action")).cast("int").alias("speaker"),
@@ -58,77 +54,55 @@ def prepared(messages: DataFrame) -> DataFrame:
     )
 
 
-def fold(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One key's turn: take messages in, or emit at timeout. At most two messages for each index are ever held."""
-    run_id, segment = key
-    if run_id == END:
-        return
-    if state.hasTimedOut:
-        kept, broken, _ = state.get
-        state.remove()
-        yield emitted(run_id, segment, json.loads(kept), broken)
-        return
-    held, broken, last = (json.loads(state.get[0]), state.get[1], state.get[2]) if state.exists else ({}, False, 0)
-    for pdf in chunks:
-        last = max(last, int(pdf["event_time"].max().value // 1_000_000))
-        if broken:
-            continue
-        if segment < 0 or pdf["index"].isna().any() or pdf["message_id"].isna().any() or (pdf["speaker"] == 2).any():
-            broken, held = True, {}
-            continue
-        for i, s, m in zip(pdf["index"].astype(int), pdf["speaker"].astype(int), pdf["message_id"].astype(int)):
-            if held.setdefault(f"{i}:{s}", m) != m:
-                broken, held = True, {}
-                break
-    state.update((json.dumps(held), broken, last))
-    state.setTimeoutTimestamp(max(last + IDLE_MS, state.getCurrentWatermarkMs() + 1))
-
-
-def emitted(run_id: str, segment: int, held: dict[str, int], broken: bool) -> pd.DataFrame:
-    rows = sorted((*map(int, k.split(":")), m) for k, m in held.items())
-    indexes = sorted({i for i, _, _ in rows})
-    good = not broken and bool(rows) and len(rows) == 2 * len(indexes) and indexes[-1] - indexes[0] + 1 == len(indexes)
-    return pd.DataFrame(
-        {"run_id": [run_id], "segment": [segment], "good": [good], "lowest": [indexes[0] if good else None], "highest": [indexes[-1] if good else None],
-         "messages": [[{"index": i, "speaker": s, "message_id": m} for i, s, m in rows] if good else []]}
-    ).astype({"lowest": "Int32", "highest": "Int32"})
-
-
-def segments(stream: DataFrame) -> DataFrame:
-    """The stateful part over a stream of prepared messages."""
-    return (
-        stream.withWatermark("event_time", LATENESS)
-        .groupBy("run_id", "segment")
-        .applyInPandasWithState(fold, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    )
+def _folded() -> list[Column]:
+    """What a place keeps of its rows; merging what was kept twice gives the same as taking in all rows at once."""
+    said, done = (F.when(F.col("speaker") == k, F.col("message_id")) for k in (0, 1))
+    broken = F.col("index").isNull() | F.col("message_id").isNull() | (F.col("speaker") == 2)
+    return [F.min(said).alias("said_first"), F.max(said).alias("said_last"), F.min(done).alias("done_first"), F.max(done).alias("done_last"), F.bool_or(broken).alias("broken")]
+
+
+def emitted(stream: DataFrame, lateness: str = LATENESS, idle: str = IDLE) -> DataFrame:
+    """The stateful part over a stream of prepared messages: one row for each place, once the watermark has passed its last message by `idle`."""
+    folded = stream.withWatermark("event_time", lateness).groupBy(F.session_window("event_time", idle), "run_id", "index").agg(*_folded())
+    return folded.select("run_id", "index", "said_first", "said_last", "done_first", "done_last", "broken")
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
+def read_files(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """A stream over a folder of Parquet files, or over one file."""
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).options(**options)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile():
         return reader.option("pathGlobFilter", where.getName()).parquet(where.getParent().toString())
     return reader.parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """Deletes a work folder, wherever it lies; silent if the session has ended."""
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001
+        pass
+
+
 def run_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Drive a finite folder of message files through the stream to its end; returns the emitted segments.
+    """Drive a finite folder of message files through the stream to its end; returns the emitted places.
 
     The same query, under a live trigger, serves a growing folder. Work files lie in the shared folder, so an executor
-    lost on the way only repeats its tasks."""
+    lost on the way only repeats its tasks; state and marks are deleted at the end of the input, the output with the session."""
     base = f"{shared_dir(spark).rstrip('/')}/conversations-{uuid.uuid4().hex}"
     control = f"{base}/control"
     static = prepared(spark.read.parquet(path))
-    end = spark.createDataFrame([(END, 0, 0, 0, 0)], "run_id STRING, segment INT, message_id BIGINT, index INT, speaker INT").withColumn("event_time", F.lit("2200-01-01").cast("timestamp"))
+    end = spark.createDataFrame([(END, 0, 0, 0)], "run_id STRING, message_id BIGINT, index INT, speaker INT").withColumn("event_time", F.lit("2200-01-01").cast("timestamp"))
     end.limit(0).write.parquet(control)
-    keep = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.multipleWatermarkPolicy", "spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.schemaInference")}
+    keep = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.multipleWatermarkPolicy", "spark.sql.streaming.stateStore.providerClass")}
     spark.conf.set("spark.sql.streaming.multipleWatermarkPolicy", "max")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    atexit.register(_remove, spark, base)
     try:
         live = prepared(read_files(spark, path))
         marks = spark.readStream.schema(static.schema).parquet(control)
-        out = segments(live.unionByName(marks))
+        out = emitted(live.unionByName(marks))
         for last in (False, True):
             if last:
                 end.coalesce(1).write.mode("append").parquet(control)
@@ -136,20 +110,22 @@ def run_stream(spark: SparkSession, path: str) -> DataFrame:
     finally:
         for k, v in keep.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    return spark.read.schema(OUTPUT).parquet(f"{base}/out")
-
-
-def assembled(parts: DataFrame) -> DataFrame:
-    """run_id, turn, message_id, index, speaker of every good conversation. Only the summaries of segments are grouped by run."""
-    runs = parts.groupBy("run_id").agg(
-        F.bool_and("good").alias("good"), F.min("lowest").alias("lowest"), F.max("highest").alias("highest"),
-        F.sum(F.col("highest") - F.col("lowest") + 1).alias("n"),
-    )
+        for part in ("state", "control"):
+            _remove(spark, f"{base}/{part}")
+    return spark.read.schema(PLACES).parquet(f"{base}/out")
+
+
+def assembled(places: DataFrame) -> DataFrame:
+    """run_id, turn, message_id, index, speaker of every good conversation. Runs are summed up in five numbers; nothing collects one."""
+    once = places.where(F.col("run_id") != END).groupBy("run_id", "index").agg(
+        F.min("said_first").alias("said"), F.max("said_last").alias("said_last"), F.min("done_first").alias("done"), F.max("done_last").alias("done_last"), F.bool_or("broken").alias("broken"),
+    )
+    fine = ~F.col("broken") & F.coalesce(F.col("said") == F.col("said_last"), F.lit(False)) & F.coalesce(F.col("done") == F.col("done_last"), F.lit(False))
+    runs = once.groupBy("run_id").agg(F.bool_and(fine).alias("good"), F.min("index").alias("lowest"), F.max("index").alias("highest"), F.count(F.lit(1)).alias("n"))
     good = runs.where("good AND lowest IN (0, 1) AND n = highest - lowest + 1").select("run_id", "lowest")
-    return (
-        parts.where("good").drop("lowest").join(good, "run_id").select("run_id", "lowest", F.explode("messages").alias("m"))
-        .select("run_id", (2 * (F.col("m.index") - F.col("lowest")) + F.col("m.speaker")).alias("turn"), "m.message_id", "m.index", F.when(F.col("m.speaker") == 0, "environment").otherwise("agent").alias("speaker"))
-    )
+    both = F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("message_id"), F.lit(who).alias("speaker")) for k, c, who in ((0, "said", "environment"), (1, "done", "agent"))])
+    turns = once.join(good, "run_id").select("run_id", "index", "lowest", F.explode(both).alias("m"))
+    return turns.select("run_id", (2 * (F.col("index") - F.col("lowest")) + F.col("m.k")).alias("turn"), "m.message_id", "index", "m.speaker")
 
 
 def conversations(spark: SparkSession, path: str) -> DataFrame:
