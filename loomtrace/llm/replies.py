@@ -82,6 +82,7 @@ _ASKS = re.compile(ASKS, re.I)
 _ASKED = {k: re.compile(v, re.I) for k, v in ASKED.items()}
 _OF = {k: frozenset(v) for k, v in WORDS.items()}
 _WORD = re.compile(r"[^\W\d_]+")
+_DIGIT = re.compile(r"\d")
 _PLAIN = re.compile(r"[\W_]+")
 _LEAD = re.compile(r"^\s*(?:q|question|you asked|frage|sie fragten|vous avez demandé|usted preguntó|pregunta|ha preguntado|prompt|task|user)\s*:\s*", re.I)
 _CLAUSE = re.compile(r"(?<=[.!?…。！？])[\"”»’)]*\s+|(?<=[。！？])(?=\S)|\n+|(?<=[”\"»]) [–—-] ")
@@ -199,9 +200,10 @@ def _language_of(text: str) -> str | None:
         for k, v in weights.get(w, {}).items():
             score[k] = score.get(k, 0) + v
     if not text.isascii():
+        low = text.lower()
         for k, marks in _MARKS:
-            n = sum(any(m in w for m in marks) for w in words) * (1.5 if k in ("pl", "tr", "pt") else 0.3)
-            if n:
+            if any(m in low for m in marks):
+                n = sum(any(m in w for m in marks) for w in words) * (1.5 if k in ("pl", "tr", "pt") else 0.3)
                 score[k] = score.get(k, 0) + n
     ranked = sorted(score.values(), reverse=True)
     if not ranked:
@@ -292,7 +294,7 @@ def features(parts: list[str], question: str, prompt: str, expected: str | None,
             "bias": True, "first": i == 0, "last": last, "alone": len(parts) == 1, "is_question": p.rstrip("”\"» ").endswith("?"), "is_echo": len(c) >= 8 and (c == q or c in q and len(c) >= 0.6 * len(q) or q in c and len(q) >= 0.8 * len(c)),
             "echo_half": shared >= 0.6 and len(words) >= 4, "in_prompt": len(c) >= 12 and c in whole, "other_language": lang is not None and expected is not None and lang != expected, "own_language": lang is not None and lang == expected, "no_language": lang is None, "ended": last and ended and not listed,
             "open_end": last and not ended and not _ITEM.match(p), "open_long": last and not ended and (len(words) >= 4 or len(parts) > 1) and not _ITEM.match(p), "broken_form": last and broken, "tail_word": last and not ended and bool(words) and words[-1] in _TAILS, "open_list": last and listed,
-            "short": len(words) <= 3, "short_alone": len(words) <= 3 and len(parts) == 1, "number": any(x.isdigit() for x in c), "cut_by_length": last and finish == "length", "stopped": last and finish == "stop", "filtered": finish == "content_filter", "parsed_empty": parsed is not None and not is_shown(dict(parsed).get("answer")),
+            "short": len(words) <= 3, "short_alone": len(words) <= 3 and len(parts) == 1, "number": _DIGIT.search(c) is not None, "cut_by_length": last and finish == "length", "stopped": last and finish == "stop", "filtered": finish == "content_filter", "parsed_empty": parsed is not None and not is_shown(dict(parsed).get("answer")),
         }
         ids = [_M[k] for k, v in on.items() if v]
         own = [w for w in words if w not in asked and not w.isdigit()]
