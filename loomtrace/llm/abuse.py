@@ -7,9 +7,11 @@ document says only that some sentence of it is abusive, so the positives are cho
 of a confirmed document that the last model finds likeliest, at first those that no cleared document shares words with.
 
 Words are read through their disguises first: look-alike letters, digits and signs for letters, letters set apart,
-repeated or replaced by stars, invisible characters. Fitting uses at most MAX_LABELLED labelled documents, chosen by a
-hash of the key, and all others as unlabelled ones: their part of the risk, of its gradient and of the prior is summed
-over the cluster in every step, each different sentence once with its count. Scoring covers every document where it is read.
+repeated or replaced by stars, invisible characters. No list of words takes part: what is abusive is learned. Fitting
+uses at most MAX_LABELLED labelled documents of at most MAX_CHARS characters, chosen by a hash of the key, and all other
+documents as unlabelled ones: their part of the risk, of its gradient and of the prior is summed over the cluster, each
+different sentence once with its count, at SNAPSHOTS points of a round; between two of them the change since the last is
+read off the cleared sentences (variance-reduced gradients). Scoring covers every document where it is read.
 """
 
 from __future__ import annotations
@@ -28,10 +30,12 @@ from pyspark.sql import functions as F
 
 from loomtrace.session import cut_lineage
 
-#: Bound of the labelled documents that are fitted on; the unlabelled ones have none.
-MAX_LABELLED = 6000
-#: Partitions of the unlabelled sentences at most: the driver gets a vector of 2**BITS from each in a step.
+#: Bounds of the labelled documents that are fitted on, and of the characters of each; the unlabelled ones have none.
+MAX_LABELLED, MAX_CHARS = 6000, 8000
+#: Partitions of the unlabelled sentences at most: the driver gets a vector of 2**BITS from each in a pass.
 PARTS = 64
+#: Passes over all unlabelled sentences in a round, closer to each other at its beginning.
+SNAPSHOTS, SPACING = 20, 2.0
 #: Features of the different unlabelled sentences, counted first, up to which they are summed on the driver; beyond, on the cluster. The sums are the same.
 HELD = 12_000_000
 #: Hashed features, rounds of choosing positives, steps of the optimiser in each.
@@ -42,18 +46,18 @@ PRIOR = 0.25
 CLEARED = 0.3
 #: How much more positives weigh in the first third of the steps: the sigmoid's slope vanishes on those that common words drag down first.
 WARM = 2.0
+#: Occurrences added to those of a feature outside the confirmed documents: a string seen once is no evidence yet.
+SMOOTH = 5.0
 #: Share of its features that several positives have, from which a cleared sentence counts as unlabelled.
 ALIKE = 0.6
-#: Words of the overlapping windows that a longer sentence is read in, and characters of one: an insult between sentences that don't end isn't drowned.
+#: Words of the overlapping windows that a longer sentence is read in, and characters of one (a longer one is read in parts): an insult between sentences that don't end isn't drowned.
 WINDOW, LONGEST = 16, 600
 #: Words on either side of a marked one that are also read alone.
 NEAR = 6
 
-# Stems of insults, of sexual language and of degradation, in skeleton form; letters that look alike.
-INSULTS = "idiot moron cretin imbecil imbecile imbecille dumbas twat bitch bastard ashole asshole dickhead shithead halfwit scumbag scum maggot magot loser loserr parasite coward retard retarded whore slut cunt wanker prick jackass jerk arschloch wichser hurensohn schlampe idioten trottel vollidiot missgeburt scheiss scheis fresse abschaum ungeziefer connard conard salope enculer encule putain merde gueule pute batard cabron gilipollas mierda puta pendejo escoria maricon vermin filth filthy freak clown subhuman".split()
-SEXUAL = "porn porno pornos porns sex sexcam sexcams livesex nude nudes naked pussy pusy cock dick tits fuck fucking fuckin fucked horny orgasm blowjob cum nackt ficken fick geil titten nue nues baiser baise sexe bite desnuda desnudas follar folar chicas polla xxx uncensored".split()
+# Letters that look alike, digits and signs that stand for letters.
 LOOKALIKE = str.maketrans("аеорсухіѕјкмнтвԁɡһոαεοριυκντ", "aeopcyxisjkmhtbdghnaeopiukvt")
-LEET = str.maketrans("013457@$!|", "oieastasii")
+LEET_LETTERS = str.maketrans("013457@$!|", "oieastasii")
 
 _INVISIBLE = re.compile(r"[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿]")
 _SENTENCE = re.compile(r"(?<=[.!?…。！？])[\"”’)]*\s+|\n+|(?<=[。！？])")
@@ -73,38 +77,26 @@ def skeleton(word: str) -> str:
     return _RUN.sub(r"\1", _fold(word))
 
 
-_INSULTS = frozenset(map(skeleton, INSULTS))
-_SEXUAL = frozenset(map(skeleton, SEXUAL))
-_BY_SHAPE: dict[tuple[str, str], list[str]] = {}
-for _w in sorted({*INSULTS, *SEXUAL}):
-    _BY_SHAPE.setdefault((_w[0], _w[-1]), []).append(_w)
+STARRED, LEET = "\x01starred", "\x01leet"
 
 
 def read(token: str) -> tuple[list[str], list[str]]:
-    """(the words a token may stand for, marks of its kind), lower case and undisguised."""
+    """(the words a token may stand for, marks of its disguise), lower case and undisguised. Of a starred word the letters at its ends are left."""
     t = token.casefold()
-    marks: list[str] = []
     if "*" in t and _STARRED.fullmatch(t):
-        parts = t.split("*")
-        fits = [w for w in _BY_SHAPE.get((t[0], t[-1]), ()) if re.fullmatch(".{1,2}".join(map(re.escape, [p for p in re.split(r"\*", t)])) if t.count("*") < 2 else re.escape(parts[0]) + f".{{{max(1, t.count('*') - 1)},{t.count('*') + 1}}}" + re.escape(parts[-1]), w)]
-        return [skeleton(w) for w in fits[:2]] or ["\x01starred"], ["\x01starred", *(_kind(skeleton(fits[0])) if fits else [])]
+        return [f"{t[0]}*{t[-1]}", STARRED], [STARRED]
     plain = _fold(t)
     if not plain.isascii():
         plain = plain.translate(LOOKALIKE)
-    if not plain.isalpha() and _LEETED.fullmatch(plain) and sum(c.isalpha() for c in plain) * 3 >= len(plain):
-        word = skeleton(plain.translate(LEET))
-        if word.isalpha() and (word in _INSULTS or word in _SEXUAL or sum(c.isalpha() for c in plain) * 2 >= len(plain)):
-            marks.append("\x01leet") if word in _INSULTS or word in _SEXUAL else None
-            plain = word
+    marks: list[str] = []
+    if not plain.isalpha() and len(plain) >= 4 and _LEETED.fullmatch(plain) and sum(c.isalpha() for c in plain) * 3 >= len(plain):
+        word = skeleton(plain.translate(LEET_LETTERS))
+        if word.isalpha():
+            plain, marks = word, [LEET]
     plain = re.sub(r"[^\w]", "", plain)
-    if plain.isdigit() or any(c.isdigit() for c in plain):
+    if any(c.isdigit() for c in plain):
         return ["\x01number"], marks
-    w = _RUN.sub(r"\1", plain)
-    return [w], marks + _kind(w)
-
-
-def _kind(w: str) -> list[str]:
-    return ["\x01insult"] if w in _INSULTS else ["\x01sexual"] if w in _SEXUAL else []
+    return [_RUN.sub(r"\1", plain)], marks
 
 
 _known: dict[str, tuple[list[int], list[int]]] = {}
@@ -116,8 +108,6 @@ def _hash(s: str) -> int:
     return zlib.crc32(s.encode("utf-8", "replace")) & 0xFFFFFFFF
 
 
-_MARKS = np.array([_hash(m) & MASK for m in ("\x01insult", "\x01sexual", "\x01starred", "\x01leet")])
-
 
 def known(token: str) -> tuple[list[int], list[int]]:
     """Hashes of a token's words and marks, kept for the worker."""
@@ -142,9 +132,11 @@ def sentences(text: str | None) -> list[str]:
             continue
         words = s.split()
         if len(words) > WINDOW + WINDOW // 2:
-            out += [" ".join(words[k : k + WINDOW])[:LONGEST] for k in range(0, len(words) - WINDOW // 2, WINDOW // 2)]
+            parts = [" ".join(words[k : k + WINDOW]) for k in range(0, len(words) - WINDOW // 2, WINDOW // 2)]
         else:
-            out += [s[k : k + LONGEST] for k in range(0, len(s), LONGEST)]
+            parts = [s]
+        for p in parts:
+            out += [p[k : k + LONGEST] for k in range(0, len(p), LONGEST)] if len(p) > LONGEST else [p]
     return out
 
 
@@ -306,13 +298,13 @@ class Spread:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, *rest = summed(map(unpacked, batches), model.value, bias)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), *(pa.array([v]) for v in rest)], names=["g", "gb", "loss", "up"])
+            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary()), *(pa.array([v]) for v in rest)], names=["g", "gb", "loss", "up"])
 
         got = self.rows.mapInArrow(run, "g BINARY, gb DOUBLE, loss DOUBLE, up DOUBLE").collect()  # at most PARTS rows
         model.destroy()
         total = np.zeros(MASK + 1)
         for r in got:
-            total += np.frombuffer(r["g"])
+            total += np.frombuffer(r["g"], np.float32)
         return total, sum(r["gb"] for r in got), sum(r["loss"] for r in got), sum(r["up"] for r in got)
 
     def seen(self) -> np.ndarray:
@@ -351,10 +343,15 @@ def fit_nnpu(pos: Sentences, unl: Sentences, cleared: np.ndarray, pi: float, fre
     weight, n = 1 / max(1, len(pos)), len(unl) + len(free)
     cleared = cleared if len(free) or not cleared.all() else np.zeros_like(cleared)
     open_ = len(free) + np.count_nonzero(~cleared)
+    at = {1 + int(steps * (k / SNAPSHOTS) ** SPACING) for k in range(SNAPSHOTS)}
+    ratio, kept = len(free) / max(1, len(unl)), None
     for t in range(1, steps + 1):
         zp, zu = pos.score(w, bias), unl.score(w, bias)
         sp, su = _sigmoid(zp), _sigmoid(zu)
-        gf, gfb, loss, _ = free.share(w, bias)
+        now = (unl.gradient(su * (1 - su)), float((su * (1 - su)).sum()), float(su.sum()))
+        if t in at:
+            kept = (free.share(w, bias)[:3], now)
+        gf, gfb, loss = (whole + ratio * (new - old) for whole, new, old in zip(kept[0], now, kept[1]))
         # the loss is s(-z) for a positive and s(z) for a negative; either has the slope s(1-s)
         push = WARM if 3 * t < steps else 1
         gp, gu = -pi * push * weight * sp * (1 - sp), su * np.where(cleared, CLEARED, 1 - su) / n
@@ -393,11 +390,13 @@ def learn(positive: list[str], negative: list[str], unlabelled: list[str] | Data
     # labelled documents are picked, so their share of positives is only an upper bound of the prior; it is estimated anew from each round's model
     most = float(np.clip(share / max(per_doc, 1), 1e-4, 0.2))
     pi = PRIOR * most
-    # round 0: rarity. A sentence whose words cleared and unlabelled documents hardly use is the likely reason.
+    # round 0: the sentence whose features confirmed documents have oftenest against all others is the likely reason
     seen = np.bincount(rest.ids, minlength=MASK + 1) + free.seen() + 1.0
-    z = np.add.reduceat(-np.log(seen / n)[pos.ids], pos.starts) * pos.scale**2
-    # a sentence with words from the lists is likelier than any rare one
-    z = z + 10.0 * (np.add.reduceat(np.isin(pos.ids, _MARKS).astype(float), pos.starts) > 0)
+    lengths = np.diff(np.append(pos.starts, len(pos.ids)))
+    once = np.unique(np.stack([np.repeat(pos.docs, lengths), pos.ids]), axis=1)[1]
+    held = np.bincount(once, minlength=MASK + 1)
+    odds = np.log((held + 0.1) / len(positive)) - np.log((seen + SMOOTH) / n)
+    z = np.add.reduceat(odds[pos.ids], pos.starts) * pos.scale**2
     keep = z >= _best_of(pos.docs, z, len(positive))[pos.docs]
     for _ in range(rounds):
         chosen = pos.pick(keep)
@@ -424,6 +423,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     votes = labels.where("label IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "annotator", "label").distinct().groupBy("doc_id").agg(F.avg("label").alias("vote"))
     votes = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     texts = docs.where("text IS NOT NULL").select("doc_id", "text")
+    votes = votes.join(texts.where(F.length("text") <= MAX_CHARS).select("doc_id"), "doc_id", "left_semi")
     got = texts.join(votes, "doc_id").select("doc_id", "text", "vote").orderBy("doc_id").collect()
     positive = [r["text"] for r in got if r["vote"] > 0.5]
     negative = [r["text"] for r in got if r["vote"] < 0.5]

@@ -488,7 +488,7 @@ def test_every_unlabelled_document_enters_the_risk(spark, monkeypatch):
     for spread in (abuse.Spread(df), abuse.Spread(df, held=0)):
         assert (len(spread), spread.docs) == (len(held), held.docs) == (9000, 4500) and np.allclose(spread.seen(), held.seen())
         for a, b in zip(spread.share(w, -1.0), held.share(w, -1.0)):
-            assert np.allclose(a, b, rtol=1e-9)
+            assert np.allclose(a, b, rtol=1e-5)  # the vectors travel in 32 bits
     docs = spark.createDataFrame([*((k, "s", t) for k, t in enumerate(texts)), *((10_000 + k, "s", t) for k, t in enumerate(pos + neg))], "doc_id BIGINT, source STRING, text STRING")
     lab = spark.createDataFrame([*((10_000 + k, "a", 1) for k in range(3)), (10_003, "a", 0)], "doc_id BIGINT, annotator STRING, label INT")
     seen = []
@@ -500,7 +500,14 @@ def test_every_unlabelled_document_enters_the_risk(spark, monkeypatch):
 def test_words_read_through_disguises():
     one = lambda t: abuse.read(t)[0][0]
     assert one("1d10t") == one("Idioot") == one("ІDІОТ") == one("idiot")
-    assert abuse._kind(one("m***n")) == ["\x01insult"] and one("12_000") == "\x01number"
+    assert abuse.read("m***n") == (["m*n", abuse.STARRED], [abuse.STARRED]) and one("12_000") == "\x01number"
+
+
+def test_no_word_of_a_long_sentence_is_lost():
+    words = ["x" * 700, *"you are a worthless idiot and nobody wants you here today my dear old friend of the mill by the river".split()]
+    got = " ".join(abuse.sentences(" ".join(words)))
+    assert all(w in got for w in words[1:]) and got.count("x") >= 700
+    assert max(map(len, abuse.sentences("y" * 5000 + " end"))) <= abuse.LONGEST and sum(map(len, abuse.sentences("y" * 5000))) == 5000
 
 
 # all -------------------------------------------------------------------------------------------------------------
