@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 def latest(df: DataFrame, key: str, at: str = "ingested_at") -> DataFrame:
     """One row for each key, the one delivered last; rows without a key are left out. Deliveries of a key have one content."""
-    rest = [c for c in df.columns if c != key]
-    early = F.lit("0001-01-01").cast("timestamp_ntz")
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*rest), F.coalesce(F.col(at), early)).alias("r")).select(key, "r.*")
+    at_ = F.coalesce(F.col(at), F.lit("0001-01-01").cast("timestamp_ntz"))
+    # one aggregate for each column, so that those nobody asks for are never read
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.max_by(c, at_).alias(c) for c in df.columns if c != key])
 
 
 def spelled(c: str) -> Column:

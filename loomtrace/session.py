@@ -22,6 +22,7 @@ def build_session(app: str = "loomtrace", cores: int | str = "*", partitions: in
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -29,9 +30,12 @@ def build_session(app: str = "loomtrace", cores: int | str = "*", partitions: in
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as spark.checkpoint.dir names it; a local one only where that is unset (tests)."""
+    """The folder all executors share, as spark.checkpoint.dir names it. Where that is unset: a local one if the session is
+    local (tests), else an error, since no machine's own folder is shared."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = os.path.join(tempfile.gettempdir(), f"loomtrace-{os.getuid()}")
         os.makedirs(named, exist_ok=True)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -45,11 +49,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bytes_estimate(df: DataFrame) -> int:
-    """What Catalyst expects the plan to yield, in bytes; the gate for every broadcast in this library."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-
-
 def ship(spark: SparkSession) -> None:
     """Give the executors' Python workers this package, once for each session, wherever they run."""
     import io
