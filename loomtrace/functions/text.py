@@ -23,16 +23,16 @@ def tokens(text: Column, stopwords: list[str] = RETRIEVAL_STOPWORDS) -> Column:
     return F.filter(found, lambda t: ~t.isin(*stopwords))
 
 
+def stripped(text: Column) -> Column:
+    """All white space off both ends, nothing else."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def trimmed(text: Column, most: int = 4000) -> Column:
     """§1.2 text: all white space off both ends, then a cap."""
     return F.substring(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", ""), 1, most)
 
 
-def trimmed_list(items: Column, most: int = 12, chars: int = 500) -> Column:
-    """§1.2 string lists: the first `most` inputs, trimmed and capped, ordered distinct, without empty ones."""
-    return F.array_distinct(F.filter(F.transform(F.slice(items, 1, most), lambda x: trimmed(x, chars)), lambda x: x != ""))
-
-
 def index_set(xs: Column, most: int | None = 24) -> Column:
     """§1.2 step lists: sorted set of the non-negative indexes, capped."""
     out = F.array_sort(F.array_distinct(F.filter(xs, lambda x: x.isNotNull() & (x >= 0))))
@@ -79,14 +79,6 @@ def code_block(reply: Column) -> Column:
     return F.nullif(F.trim(F.regexp_extract(reply, r"(?s)```(?:python|py)?\s*\n(.*?)```", 1)), F.lit(""))
 
 
-def sql_command(reply: Column) -> Column:
-    """T4: 'EXPLORE|sql' or 'SUBMIT|sql' of a reply, without fences, back-ticks and the last semicolon; null if it commands nothing."""
-    bare = F.regexp_replace(reply, r"```(?:sql)?", "")
-    verb = F.upper(F.regexp_extract(bare, r"(?is)\b(explore|submit)\b\s*:?", 1))
-    body = F.regexp_replace(F.regexp_extract(bare, r"(?is)\b(?:explore|submit)\b\s*:?\s*(.*)$", 1), r"^[`\s]+|[`;\s]+$", "")
-    return F.when((verb != "") & (body != ""), F.concat(verb, F.lit("|"), body))
-
-
 def safe_stem(text: Column) -> Column:
     """A file stem of at most 80 characters with the first 8 hex digits of the SHA-1."""
     return F.concat(F.substring(F.regexp_replace(text, r"[^A-Za-z0-9._-]+", "_"), 1, 80), F.lit("-"), F.substring(F.sha1(text), 1, 8))
@@ -209,11 +201,6 @@ def closest_hints(most: int = 6, ratio: float = 0.5):
     return hints
 
 
-def next_number(ids: Column, prefix: str = "mem_") -> Column:
-    """T13 (aggregate): one more than the largest number among ids of the form prefix + digits."""
-    return F.coalesce(F.max(F.regexp_extract(ids, rf"^{prefix}(\d+)$", 1).try_cast("bigint")), F.lit(0)) + 1
-
-
 def listed_actions(text: Column, marker: str) -> Column:
     """The quoted or comma-separated items after the last marker."""
     tail = F.substring_index(text, marker, -1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -38,48 +39,91 @@ def targets_as_of(readers: DataFrame, log: DataFrame, key: str, supersedes: str,
 VERSIONED = "chain STRING, id STRING, content STRING, scope STRING, status STRING, version INT, evidence ARRAY<STRING>, n_history INT"
 
 
-def fold_operations(ops: DataFrame) -> DataFrame:
-    """G1: the bank that a chain of add, refine and replace operations leaves, folded in order within each chain.
-
-    ops: chain, position, op, target, content, scope, task, evidence ARRAY<INT>. Rejected are operations without evidence,
-    duplicates of an active content (by case folding), unknown targets and changes of nothing. Chains fold in parallel;
-    a chain's operations come sorted in Arrow batches, and only its bank is held."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bank: dict[str, dict] = {}
-        number = 0
-        rows = pd.concat(list(batches)).sort_values("position", kind="stable")
-        for r in rows.itertuples(index=False):
-            evidence = [] if r.evidence is None else list(r.evidence)
-            if reject(bank, r, evidence):
-                continue
-            proof = [f"{r.task}:{int(e)}" for e in evidence]
-            if r.op == "add":
-                number += 1
-                bank[f"mem_{number:06d}"] = {"content": r.content, "scope": r.scope or "", "version": 1, "evidence": proof, "n_history": 0}
-            else:
-                e = bank[r.target]
-                kept = list(dict.fromkeys(e["evidence"] + proof)) if r.op == "refine" else proof
-                bank[r.target] = {"content": r.content, "scope": r.scope or "", "version": e["version"] + 1, "evidence": kept, "n_history": e["n_history"] + 1}
-        yield pd.DataFrame(
-            [(key[0], k, e["content"], e["scope"], "active", e["version"], e["evidence"], e["n_history"]) for k, e in bank.items()],
+class Bank:
+    """The bank of one chain while its operations come in: entries by id, and how many hold each content."""
+
+    def __init__(self) -> None:
+        self.entries: dict[str, dict] = {}
+        self.contents: Counter[str] = Counter()
+        self.number = 0
+
+    def put(self, key: str, content: str, scope: str, version: int, evidence: list[str], n_history: int) -> None:
+        if key in self.entries:
+            self.contents[self.entries[key]["content"].casefold()] -= 1
+        elif m := re.fullmatch(r"mem_(\d+)", key):
+            self.number = max(self.number, int(m.group(1)))
+        self.contents[content.casefold()] += 1
+        self.entries[key] = {"content": content, "scope": scope, "version": version, "evidence": evidence, "n_history": n_history}
+
+    def apply(self, r) -> tuple[str | None, str | None]:
+        """Takes an operation in; (the entry's id, None), or (None, why it is turned down)."""
+        evidence = [] if r.evidence is None else list(r.evidence)
+        reason = self.reject(r, evidence)
+        if reason:
+            return None, reason
+        proof = [f"{r.task}:{e}" for e in evidence]
+        if r.op == "add":
+            key = f"mem_{self.number + 1:06d}"
+            self.put(key, r.content or "", r.scope or "", 1, proof, 0)
+            return key, None
+        e = self.entries[r.target]
+        kept = list(dict.fromkeys(e["evidence"] + proof)) if r.op == "refine" else proof
+        self.put(r.target, r.content or "", r.scope or "", e["version"] + 1, kept, e["n_history"] + 1)
+        return r.target, None
+
+    def reject(self, r, evidence: list) -> str | None:
+        """The last of the reasons that hold, as later ones overrule earlier ones."""
+        reason = None if evidence else "missing_evidence_steps"
+        if r.op == "add":
+            return "duplicate_active_memory" if self.contents[(r.content or "").casefold()] > 0 else reason
+        if r.op not in ("refine", "replace"):
+            return "unknown_operation"
+        target = self.entries.get(r.target)
+        if target is None:
+            return "unknown_or_inactive_target"
+        return "no_change" if target["content"] == (r.content or "") and target["scope"] == (r.scope or "") else reason
+
+    def rows(self, chain: str) -> pd.DataFrame:
+        return pd.DataFrame(
+            [(chain, k, e["content"], e["scope"], "active", e["version"], e["evidence"], e["n_history"]) for k, e in self.entries.items()],
             columns=["chain", "id", "content", "scope", "status", "version", "evidence", "n_history"],
         )
 
-    return ops.groupBy("chain").applyInPandas(run, VERSIONED)
 
+def in_order(df: DataFrame) -> DataFrame:
+    """Rows of a chain together and in order, for a fold that sees a chain's rows one after the other."""
+    return df.repartition("chain").sortWithinPartitions("chain", *(c for c in ("turn", "position") if c in df.columns))
 
-def reject(bank: dict[str, dict], r, evidence: list) -> str | None:
-    """The last of the reasons that hold, as later ones overrule earlier ones."""
-    reason = None if evidence else "missing_evidence_steps"
-    if r.op == "add":
-        return "duplicate_active_memory" if any(e["content"].casefold() == (r.content or "").casefold() for e in bank.values()) else reason
-    if r.op not in ("refine", "replace"):
-        return "unknown_operation"
-    target = bank.get(r.target)
-    if target is None:
-        return "unknown_or_inactive_target"
-    return "no_change" if target["content"] == r.content and target["scope"] == (r.scope or "") else reason
+
+def fold_operations(ops: DataFrame, initial: DataFrame | None = None) -> DataFrame:
+    """The bank that a chain of add, refine and replace operations leaves, folded in order within each chain, from
+    the bank that an earlier batch of operations left, if there is one.
+
+    ops: chain, position, op, target, content, scope, task, evidence ARRAY<INT>; initial: as this function returns it.
+    Rejected are operations without evidence, duplicates of an active content (by case folding), unknown targets and changes
+    of nothing. Chains fold in parallel; operations stream by in Arrow batches, sorted, and only the current bank is held."""
+    none = F.lit(None)
+    rows = ops.select("chain", F.lit(1).alias("turn"), "position", "op", "target", "content", "scope", "task", F.col("evidence").cast("array<string>").alias("evidence"), none.cast("int").alias("version"), none.cast("int").alias("n_history"))
+    if initial is not None:
+        # what is there comes before all operations
+        rows = rows.unionByName(initial.select("chain", F.lit(0).alias("turn"), none.cast(dict(ops.dtypes)["position"]).alias("position"), F.lit("have").alias("op"), F.col("id").alias("target"), "content", "scope", none.cast("string").alias("task"), "evidence", "version", "n_history"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chain, bank = None, Bank()
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                if r.chain != chain:
+                    if bank.entries:
+                        yield bank.rows(chain)
+                    chain, bank = r.chain, Bank()
+                if r.op == "have":
+                    bank.put(r.target, r.content, r.scope, int(r.version), list(r.evidence), int(r.n_history))
+                else:
+                    bank.apply(r)
+        if bank.entries:
+            yield bank.rows(chain)
+
+    return in_order(rows).mapInPandas(run, VERSIONED)
 
 
 def capacity(n_tasks: Column, fraction: float, hard: Column) -> Column:
@@ -99,35 +143,50 @@ def repaired_ids(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.withColumn("n_", n).withColumn(key, F.when(F.col("n_") == 1, F.col(key)).otherwise(F.concat_ws("_", key, F.col("n_")))).drop("n_")
 
 
-def next_id(ids: list[str]) -> str:
-    """T13 on the driver, for a bank that is at hand."""
-    numbers = [int(m.group(1)) for i in ids if (m := re.fullmatch(r"mem_(\d+)", i or ""))]
-    return f"mem_{max(numbers, default=0) + 1:06d}"
-
-
 def fold_merging(entries: DataFrame, threshold: float = 0.25, keep: float = 0.9) -> DataFrame:
     """A chain of drafts folded into a bank that merges: a draft whose words overlap an entry's by the threshold refines
     the best one (the earliest on ties); where it would lose more than a tenth of the entry's words, the texts are joined.
 
-    entries: chain, position, content. Gives chain, id, content, version. Chains fold in parallel."""
+    entries: chain, position, content. Gives chain, id, content, version. Chains fold in parallel, drafts stream by sorted;
+    the current bank is held with an index from words to its entries, so a draft meets only those it shares a word with."""
     from loomtrace.functions.text import RANKING_STOPWORDS
 
     stop = frozenset(RANKING_STOPWORDS)
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = lambda t: {w for w in re.findall("[a-z0-9]+", t.lower()) if w not in stop}
-        bank: list[list] = []
-        for r in pd.concat(list(batches)).sort_values("position", kind="stable").itertuples(index=False):
-            new = words(r.content or "")
-            score = lambda e: len(new & e[2]) / len(new | e[2]) if new and e[2] else 0.0
-            best = max(bank, key=score, default=None)
-            if best is None or score(best) < threshold:
-                bank.append([r.content or "", 1, new])
-                continue
-            kept = len(best[2] & new) / len(best[2]) if best[2] else 1.0
-            joined = kept < keep and (r.content or "") not in best[0]
-            best[0] = f"{best[0]} {r.content}" if joined else r.content or best[0]
-            best[1], best[2] = best[1] + 1, words(best[0])
-        yield pd.DataFrame([(key[0], f"mem_{i + 1:06d}", e[0], e[1]) for i, e in enumerate(bank)], columns=["chain", "id", "content", "version"])
-
-    return entries.groupBy("chain").applyInPandas(run, "chain STRING, id STRING, content STRING, version INT")
+    def words(t: str) -> frozenset[str]:
+        return frozenset(w for w in re.findall("[a-z0-9]+", t.lower()) if w not in stop)
+
+    def done(chain: str, bank: list[list]) -> pd.DataFrame:
+        return pd.DataFrame([(chain, f"mem_{i + 1:06d}", e[0], e[1]) for i, e in enumerate(bank)], columns=["chain", "id", "content", "version"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chain, bank, index = None, [], {}
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                if r.chain != chain:
+                    if bank:
+                        yield done(chain, bank)
+                    chain, bank, index = r.chain, [], {}
+                text = r.content or ""
+                new = words(text)
+                shared = Counter(i for w in new for i in index.get(w, ()))
+                score = lambda i: shared[i] / (len(new) + len(bank[i][2]) - shared[i])
+                best = min(shared, key=lambda i: (-score(i), i), default=None)
+                if best is None or score(best) < threshold:
+                    bank.append([text, 1, new])
+                    best, old = len(bank) - 1, frozenset()
+                else:
+                    e = bank[best]
+                    old = e[2]
+                    joined = shared[best] / len(old) < keep and text not in e[0]
+                    e[0] = f"{e[0]} {text}" if joined else text or e[0]
+                    e[1], e[2] = e[1] + 1, words(e[0])
+                for w in old - bank[best][2]:
+                    index[w].discard(best)
+                for w in bank[best][2] - old:
+                    index.setdefault(w, set()).add(best)
+        if bank:
+            yield done(chain, bank)
+
+    rows = entries.select("chain", "position", "content").where("chain IS NOT NULL")
+    return in_order(rows).mapInPandas(run, "chain STRING, id STRING, content STRING, version INT")

@@ -31,13 +31,6 @@ def summary(runs: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def facets(df: DataFrame, by: list[str], *columns: Column) -> DataFrame:
-    """A3: (by.., facet, value, n) of several columns at once, in one pass: rows are stacked, counted before the shuffle."""
-    names = [c._jc.toString() for c in columns]
-    stacked = F.array(*[F.struct(F.lit(n.split(" AS ")[-1].strip("`")).alias("facet"), c.cast("string").alias("value")) for n, c in zip(names, columns)])
-    return df.select(*by, F.explode(stacked).alias("f")).groupBy(*by, F.col("f.facet").alias("facet"), F.col("f.value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-
-
 def zero_filled(df: DataFrame, column: str, domain: list[str]) -> DataFrame:
     """A4: counts over a fixed domain, zeros included; other values are left out."""
     whole = df.sparkSession.createDataFrame([(v,) for v in domain], f"{column} STRING")

@@ -55,12 +55,6 @@ def loss(df: DataFrame, advantage: str, log_prob: str, h: str, weight: float = 0
     return df.agg(pg.alias("pg_term"), ent.alias("entropy_sum"), (pg - weight * ent).alias("loss"))
 
 
-def report(df: DataFrame, p: str) -> DataFrame:
-    """Decisions, mean entropy, mean greatest probability, product of it over the decisions."""
-    m = F.array_max(p)
-    return df.agg(F.count(F.lit(1)).alias("n"), F.avg(entropy(F.col(p))).alias("mean_entropy"), F.avg(m).alias("mean_top"), F.exp(F.sum(F.ln(m))).alias("product_top"))
-
-
 def drift(df: DataFrame, before: str, after: str) -> DataFrame:
     """Largest and mean change of any route's probability."""
     d = F.array_max(F.zip_with(before, after, lambda a, b: F.abs(a - b)))

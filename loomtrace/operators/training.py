@@ -12,11 +12,6 @@ def training_role(role: Column) -> Column:
     return F.when(F.lower(F.trim(role)).isin("user", "tool", "env", "environment"), "user").otherwise("assistant")
 
 
-def without_guidance(text: Column, marker: str) -> Column:
-    """A first message without the guidance that a marker begins."""
-    return F.substring_index(text, marker, 1)
-
-
 def assembled(messages: DataFrame, key: str, order: list[str], role: Column, content: Column, system: str) -> DataFrame:
     """(key, messages): a system message and the run's messages in order, as role and content."""
     m = messages.select(key, F.struct(*order, role.alias("role"), content.alias("content")).alias("m"))
@@ -52,6 +47,12 @@ def loss_mask(tokens: Column, header: str, end: str) -> Column:
     return state["out"]
 
 
-def fitting(messages: Column, size: Column, most: int) -> Column:
-    """A message list that fits, else its first message and the longest tail that does with it; `size` maps a message's text."""
-    return F.when(size <= most, messages)
+def fitting(tokens: Column, head: Column, most: int) -> Column:
+    """A token list that fits; else its head (the system turn) and the longest tail that fits with it, one token at least."""
+    tail = F.greatest(F.lit(1), F.lit(most) - F.size(head))
+    return F.when(F.size(tokens) <= most, tokens).otherwise(F.concat(head, F.slice(tokens, -tail, tail)))
+
+
+def segment_examples(segmented: DataFrame, key: str, is_user: Column) -> DataFrame:
+    """(key, segment, n, supervised): one example for each segment that begins with a user turn and has a reply."""
+    return segmented.where("segment > 0").groupBy(key, "segment").agg(F.count(F.lit(1)).alias("n"), F.count_if(~is_user).alias("supervised")).where("supervised > 0")

@@ -89,11 +89,14 @@ def chat_reason(roles: Column, contents: Column) -> Column:
     )
 
 
-def tool_chat_reason(roles: Column) -> Column:
-    """F16: system first and only once, known roles, at least one assistant."""
-    return first_reason(
-        ("empty", F.size(roles) == 0), ("first_not_system", F.get(roles, F.lit(0)) != "system"), ("system_twice", F.size(F.filter(roles, lambda r: r == "system")) > 1), ("unknown_role", F.exists(roles, lambda r: ~F.coalesce(r.isin("system", "user", "assistant", "tool"), F.lit(False)))), ("no_assistant", ~F.exists(roles, lambda r: r == "assistant"))
+def tool_chats(messages: DataFrame, run: str, order: list[str], role: str) -> DataFrame:
+    """F16: (run, why): system first and only once, known roles, at least one assistant; null if all holds. Aggregates only, so a run of any length is one row."""
+    r = F.col(role)
+    per = messages.groupBy(run).agg(
+        F.min_by(r, F.struct(*order)).alias("head_"), F.count_if(r == "system").alias("systems_"), F.bool_or(~r.isin("system", "user", "assistant", "tool")).alias("other_"), F.bool_or(r == "assistant").alias("speaks_")
     )
+    why = first_reason(("first_not_system", F.col("head_") != "system"), ("system_twice", F.col("systems_") > 1), ("unknown_role", F.col("other_")), ("no_assistant", ~F.col("speaks_")))
+    return per.select(run, why.alias("why"))
 
 
 def first_calls(calls: DataFrame, owner: str, name: str, order: str, known: list[str]) -> DataFrame:

@@ -38,19 +38,51 @@ def bank_asof_targets(spark, d):
     return banks.targets_as_of(readers, log, "id", "supersedes", "position").select("id", "target", "visible")
 
 
-@query()
+_FOLD = f"""WITH RECURSIVE {TRAJ}, o AS (SELECT source_task_id AS chain, run_id AS task, final_answer AS content, coalesce(domain, '') AS scope, [(strpos('0123456789abcdef', substr(md5(run_id), 1, 1)) - 1) % 4][1] AS h, row_number() OVER (PARTITION BY source_task_id ORDER BY started_at, run_id) AS rn
+        FROM traj WHERE source_task_id IS NOT NULL AND final_answer IS NOT NULL AND started_at IS NOT NULL),
+    f AS (SELECT DISTINCT chain, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(content VARCHAR, scope VARCHAR, version INTEGER, evidence VARCHAR, n_history INTEGER)[]) AS bank FROM o
+        UNION ALL SELECT o.chain, o.rn, CASE WHEN h < 2 THEN CASE WHEN list_contains(list_transform(bank, lambda e: lower(e.content)), lower(o.content)) THEN bank
+                ELSE list_append(bank, {{'content': o.content, 'scope': o.scope, 'version': 1, 'evidence': task || ':0', 'n_history': 0}}) END
+            WHEN len(bank) = 0 OR (bank[1].content = o.content AND bank[1].scope = o.scope) THEN bank
+            ELSE list_concat([{{'content': o.content, 'scope': o.scope, 'version': bank[1].version + 1, 'evidence': CASE WHEN h = 2 THEN bank[1].evidence || ',' || task || ':0' ELSE task || ':0' END, 'n_history': bank[1].n_history + 1}}], bank[2:]) END
+        FROM f JOIN o ON o.chain = f.chain AND o.rn = f.rn + 1),
+    l AS (SELECT chain, arg_max(bank, rn) AS bank FROM f GROUP BY chain), x AS (SELECT chain, unnest(range(1, len(bank) + 1)) AS i, bank FROM l)
+    SELECT chain, printf('mem_%06d', i) AS id, bank[i].content AS content, bank[i].version AS version, bank[i].n_history AS n_history, bank[i].evidence AS evidence FROM x"""
+
+
+def _operations(spark, d):
+    r = runs(spark, d).where("source_task_id IS NOT NULL AND final_answer IS NOT NULL AND started_at IS NOT NULL")
+    h = F.conv(F.substring(F.md5("run_id"), 1, 1), 16, 10).cast("int") % 4
+    return r.select(
+        F.col("source_task_id").alias("chain"), F.concat(F.lpad(F.unix_micros(F.col("started_at").cast("timestamp")).cast("string"), 20, "0"), F.col("run_id")).alias("position"), F.when(h < 2, "add").when(h == 2, "refine").otherwise("replace").alias("op"), F.lit("mem_000001").alias("target"),
+        F.col("final_answer").alias("content"), F.coalesce("domain", F.lit("")).alias("scope"), F.col("run_id").alias("task"), F.array(F.lit(0)).alias("evidence"),
+    )
+
+
+def _shown_bank(bank):
+    return bank.select("chain", "id", "content", "version", "n_history", F.array_join("evidence", ",").alias("evidence"))
+
+
+@query(_FOLD)
 def bank_fold(spark, d):
-    """G1: a versioned bank per task from its runs' answers as operations; an ordered fold, so no SQL."""
+    """G1: a versioned bank per task from its runs' answers as operations, an ordered fold."""
     from loomtrace.session import ship
 
     ship(spark)
-    r = runs(spark, d).where("source_task_id IS NOT NULL AND final_answer IS NOT NULL AND started_at IS NOT NULL")
-    h = F.pmod(F.xxhash64("run_id"), F.lit(4))
-    ops = r.select(
-        F.col("source_task_id").alias("chain"), F.struct("started_at", "run_id").cast("string").alias("position"), F.when(h < 2, "add").when(h == 2, "refine").otherwise("replace").alias("op"), F.lit("mem_000001").alias("target"),
-        F.col("final_answer").alias("content"), F.coalesce("domain", F.lit("")).alias("scope"), F.col("run_id").alias("task"), F.array(F.lit(0)).alias("evidence"),
-    )
-    return banks.fold_operations(ops).select("chain", "id", "content", "version", "n_history", F.array_join("evidence", ",").alias("evidence"))
+    return _shown_bank(banks.fold_operations(_operations(spark, d)))
+
+
+@query(_FOLD)
+def bank_handoff(spark, d):
+    """The same bank by two batches of operations, the first one's bank and position handed to the second."""
+    from loomtrace.session import cut_lineage, ship
+
+    ship(spark)
+    ops = _operations(spark, d)
+    middle = ops.groupBy("chain").agg(F.percentile_approx(F.substring("position", 1, 20).cast("bigint"), 0.5).alias("middle"))
+    parted = ops.join(middle, "chain").withColumn("early", F.substring("position", 1, 20).cast("bigint") <= F.col("middle"))
+    first = cut_lineage(banks.fold_operations(parted.where("early")))
+    return _shown_bank(banks.fold_operations(parted.where(~F.col("early")), first))
 
 
 @query(f"WITH {TRAJ}, c AS (SELECT source_task_id, run_id, coalesce(success, false) AS writes, count(*) OVER (PARTITION BY source_task_id) AS n FROM traj WHERE source_task_id IS NOT NULL), s AS (SELECT *, sum(CASE WHEN writes THEN 1 ELSE 0 END) OVER (PARTITION BY source_task_id ORDER BY run_id ROWS UNBOUNDED PRECEDING) AS slot FROM c) SELECT source_task_id, run_id, CAST(slot AS BIGINT) AS slot, NOT writes OR slot <= greatest(1, ceil(n * 0.3)) AS allowed FROM s")
@@ -156,11 +188,14 @@ def span_logprob(spark, d):
     return training.span_sums(toks_, spans, "run_id").select("run_id", "turn", "n", F.round("total", 6).alias("total"))
 
 
-@query("WITH w AS (SELECT id, regexp_split_to_array(instruction, ' ') AS ws FROM tasks WHERE instruction IS NOT NULL), i AS (SELECT id, ws, list_filter(range(1, len(ws) + 1), lambda k: ws[k] = 'the') AS h FROM w) SELECT id, CAST(CASE WHEN len(h) = 0 THEN 0 ELSE len(ws) - h[1] - (len(h) - 1) END AS BIGINT) AS supervised FROM i")
+@query(
+    """WITH w AS (SELECT doc_id, string_split(text, ' ') AS ws FROM documents WHERE text IS NOT NULL), k AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS t FROM w),
+    m AS (SELECT *, last_value(CASE WHEN t IN ('the', 'of') THEN t END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM k)
+    SELECT doc_id, CAST(count(*) FILTER (t <> 'the' AND mark = 'the') AS BIGINT) AS supervised FROM m GROUP BY doc_id"""
+)
 def loss_mask(spark, d):
-    """Words after a header up to an end mark that never comes, other headers left out."""
-    w = F.split("instruction", " ")
-    return table(spark, d, "tasks").where("instruction IS NOT NULL").select("id", F.aggregate(training.loss_mask(w, "the", "\0"), F.lit(0), lambda s, x: s + x).cast("bigint").alias("supervised"))
+    """Words after a header (`the`) up to the end mark (`of`), which counts too; what lies between an end and the next header doesn't."""
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.size(F.filter(training.loss_mask(F.split("text", " "), "the", "of"), lambda x: x == 1)).cast("bigint").alias("supervised"))
 
 
 @query("WITH n AS (SELECT id, row_number() OVER (PARTITION BY split_part(id, '_', 1) ORDER BY id) AS n FROM tasks) SELECT id, CASE WHEN n = 1 THEN split_part(id, '_', 1) ELSE split_part(id, '_', 1) || '_' || n END AS fixed FROM n")

@@ -58,11 +58,11 @@ def newest_turns(spark, d):
     return windows.last_rows(m, "run_id", "at", 2).select("run_id", "message_id", "back")
 
 
-@query(f"WITH {MSG}, q AS (SELECT run_id, message_id, \"index\", trim(regexp_replace(lower(action['query']), '\\s+', ' ', 'g')) AS key FROM ms WHERE action['query'] IS NOT NULL AND \"index\" IS NOT NULL) SELECT run_id, message_id, CAST(row_number() OVER (PARTITION BY run_id, key ORDER BY \"index\", message_id) AS INTEGER) AS nth FROM q QUALIFY nth > 1")
+@query(f"WITH {STEP}, q AS (SELECT run_id, step_id, \"index\", trim(regexp_replace(lower(action['text']), '\\s+', ' ', 'g')) AS key FROM st WHERE action['text'] IS NOT NULL) SELECT run_id, step_id, CAST(row_number() OVER (PARTITION BY run_id, key ORDER BY \"index\", step_id) AS INTEGER) AS nth FROM q QUALIFY nth > 1")
 def repeat_query_detect(spark, d):
-    """Queries asked before in the run, but for case and spacing."""
-    m = messages(spark, d, F.element_at("action", F.lit("query")).alias("q")).where("q IS NOT NULL AND index IS NOT NULL").withColumn("at", F.struct("index", "message_id"))
-    return windows.repeats(m, "run_id", "at", F.trim(F.regexp_replace(F.lower("q"), r"\s+", " "))).where("nth > 1").select("run_id", "message_id", "nth")
+    """Texts entered before in the run, but for case and spacing."""
+    m = steps(spark, d, F.element_at("action", F.lit("text")).alias("q")).where("q IS NOT NULL").withColumn("at", F.struct("index", "step_id"))
+    return windows.repeats(m, "run_id", "at", F.trim(F.regexp_replace(F.lower("q"), r"\s+", " "))).where("nth > 1").select("run_id", "step_id", "nth")
 
 
 @query(

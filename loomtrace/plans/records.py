@@ -31,17 +31,25 @@ def chat_shape_validation(spark, d):
     return c.select("run_id", F.coalesce(why, F.lit("ok")).alias("why"))
 
 
-@query(f"WITH {MSG}, m AS (SELECT run_id, list(lower(trim(role))) AS rs FROM ms WHERE role IS NOT NULL GROUP BY run_id) SELECT run_id, len(list_filter(rs, lambda r: r NOT IN ('system', 'user', 'assistant', 'tool'))) > 0 AS unknown_role, NOT list_contains(rs, 'assistant') AS no_assistant FROM m")
+@query(
+    f"""WITH {MSG}, m AS (SELECT run_id, lower(trim(role)) AS r, row_number() OVER (PARTITION BY run_id ORDER BY "index", message_id) AS i FROM ms WHERE role IS NOT NULL),
+    p AS (SELECT run_id, arg_min(r, i) AS head, count(*) FILTER (r = 'system') AS systems, bool_or(r NOT IN ('system', 'user', 'assistant', 'tool')) AS other, bool_or(r = 'assistant') AS speaks FROM m GROUP BY run_id)
+    SELECT run_id, coalesce(CASE WHEN head <> 'system' THEN 'first_not_system' WHEN systems > 1 THEN 'system_twice' WHEN other THEN 'unknown_role' WHEN NOT speaks THEN 'no_assistant' END, 'ok') AS why FROM p"""
+)
 def tool_chat_roles(spark, d):
-    """F16."""
-    m = messages(spark, d, F.lower(F.trim("role")).alias("r")).where("r IS NOT NULL").groupBy("run_id").agg(F.collect_list("r").alias("rs"))
-    return m.select("run_id", F.exists("rs", lambda r: ~r.isin("system", "user", "assistant", "tool")).alias("unknown_role"), (~F.array_contains("rs", "assistant")).alias("no_assistant"))
+    """F16: why a run's roles are no tool chat."""
+    m = messages(spark, d, F.lower(F.trim("role")).alias("r")).where("r IS NOT NULL")
+    return va.tool_chats(m, "run_id", ["index", "message_id"], "r").select("run_id", F.coalesce("why", F.lit("ok")).alias("why"))
 
 
-@query()
+@query(
+    r"""WITH x AS (SELECT doc_id, list_concat(regexp_extract_all(t, '#[A-Za-z0-9_-]{4,}'), list_concat(regexp_extract_all(t, '\b[A-Z0-9]{6}\b'), list_concat(regexp_extract_all(t, '\b[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}\b'), regexp_extract_all(t, '\b\d{3}[- ]\d{3}[- ]\d{4}\b')))) AS ids
+        FROM (SELECT doc_id, regexp_replace(text, '[^\x00-\x7f]', ' ', 'g') AS t FROM documents WHERE text IS NOT NULL)) SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(ids, lambda i: lower(i)))), ',') AS ids FROM x WHERE len(ids) > 0"""
+)
 def identifier_harvest(spark, d):
-    """F8: identifiers by their shapes. Word ends count letters of all alphabets, which the SQL at hand doesn't; held against Python in the tests."""
-    w = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", tx.identifiers(F.col("text")).alias("i"))
+    """F8: identifiers by their shapes; letters beyond ASCII end a word, in both engines."""
+    ascii_ = F.regexp_replace("text", r"[^\x00-\x7f]", " ")
+    w = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", tx.identifiers(ascii_).alias("i"))
     return w.where(F.size("i") > 0).select("doc_id", F.array_join("i", ",").alias("ids"))
 
 
@@ -143,11 +151,12 @@ def divergence_index(spark, d):
     return replies(spark, d, F.col("content").alias("a"), F.col("prompt").alias("b")).where("a IS NOT NULL AND b IS NOT NULL").select("reply_id", tx.first_divergence(F.col("a"), F.col("b")).alias("at"))
 
 
-@query(f"WITH {REPLY} SELECT reply_id, substr(md5(trim(regexp_extract(content, '(?s)```(?:python|py)?\\s*\\n(.*?)```', 1))), 1, 12) AS block FROM rp WHERE trim(regexp_extract(content, '(?s)```(?:python|py)?\\s*\\n(.*?)```', 1)) <> ''")
+@query("SELECT doc_id, md5(trim(split_part(text || chr(10), '```', 1), ' ' || chr(10) || chr(9) || chr(13))) AS block FROM documents WHERE doc_id % 2 = 0 AND trim(split_part(text || chr(10), '```', 1), ' ' || chr(10) || chr(9) || chr(13)) <> ''")
 def code_blocks(spark, d):
-    """Fenced code in replies, by digest."""
-    r = replies(spark, d, tx.code_block(F.col("content")).alias("c")).where("c IS NOT NULL")
-    return r.select("reply_id", F.substring(F.md5("c"), 1, 12).alias("block"))
+    """Fenced code of replies, by digest: every second document's text as a reply's block, the others without a fence."""
+    reply = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Here it is:\n```python\n"), "text", F.lit("\n```\nand ```none```"))).otherwise(F.concat(F.lit("No block: "), "text"))
+    r = table(spark, d, "documents").select("doc_id", F.trim(tx.code_block(reply), F.lit(" \n\t\r")).alias("c")).where("c <> ''")
+    return r.select("doc_id", F.md5("c").alias("block"))
 
 
 @query(f"WITH {MSG}, a AS (SELECT message_id, run_id, concat_ws(' ', action['action'], action['target']) AS cmd FROM ms WHERE action['action'] IS NOT NULL), v AS (SELECT run_id, lower(cmd) AS k, min(cmd) AS canonical FROM a GROUP BY ALL) SELECT message_id, canonical FROM a JOIN v ON v.run_id = a.run_id AND v.k = lower(a.cmd)")

@@ -74,7 +74,7 @@ def probe_set(spark, d):
 
 @query(f"WITH {REPLY}, m AS (SELECT source_task_id, list_sort(list(DISTINCT model)) AS ms FROM rp WHERE source_task_id IS NOT NULL AND model IS NOT NULL GROUP BY ALL), {TRAJ}, t AS (SELECT source_task_id, list_sort(list(DISTINCT model)) AS ms FROM traj WHERE source_task_id IS NOT NULL AND model IS NOT NULL GROUP BY ALL) SELECT source_task_id, array_to_string(list_sort(list_intersect(m.ms, t.ms)), ',') AS both, array_to_string(list_sort(list_filter(m.ms, lambda x: NOT list_contains(t.ms, x))), ',') AS only_replies, len(list_distinct(list_concat(m.ms, t.ms))) AS either FROM m JOIN t USING (source_task_id)")
 def set_algebra(spark, d):
-    """Models seen for a task in replies and in runs."""
+    """Models seen for a task in replies and in runs."""
     m = replies(spark, d, "source_task_id", "model").where("source_task_id IS NOT NULL AND model IS NOT NULL").groupBy("source_task_id").agg(F.sort_array(F.collect_set("model")).alias("m"))
     t = runs(spark, d).where("source_task_id IS NOT NULL AND model IS NOT NULL").groupBy("source_task_id").agg(F.sort_array(F.collect_set("model")).alias("t"))
     j = m.join(t, "source_task_id")

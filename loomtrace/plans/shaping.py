@@ -93,10 +93,10 @@ def memory_gate(spark, d):
     return o.join(bank, "target", "left").select("doc_id", F.array_join(why, ",").alias("reasons"))
 
 
-@query(f"WITH {REPLY} SELECT reply_id, starts_with(coalesce(content, ''), substr(prompt, 1, 20)) AS served FROM rp WHERE prompt IS NOT NULL")
+@query(f"WITH {REPLY} SELECT reply_id, starts_with(coalesce(content, ''), prompt) AS served FROM rp WHERE prompt IS NOT NULL")
 def served_prefix(spark, d):
     """whether a text starts with what was served."""
-    return replies(spark, d, F.startswith(F.coalesce("content", F.lit("")), F.substring("prompt", 1, 20)).alias("served"), "prompt").where("prompt IS NOT NULL").select("reply_id", "served")
+    return replies(spark, d, F.startswith(F.coalesce("content", F.lit("")), F.col("prompt")).alias("served"), "prompt").where("prompt IS NOT NULL").select("reply_id", "served")
 
 
 @query("SELECT id, CASE WHEN len(p) > 1 THEN array_to_string(p[1:len(p) - 1], '::') ELSE p[1] END AS grp, p[len(p)] AS name FROM (SELECT id, string_split(replace(id, '_', '::'), '::') AS p FROM tasks)")
@@ -128,7 +128,7 @@ def guidance_blocks(spark, d):
 
 @query(f"WITH {TRAJ}, g AS (SELECT source_task_id, avg(reward) FILTER (model = 'agent-large-a') AS a, avg(reward) FILTER (model = 'agent-large-b') AS b, avg(reward) FILTER (model = 'agent-small-a') AS base FROM traj WHERE source_task_id IS NOT NULL GROUP BY ALL) SELECT source_task_id, round(a - base, 6) AS actual, round(b - base, 6) AS placebo, a - base > b - base AS beats FROM g WHERE a IS NOT NULL AND b IS NOT NULL AND base IS NOT NULL")
 def proxy_reward(spark, d):
-    """A treatment's gain over the base, beside a placebo's."""
+    """A treatment's gain over the base, beside a placebo's."""
     m = lambda n: F.avg(F.when(F.col("model") == n, F.col("reward")))
     g = runs(spark, d).where("source_task_id IS NOT NULL").groupBy("source_task_id").agg(m("agent-large-a").alias("a"), m("agent-large-b").alias("b"), m("agent-small-a").alias("base")).where("a IS NOT NULL AND b IS NOT NULL AND base IS NOT NULL")
     return g.select("source_task_id", F.round(F.col("a") - F.col("base"), 6).alias("actual"), F.round(F.col("b") - F.col("base"), 6).alias("placebo"), (F.col("a") - F.col("base") > F.col("b") - F.col("base")).alias("beats"))

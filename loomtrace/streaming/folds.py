@@ -47,23 +47,17 @@ def bank_events(stream: DataFrame) -> DataFrame:
     """G1 as a stream: each operation's fate (chain, position, op, memory_id, version, reason), with the chain's bank as state.
 
     Operations of a micro-batch are folded in order of position; the batch form is `banks.fold_operations`."""
-    from loomtrace.operators.banks import next_id, reject
+    from loomtrace.operators.banks import Bank
 
     def fold(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        bank: dict[str, dict] = json.loads(state.get[0]) if state.exists else {}
+        bank = Bank()
+        for name, e in (json.loads(state.get[0]) if state.exists else {}).items():
+            bank.put(name, **e)
         out = []
         for r in pd.concat(list(chunks)).sort_values("position", kind="stable").itertuples(index=False):
-            evidence = [] if r.evidence is None else [int(e) for e in r.evidence]
-            reason = reject(bank, r, evidence)
-            name = None
-            if reason is None:
-                proof = [f"{r.task}:{e}" for e in evidence]
-                name = next_id(list(bank)) if r.op == "add" else r.target
-                e = bank.get(name, {"version": 0, "evidence": []})
-                kept = list(dict.fromkeys(e["evidence"] + proof)) if r.op == "refine" else proof
-                bank[name] = {"content": r.content, "scope": r.scope or "", "version": e["version"] + 1, "evidence": kept}
-            out.append((key[0], int(r.position), r.op, name, bank[name]["version"] if name else None, reason))
-        state.update((json.dumps(bank),))
+            name, reason = bank.apply(r)
+            out.append((key[0], int(r.position), r.op, name, bank.entries[name]["version"] if name else None, reason))
+        state.update((json.dumps(bank.entries),))
         yield pd.DataFrame(out, columns=["chain", "position", "op", "memory_id", "version", "reason"]).astype({"version": "Int64"})
 
     return stream.groupBy("chain").applyInPandasWithState(fold, "chain STRING, position BIGINT, op STRING, memory_id STRING, version BIGINT, reason STRING", "bank STRING", "append", GroupStateTimeout.NoTimeout)
