@@ -237,8 +237,7 @@ def containers(sizes: DataFrame, key: str, size: str, capacity: int) -> DataFram
 
 def fill_report(assigned: DataFrame, capacity: int) -> DataFrame:
     """containers, tokens, fill, fewest_possible: how well the containers are used."""
-    used = assigned.where("n_tokens > 0").groupBy("container").agg(F.sum("n_tokens").alias("used"))
-    big = assigned.agg(F.count_if(F.col("n_tokens") * 2 > capacity).alias("big"))
-    return used.agg(F.count(F.lit(1)).alias("containers"), F.coalesce(F.sum("used"), F.lit(0)).alias("tokens"), F.max("used").alias("fullest")).crossJoin(F.broadcast(big)).select(
+    used = assigned.where("n_tokens > 0").groupBy("container").agg(F.sum("n_tokens").alias("used"), F.count_if(F.col("n_tokens") * 2 > capacity).alias("big"))
+    return used.agg(F.count(F.lit(1)).alias("containers"), F.coalesce(F.sum("used"), F.lit(0)).alias("tokens"), F.max("used").alias("fullest"), F.coalesce(F.sum("big"), F.lit(0)).alias("big")).select(
         "containers", "tokens", "fullest", F.try_divide(F.col("tokens"), F.col("containers") * capacity).alias("fill"), F.greatest(F.ceil(F.col("tokens") / capacity), F.col("big")).alias("fewest_possible")
     )

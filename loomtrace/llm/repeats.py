@@ -118,14 +118,9 @@ def pointer_double(linked: DataFrame, max_rounds: int = 40) -> DataFrame:
     return at.select("run_id", "index", "start")
 
 
-def repeated_runs(steps: DataFrame) -> DataFrame:
-    """run_id, first_index, last_index, n_events, kind, began_at, seconds: each longest series of two or more events.
-
-    Null or empty actions belong to no series; a lost step ends one; repeated deliveries of a step count once; a step
-    without times gives a null duration; an empty table gives no rows; further columns are ignored.
-    """
-    ev = cut_lineage(events(steps))
-    ends = pointer_double(links(ev)).groupBy("run_id", F.col("start").alias("first_index")).agg(F.max("index").alias("last_index"))
+def _series(ev: DataFrame, at: DataFrame) -> DataFrame:
+    """The longest series of two or more events, from the events and the start of each linked one."""
+    ends = at.groupBy("run_id", F.col("start").alias("first_index")).agg(F.max("index").alias("last_index"))
     head = ev.select("run_id", F.col("index").alias("first_index"), "kind", F.col("started_at").alias("began_at"))
     tail = ev.select("run_id", F.col("index").alias("last_index"), "ended_at")
     return (
@@ -138,12 +133,21 @@ def repeated_runs(steps: DataFrame) -> DataFrame:
     )
 
 
+def repeated_runs(steps: DataFrame) -> DataFrame:
+    """run_id, first_index, last_index, n_events, kind, began_at, seconds: each longest series of two or more events.
+
+    Null or empty actions belong to no series; a lost step ends one; repeated deliveries of a step count once; a step
+    without times gives a null duration; an empty table gives no rows; further columns are ignored.
+    """
+    ev = cut_lineage(events(steps))
+    return _series(ev, pointer_double(links(ev)))
+
+
 def collapsed(steps: DataFrame) -> DataFrame:
     """run_id, index, n_events, seconds: the sequence with each series replaced by its first event, the rest as they were."""
-    ev = events(steps)
-    runs = cut_lineage(repeated_runs(steps))
-    inside = pointer_double(links(cut_lineage(ev))).select("run_id", "index")
-    kept = ev.select("run_id", "index", "kind").join(inside, ["run_id", "index"], "left_anti")
-    return kept.join(runs.select("run_id", F.col("first_index").alias("index"), "n_events", "seconds"), ["run_id", "index"], "left").select(
+    ev = cut_lineage(events(steps))
+    at = pointer_double(links(ev))
+    kept = ev.select("run_id", "index", "kind").join(at.select("run_id", "index"), ["run_id", "index"], "left_anti")
+    return kept.join(_series(ev, at).select("run_id", F.col("first_index").alias("index"), "n_events", "seconds"), ["run_id", "index"], "left").select(
         "run_id", "index", "kind", F.coalesce("n_events", F.lit(1)).alias("n_events"), "seconds"
     )
