@@ -39,12 +39,21 @@ def span_sums(tokens: DataFrame, spans: DataFrame, key: str) -> DataFrame:
 
 
 def loss_mask(tokens: Column, header: str, end: str) -> Column:
-    """1 for the tokens of an array that lie between an assistant header and the end mark, the end mark included."""
-    state = F.aggregate(
-        tokens, F.struct(F.lit(0).alias("on"), F.array().cast("array<int>").alias("out")),
-        lambda s, t: F.struct(F.when(t == header, 1).when(t == end, 0).otherwise(s["on"]).alias("on"), F.concat(s["out"], F.array(F.when((t != header) & (s["on"] == 1), 1).otherwise(0))).alias("out")),
-    )
-    return state["out"]
+    """1 for the tokens of an array that lie between an assistant header and the end mark, the end mark included.
+
+    Put together from the stretches between marks, so the work grows with the tokens, not with their square."""
+    marks = F.filter(F.transform(tokens, lambda t, i: F.struct(i.alias("i"), t.alias("t"))), lambda m: m["t"].isin(header, end))
+    k = F.greatest(F.size(marks) - 1, F.lit(0))
+    until = F.concat(F.slice(F.transform(marks, lambda m: m["i"]), F.lit(2), k), F.array(F.size(tokens)))
+    before = F.concat(F.array(F.lit("")), F.slice(F.transform(marks, lambda m: m["t"]), F.lit(1), k))
+    spans = F.zip_with(marks, until, lambda m, j: F.struct(m["i"].alias("i"), m["t"].alias("t"), j.alias("j")))
+
+    def stretch(m: Column, last: Column) -> Column:
+        own = F.when((m["t"] != header) & (last == header), 1).otherwise(0)
+        return F.concat(F.array(own), F.array_repeat(F.when(m["t"] == header, 1).otherwise(0), m["j"] - m["i"] - 1))
+
+    zeros = lambda n: F.array_repeat(F.lit(0), n)
+    return F.when(F.size(marks) == 0, zeros(F.size(tokens))).otherwise(F.concat(zeros(F.get(marks, F.lit(0))["i"]), F.flatten(F.zip_with(spans, before, stretch))))
 
 
 def fitting(tokens: Column, head: Column, most: int) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from loomtrace.functions.text import RANKING_STOPWORDS, RETRIEVAL_STOPWORDS, tokens
 from loomtrace.operators import retrieval, similarity
-from loomtrace.plans.registry import TRAJ, query, runs, table
+from loomtrace.operators.selection import positions
+from loomtrace.plans.registry import TRAJ, query, rounded, runs, table
 from loomtrace.session import cut_lineage, ship, spread
 
 #: The memory candidate that is looked up where an operator takes one query.
@@ -92,21 +93,29 @@ def validation_selection(spark, d):
 )
 def overlap_best(spark, d):
     """Each task's most similar earlier one by word overlap, at a quarter or over."""
+    ship(spark)
     t = table(spark, d, "tasks")
     return similarity.best_overlap(t, "id", tokens(F.col("instruction"), RANKING_STOPWORDS)).select("id", "other", F.round("overlap", 6).alias("overlap"))
 
 
+@query()
+def near_duplicates(spark, d):
+    """O5, O7, J8 over the memories: five-word runs, similarity 0.8; too slow as SQL on whole tables, held against brute force in the tests."""
+    ship(spark)
+    return rounded(similarity.near_duplicates(spread(table(spark, d, "documents")), "doc_id", F.col("text")), "overlap")
+
+
 @query(
-    f"""WITH s AS (SELECT id, instruction, lag(instruction) OVER (ORDER BY id) AS old FROM tasks), w AS (SELECT id, list_distinct({toks('old', RANKING_STOPWORDS)}) AS o, list_distinct({toks('instruction', RANKING_STOPWORDS)}) AS n FROM s)
-    SELECT id, round(CASE WHEN len(o) = 0 THEN 1.0 ELSE len(list_intersect(o, n)) / len(o) END, 6) AS retention FROM w"""
+    f"""WITH s AS (SELECT doc_id, {toks("text", RANKING_STOPWORDS)} AS n FROM documents WHERE source IS NOT NULL), o AS (SELECT doc_id, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS before FROM documents WHERE source IS NOT NULL)
+    SELECT o.doc_id, before, round(CASE WHEN len(list_distinct(p.n)) = 0 THEN 1.0 ELSE len(list_intersect(list_distinct(p.n), s.n)) / len(list_distinct(p.n)) END, 6) AS retention FROM o JOIN s USING (doc_id) JOIN s p ON p.doc_id = before"""
 )
 def retention_pairs(spark, d):
-    """How much of the task before each task keeps (the task file has a fixed size)."""
-    from pyspark.sql import Window as W
-
-    t = table(spark, d, "tasks").select("id", "instruction").withColumn("old", F.lag("instruction").over(W.orderBy("id")))
-    w = lambda c: tokens(F.col(c), RANKING_STOPWORDS)
-    return t.select("id", F.round(similarity.containment(w("old"), w("instruction")), 6).alias("retention"))
+    """How much of the words of the memory before it in its source each memory keeps; one source may hold a third of all."""
+    docs = spread(table(spark, d, "documents")).where("source IS NOT NULL").select("source", "doc_id", F.array_distinct(tokens(F.col("text"), RANKING_STOPWORDS)).alias("ws"))
+    p = positions(docs, ["source", "doc_id"])
+    before = p.select((F.col("pos") + 1).alias("pos"), F.col("source").alias("source_"), F.col("doc_id").alias("before"), F.col("ws").alias("old"))
+    both = p.join(before, "pos").where(F.col("source") == F.col("source_"))
+    return both.select("doc_id", "before", F.round(similarity.containment(F.col("old"), F.col("ws")), 6).alias("retention"))
 
 
 @query("""WITH c AS (SELECT text, min(doc_id) AS class_id, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1) SELECT doc_id, class_id, n FROM documents JOIN c USING (text)""")
