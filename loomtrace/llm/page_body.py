@@ -42,10 +42,11 @@ SALT = 16
 #: What each trace of a tag, or of text, adds to the logarithm of a line's text-to-tag ratio: round figures near those of
 #: a logistic regression over the smoothed traces of the pages at sf0.1.
 WEIGHTS = {
-    "one": -5.0, "host1": -3.0, "host2": -2.4, "host3": -3.2, "web1": 2.7, "web2": -0.3, "web3": 6.0, "template_text": -1.15, "text": 1.6, "sentence": 3.9, "separators": -1.9, "titles": -6.6, "begins_with_title": -30.0,
-    "opens_block": -2.4, "above_heading": -6.9, "heading": 14.5, "table": 11.0, "tags": -0.5,
+    "one": -6.0, "host1": -3.3, "host2": -0.8, "host3": -2.8, "web1": 2.3, "web2": 4.6, "web3": 8.1, "host_text": -0.6, "web_text": -2.5, "web_sentence": 3.0, "host_sentence": -6.8, "text": 1.8, "sentence": 2.5, "separators": -1.8, "titles": -5.6, "begins_with_title": -30.0,
+    "opens_block": 0.2, "opens_block_short": -4.7, "above_heading": -6.8, "heading": 14.0, "table": 10.5, "tags": -0.5,
 }
 _WEIGHTS = np.array(list(WEIGHTS.values()))
+_ABOVE, _HEADING = (list(WEIGHTS).index(n) for n in ("above_heading", "heading"))
 
 SEPARATORS = r"\s*[|›»>·•\t]\s*|\s+/\s+|\s{2,}"
 TITLE_SEPARATORS = r"\s+[|–—-]\s+|\s+::\s+|\s+·\s+"
@@ -168,15 +169,16 @@ def traces(pages: list[tuple[str, str | None, int | None]], codes: Codes) -> tup
             on_host, on_web = int(c[i]) & 3, int(c[i]) >> 2 & 3
             level.append((on_host, on_web))
             titles = sum(w for k, w, p in zip(ln.parts, ln.weights, part) if p & TITLE_BIT and k not in own)
+            opens = i == 0 or lines[i - 1] is None
             x[i] = (
-                1, on_host >= 1, on_host >= 2, on_host >= 3, on_web >= 1, on_web >= 2, on_web >= 3, ln.text if on_host >= 2 or on_web >= 2 else 0, ln.text, ln.sentence, ln.separators, titles, ln.head is not None and bool(head & TITLE_BIT),
-                i == 0 or lines[i - 1] is None, 0, 0, ln.table, np.log1p(ln.tags),
+                1, on_host >= 1, on_host >= 2, on_host >= 3, on_web >= 1, on_web >= 2, on_web >= 3, ln.text if on_host >= 2 else 0, ln.text if on_web >= 2 else 0, ln.sentence and on_web >= 2, ln.sentence and on_host >= 2, ln.text, ln.sentence, ln.separators, titles, ln.head is not None and bool(head & TITLE_BIT),
+                opens, opens and not ln.sentence, 0, 0, ln.table, np.log1p(ln.tags),
             )
         # the page's own heading: the first line that is its title, or a part of it that isn't the site's name on every page
         heading = next((i for i, ln in enumerate(lines) if ln is not None and ln.key in own and level[i][0] < 3), None)
         if heading is not None:
-            x[:heading, 14] = 1
-            x[heading, 15] = 1
+            x[:heading, _ABOVE] = 1
+            x[heading, _HEADING] = 1
         all_lines.append(lines)
         all_codes.append(c)
         rows.append(x)
