@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomtrace.operators.selection import running
+
 
 def training_role(role: Column) -> Column:
     """User and tool speak as user, every other role as assistant."""
@@ -21,8 +22,8 @@ def assembled(messages: DataFrame, key: str, order: list[str], role: Column, con
 
 
 def segments(df: DataFrame, key: str, order: list[str], is_user: Column) -> DataFrame:
-    """Adds `segment`: how many real user turns a run has had up to a row."""
-    return df.withColumn("segment", F.sum(is_user.cast("int")).over(W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    """Adds `segment`: how many real user turns a run has had up to a row, for runs of any length."""
+    return running(df, key, order, is_user.cast("int"), "segment")
 
 
 def span_sums(tokens: DataFrame, spans: DataFrame, key: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomtrace.operators.selection import running
+
 
 def newest_first(df: DataFrame, group: str, order: str, size: Column, most: int) -> DataFrame:
     """The newest rows of each group whose sizes (at least 1) fit the budget, at least one row, up to the first that doesn't.
@@ -58,11 +60,12 @@ def repeats(df: DataFrame, group: str, order: str, key: Column) -> DataFrame:
 
 def strikes(df: DataFrame, group: str, order: str, bad: Column, most: int = 3) -> DataFrame:
     """Adds `streak` (bad rows in a row up to here, reset by a good one) and `out` (the streak has reached `most`)."""
-    w = W.partitionBy(group).orderBy(order)
-    island = F.sum(F.when(~bad, 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0))
-    r = df.withColumn("bad", bad).withColumn("island", island)
-    streak = F.sum(F.col("bad").cast("int")).over(W.partitionBy(group, "island").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    return r.withColumn("streak", F.when(F.col("bad"), streak).otherwise(0)).withColumn("out", F.col("streak") >= most).drop("island")
+    islands = running(df.withColumn("bad", bad), group, [order], F.when(~F.col("bad"), 1).otherwise(0), "island")
+    r = running(islands, group, [order], F.col("bad").cast("int"), "bads_")
+    # bad rows up to an island's first row are those of the islands before it
+    start = r.groupBy(group, "island").agg(F.min(F.col("bads_") - F.col("bad").cast("int")).alias("start_"))
+    r = r.join(start, [group, "island"])
+    return r.withColumn("streak", F.when(F.col("bad"), F.col("bads_") - F.col("start_")).otherwise(0)).withColumn("out", F.col("streak") >= most).drop("island", "bads_", "start_")
 
 
 def crossings(df: DataFrame, group: str, place: str, size: str, every: int = 8) -> DataFrame:

@@ -93,3 +93,24 @@ def test_bm25_with_terms_too_many_to_broadcast(spark, monkeypatch):
     whole = run()
     monkeypatch.setattr(retrieval, "BROADCAST_TERMS", 1)
     assert run() == whole and whole
+
+
+def test_running_sums_over_partitions(spark):
+    from loomtrace.operators.selection import positions, running
+
+    rng = random.Random(5)
+    rows = [(rng.choice(["hot"] * 6 + ["a", "b", None]), k, rng.choice([0, 1, 2, None])) for k in range(3000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g STRING, k INT, v INT")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["k"]: r["s"] for r in running(df, "g", ["k"], F.col("v"), "s").collect()}
+        pos = {r["k"]: r["pos"] for r in positions(df, ["k"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sums, want = {}, {}
+    for g, k, v in sorted(rows, key=lambda r: r[1]):
+        sums[g] = sums.get(g, 0) + (v or 0)
+        want[k] = sums[g]
+    assert got == want and pos == {k: k for k in range(3000)}
+    assert running(df.limit(0), "g", ["k"], F.col("v"), "s").count() == 0
