@@ -104,11 +104,18 @@ def hashed_bow(spark, d):
 
 #: Weights of the linear policy that the queries run, a fixed pattern.
 _W = [[((i * 7 + j * 13) % 11 - 5) / 10 for j in range(35)] for i in range(4)]
+_BAG = "list_transform(range(0, 16), lambda b: CASE WHEN len({0}) = 0 THEN 0.0 ELSE CAST(len(list_filter({0}, lambda t: strpos('0123456789abcdef', right(md5(t), 1)) - 1 = b)) AS DOUBLE) / len({0}) END)"
 
 
-@query()
+@query(
+    f"""WITH {TRAJ}, w AS (SELECT run_id, success, reward, {toks("final_answer", RANKING_STOPWORDS)} AS a, {toks("instruction", RANKING_STOPWORDS)} AS i FROM traj LEFT JOIN tasks ON id = source_task_id),
+    x AS (SELECT run_id, CAST(list_concat([CASE WHEN success THEN 1.0 ELSE 0.0 END, coalesce(reward, 0), 0.2], list_concat({_BAG.format("a")}, {_BAG.format("i")})) AS DOUBLE[]) AS x FROM w),
+    z AS (SELECT run_id, [{", ".join(f"list_inner_product(x, CAST({row} AS DOUBLE[]))" for row in _W)}] AS z FROM x),
+    e AS (SELECT run_id, list_transform(z, lambda v: exp(v - list_max(z))) AS e FROM z), p AS (SELECT run_id, list_transform(e, lambda v: v / list_sum(e)) AS p FROM e)
+    SELECT run_id, ['memory', 'sft', 'both', 'neither'][list_position(p, list_max(p))] AS route, round(-list_sum(list_transform(p, lambda v: v * ln(v))), 6) AS entropy, round(p[1], 6) AS p_memory FROM p"""
+)
 def policy_features(spark, d):
-    """Features, distribution, greatest route and entropy of each run; the tests hold it against numpy."""
+    """Features, distribution, greatest route and entropy of each run."""
     return rounded(_policy(spark, d).select("run_id", F.col("route"), F.col("h").alias("entropy"), F.element_at("p", 1).alias("p_memory")), "entropy", "p_memory")
 
 
@@ -150,13 +157,16 @@ def policy_drift(spark, d):
     return rounded(policy.drift(b, "p", "q"), "max_drift", "mean_drift")
 
 
-@query(f"WITH {TRAJ}, g AS (SELECT reward - avg(reward) OVER (PARTITION BY model) AS a, ln(0.25 + CASE WHEN success THEN 0.5 ELSE 0 END) AS lp FROM traj WHERE reward IS NOT NULL) SELECT round(-sum(a * lp), 4) AS pg_term, round(CAST(count(*) AS DOUBLE) * 0.5, 4) AS entropy_sum, round(-sum(a * lp) - 0.01 * count(*) * 0.5, 4) AS loss FROM g")
+_H = "-(q * ln(q) + (1 - q) * ln(1 - q))"
+
+
+@query(f"WITH {TRAJ}, g AS (SELECT reward - avg(reward) OVER (PARTITION BY model) AS a, 0.25 + CASE WHEN success THEN 0.5 ELSE 0 END AS q FROM traj WHERE reward IS NOT NULL) SELECT round(-sum(a * ln(q)), 4) AS pg_term, round(sum({_H}), 4) AS entropy_sum, round(-sum(a * ln(q)) - 0.01 * sum({_H}), 4) AS loss FROM g")
 def grpo_loss(spark, d):
-    """Loss scalars over runs."""
+    """Loss scalars over runs, the entropy that of each run's two-way choice."""
     from loomtrace.operators.windows import group_advantage
 
     r = group_advantage(runs(spark, d).where("reward IS NOT NULL"), ["model"], "reward")
-    r = r.withColumn("lp", F.ln(0.25 + F.when(F.col("success"), 0.5).otherwise(0.0))).withColumn("h", F.lit(0.5))
+    r = r.withColumn("q", 0.25 + F.when(F.col("success"), 0.5).otherwise(0.0)).withColumn("lp", F.ln("q")).withColumn("h", policy.entropy(F.array(F.col("q"), 1 - F.col("q"))))
     return rounded(policy.loss(r, "advantage", "lp", "h"), "pg_term", "entropy_sum", "loss", digits=4)
 
 
