@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loomtrace.session import cut_lineage
+from loomtrace.session import cut_lineage, cut_lineage_in_place, together
 
 #: Fixed values of the ranking function.
 K1, B, QUERY_CAP = 1.2, 0.75, 3
@@ -33,17 +33,17 @@ def query_terms(queries: DataFrame, key: str, words: Column) -> DataFrame:
     return queries.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.least(F.count(F.lit(1)), F.lit(QUERY_CAP)).alias("weight"))
 
 
-def hits_of(terms: DataFrame, docs: DataFrame, key: str, words: Column) -> DataFrame:
+def hits_of(terms: DataFrame, small: bool, docs: DataFrame, key: str, words: Column) -> DataFrame:
     """(key, term, tf, dl): the postings of the terms asked for, and one row without a term for each document. Documents
     are read and tokenised once, for everything that the ranking needs; what is kept lies together by document."""
     wanted = terms.select(F.col("term").alias("wanted")).distinct()
     wanted = wanted.unionByName(docs.sparkSession.createDataFrame([(None,)], "wanted STRING"))
-    if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+    if small:
         wanted = F.broadcast(wanted)
     # the mark that a document exists is a word that is null; explode keeps the optimizer from finding the words a second time
     rows = docs.select(F.col(key).alias("key_"), words.alias("words")).select("key_", F.size("words").alias("dl"), F.explode(F.array_append("words", F.lit(None).cast("string"))).alias("term"))
     met = rows.join(wanted, F.col("term").eqNullSafe(F.col("wanted")), "left_semi")
-    return cut_lineage(met.groupBy("key_", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")).repartition("key_"))
+    return cut_lineage_in_place(together(met, "key_").groupBy("key_", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")))
 
 
 def bm25_scores(queries: DataFrame, q_key: str, q_words: Column, docs: DataFrame, d_key: str, d_words: Column) -> DataFrame:
@@ -52,13 +52,14 @@ def bm25_scores(queries: DataFrame, q_key: str, q_words: Column, docs: DataFrame
     Scores are summed where a document's postings lie; a following top_k keeps k of each query there before it shuffles.
     With more query terms than are broadcast, the join by term is salted by document, so a common word is no hot key."""
     terms = cut_lineage(query_terms(queries, q_key, q_words))
-    hits = hits_of(terms, docs, d_key, d_words)
+    small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    hits = hits_of(terms, small, docs, d_key, d_words)
     whole = hits.where("term IS NULL").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()  # two numbers
     n, avgdl = whole["n"], max(whole["avgdl"] or 0.0, 1.0)
     hits = hits.where("term IS NOT NULL")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     rated = terms.join(df, "term").withColumn("idf", F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))).select("term", F.col(q_key).alias("q_"), "idf", "weight")
-    if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+    if small:
         both = hits.join(F.broadcast(rated), "term")
     else:
         salted = rated.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))))

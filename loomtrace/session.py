@@ -49,6 +49,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def together(df: DataFrame, key: str) -> DataFrame:
+    """Rows brought together by a key, in the session's number of partitions."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def cut_lineage_in_place(df: DataFrame) -> DataFrame:
+    """A checkpoint that is known to be partitioned as df is: grouping by its key, or by more, shuffles nothing after.
+    Only a plan that isn't re-planned on the way tells its partitioning, so that is switched off meanwhile."""
+    spark = df.sparkSession
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut_lineage(df)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors' Python workers this package, once for each session, wherever they run."""
     import io
