@@ -180,6 +180,21 @@ def instances(s: str) -> list[list[int]]:
     return out
 
 
+_kept: dict[str, list[array]] = {}
+
+
+def kept_instances(s: str) -> list[array]:
+    """The same as packed arrays; those of sentences of ordinary length are kept for the worker: 100,000 of at most 200 characters."""
+    if len(s) > 200:
+        return [array("i", x) for x in instances(s)]
+    k = _kept.get(s)
+    if k is None:
+        if len(_kept) >= 100_000:
+            _kept.clear()
+        k = _kept[s] = [array("i", x) for x in instances(s)]
+    return k
+
+
 class Sentences:
     """Sentences of documents as one sparse array."""
 
@@ -187,7 +202,7 @@ class Sentences:
         ids, starts, docs = array("i"), array("i"), array("i")
         for d, t in enumerate(texts):
             for s in sentences(t):
-                for x in instances(s):
+                for x in kept_instances(s):
                     starts.append(len(ids))
                     docs.append(d)
                     ids.extend(x)
