@@ -55,8 +55,11 @@ def bm25_scores(queries: DataFrame, q_key: str, q_words: Column, docs: DataFrame
     small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     hits = hits_of(terms, small, docs, d_key, d_words)
     whole = hits.where("term IS NULL").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()  # two numbers
-    n, avgdl = whole["n"], max(whole["avgdl"] or 0.0, 1.0)
-    hits = hits.where("term IS NOT NULL")
+    return _scored(terms, small, hits.where("term IS NOT NULL"), whole["n"], whole["avgdl"], q_key, d_key)
+
+
+def _scored(terms: DataFrame, small: bool, hits: DataFrame, n: int, avgdl: float | None, q_key: str, d_key: str) -> DataFrame:
+    avgdl = max(avgdl or 0.0, 1.0)
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     rated = terms.join(df, "term").withColumn("idf", F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))).select("term", F.col(q_key).alias("q_"), "idf", "weight")
     if small:
@@ -69,6 +72,19 @@ def bm25_scores(queries: DataFrame, q_key: str, q_words: Column, docs: DataFrame
     return both.groupBy("key_", "q_").agg(F.sum(part).alias("score")).select(F.col("q_").alias(q_key), F.col("key_").alias(d_key), "score")
 
 
+def bm25_from_index(queries: DataFrame, q_key: str, q_words: Column, path: str, d_key: str) -> DataFrame:
+    """O1 from the index that `files.write_index` keeps (K8): no document is read again, and of the postings only the row
+    groups that may hold a query's terms, since they lie by term."""
+    spark = queries.sparkSession
+    terms = cut_lineage(query_terms(queries, q_key, q_words))
+    small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    wanted = terms.select("term").distinct()
+    hits = spark.read.parquet(f"{path}/postings").join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
+    whole = spark.read.parquet(f"{path}/whole").first()  # two numbers
+    kept = cut_lineage_in_place(together(hits.withColumnRenamed(d_key, "key_"), "key_"))
+    return _scored(terms, small, kept, whole["n"], whole["avgdl"], q_key, d_key)
+
+
 def top_k(scores: DataFrame, q_key: str, d_key: str, k: int) -> DataFrame:
     """The k best of each query; ties at nine digits go to the smaller key."""
     best = W.partitionBy(q_key).orderBy(F.round("score", 9).desc(), d_key)

@@ -162,6 +162,23 @@ def page_action(reply: Column, search_bar: Column, clickables: Column) -> Column
     return F.get(F.array_compact(F.transform(_candidates(reply), admitted)), F.lit(0))
 
 
+#: The forms of a crafting command.
+CRAFTING = r"(?is)^craft\s+.+\s+using\s+.+$|^get\s+\d+\s+.+$|^inventory$"
+
+
+def crafting_command(reply: Column) -> Column:
+    """The first of the reply and its lines that has one of three forms, without an `action:` before it; null if none has."""
+    bare = F.transform(_candidates(reply), lambda c: stripped(F.regexp_replace(stripped(F.regexp_replace(c, "^`+|`+$", "")), r"^(?:action|Action)\s*:\s*", "")))
+    return F.get(F.filter(bare, lambda c: c.rlike(CRAFTING)), F.lit(0))
+
+
+def admissible_command(reply: Column, commands: Column) -> Column:
+    """T5: the admissible command that the reply, or else its first line that is one, spells but for case; in the list's own spelling."""
+    lower = F.transform(commands, lambda c: F.lower(c))
+    found = F.transform(_candidates(reply), lambda c: F.get(commands, (F.array_position(lower, F.lower(c)) - 1).cast("int")))
+    return F.get(F.filter(found, lambda c: c.isNotNull()), F.lit(0))
+
+
 def sql_command(reply: Column) -> Column:
     """T4: 'explore|sql' or 'submit|sql' of a reply, whole or by line, without fences, back-ticks and the last semicolon; null if it commands nothing."""
     bare = stripped(F.regexp_replace(stripped(F.coalesce(reply, F.lit(""))), r"(?i)^```(?:sql)?\s*|\s*```$", ""))

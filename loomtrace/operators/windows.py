@@ -41,6 +41,15 @@ def round_robin_budget(df: DataFrame, group: str, verb: Column, order: str, size
     return r.withColumn("used", used).where(F.col("used") <= most)
 
 
+def second_pool(first: DataFrame, second: DataFrame, group: str, order: str, size: Column, most: int) -> DataFrame:
+    """Rows of a second pool, in order, in what the first one has left of the budget, up to the first that overflows it.
+    first: as round_robin_budget returns it; a group without rows there has the whole budget."""
+    left = first.groupBy(group).agg(F.max("used").alias("taken_"))
+    run = F.sum(size).over(W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    r = second.join(left, group, "left").withColumn("used", run + F.coalesce("taken_", F.lit(0)))
+    return r.where(F.col("used") <= most).drop("taken_")
+
+
 def group_advantage(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """A value less the mean of its group; sums to zero in each. The mean is aggregated and joined, so that a
     group with a third of all rows is neither sorted nor held by one task."""

@@ -98,7 +98,7 @@ def episode_status(spark, d):
 
 @query(f"WITH {TRAJ} SELECT run_id, CASE WHEN coalesce(success, false) AND coalesce(reward, 0) > 0.5 THEN 'both' WHEN coalesce(success, false) THEN 'memory' WHEN coalesce(reward, 0) > 0.5 THEN 'sft' ELSE 'neither' END AS choice FROM traj")
 def artifact_choice(spark, d):
-    """Two conditions as one of four labels."""
+    """two conditions as one of four labels."""
     return runs(spark, d).select("run_id", va.choice(F.col("success"), F.col("reward") > 0.5).alias("choice"))
 
 
@@ -118,7 +118,7 @@ def head_tail_excerpt(spark, d):
 
 @query(f"WITH {STEP}, n AS (SELECT run_id, count(*) AS n FROM st GROUP BY run_id) SELECT step_id, md5(CASE WHEN text IS NULL THEN '' WHEN length(text) <= b THEN text ELSE substr(text, 1, b) END) AS cut FROM (SELECT step_id, observation.text AS text, least(1200, least(42000, greatest(1000, CAST(floor(100000 / n) AS INTEGER)))) AS b FROM st JOIN n USING (run_id))")
 def step_projection(spark, d):
-    """Each observation within its run's budget per step, given by its digest."""
+    """Each observation within the smaller of 1,200 characters and its run's budget per step, given by its digest."""
     s = steps(spark, d, F.col("observation.text").alias("text"))
     n = s.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
     b = F.least(F.lit(1200), tx.step_budget(F.col("n")))
@@ -145,9 +145,9 @@ def optional_strings(spark, d):
     return messages(spark, d, "role").select("message_id", tx.optional_string(F.col("role")).alias("role"))
 
 
-@query(f"WITH {REPLY}, p AS (SELECT reply_id, content AS a, prompt AS b FROM rp WHERE content IS NOT NULL AND prompt IS NOT NULL), n AS (SELECT *, least(length(a), length(b)) AS n FROM p) SELECT reply_id, CAST(CASE WHEN a = b THEN NULL ELSE coalesce(list_filter(range(0, n), lambda i: substr(a, i + 1, 1) <> substr(b, i + 1, 1))[1], n) END AS INTEGER) AS at FROM (SELECT reply_id, substr(a, 1, 200) AS a, substr(b, 1, 200) AS b, least(200, n) AS n FROM n)")
+@query(f"WITH {REPLY}, p AS (SELECT reply_id, content AS a, prompt AS b FROM rp WHERE content IS NOT NULL AND prompt IS NOT NULL), n AS (SELECT *, least(length(a), length(b)) AS n FROM p) SELECT reply_id, CAST(CASE WHEN a = b THEN NULL ELSE coalesce(list_filter(range(0, n), lambda i: substr(a, i + 1, 1) <> substr(b, i + 1, 1))[1], n) END AS INTEGER) AS at FROM n")
 def divergence_index(spark, d):
-    """Where a reply parts from the prompt, whole texts. The SQL compares their first 200 characters, which is the same where these differ."""
+    """Where a reply parts from the prompt, whole texts."""
     return replies(spark, d, F.col("content").alias("a"), F.col("prompt").alias("b")).where("a IS NOT NULL AND b IS NOT NULL").select("reply_id", tx.first_divergence(F.col("a"), F.col("b")).alias("at"))
 
 
@@ -169,7 +169,7 @@ def admissible_match(spark, d):
 
 @query(f"WITH {MSG} SELECT message_id, regexp_matches(lower(concat_ws(' ', action['action'], action['object'])), '^(get|craft|inventory|put|use|take)( .*)?$') AS grammatical FROM ms WHERE action['action'] IS NOT NULL")
 def action_grammar(spark, d):
-    """Commands that a grammar of verbs admits."""
+    """Commands that begin with a verb of a fixed list."""
     g = lambda k: F.element_at("action", F.lit(k))
     return messages(spark, d, F.lower(F.concat_ws(" ", g("action"), g("object"))).alias("c"), g("action").alias("x")).where("x IS NOT NULL").select("message_id", F.col("c").rlike(r"^(get|craft|inventory|put|use|take)( .*)?$").alias("grammatical"))
 

@@ -65,10 +65,17 @@ def last_checkpoint(spark: SparkSession, pattern: str) -> int | None:
     return max(numbers, default=None)
 
 
-def listed_games(spark: SparkSession, path: str, kinds: list[str]) -> DataFrame:
-    """Game files of a tree whose kind is wanted and that are marked solvable."""
+def completed_runs(spark: SparkSession, pattern: str) -> DataFrame:
+    """(run, file) of the runs that have left a `summary.json`, by the folder's name."""
+    files = listing(spark, pattern)
+    rows = [(f.rstrip("/").split("/")[-2], f) for f in files if f.endswith("/summary.json")]
+    return spark.createDataFrame(rows, "run STRING, file STRING")
+
+
+def listed_games(spark: SparkSession, path: str, kinds: list[str], name: str = "") -> DataFrame:
+    """Game files of a tree whose kind is wanted, whose folder's name holds `name`, and that are marked solvable."""
     g = spark.read.schema("kind STRING, solvable BOOLEAN").option("multiLine", True).option("recursiveFileLookup", True).json(path).withColumn("file", F.col("_metadata.file_path"))
-    return g.where(F.col("kind").isin(*kinds) & F.coalesce("solvable", F.lit(False)))
+    return g.where(F.col("kind").isin(*kinds) & F.coalesce("solvable", F.lit(False)) & F.contains("file", F.lit(name)))
 
 
 def task_ids(spark: SparkSession, prefix: str, n: int, levels: int = 40) -> DataFrame:
@@ -129,8 +136,9 @@ def memoise(wanted: DataFrame, compute, path: str) -> DataFrame:
 
 
 def write_index(docs: DataFrame, key: str, words: Column, path: str) -> None:
-    """K8: the inverted index, laid out by term."""
-    postings(docs, key, words).repartition("term").sortWithinPartitions("term", key).write.mode("overwrite").parquet(path)
+    """K8: the inverted index, laid out by term, and beside it the number of documents and their mean length."""
+    postings(docs, key, words).repartition("term").sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/postings")
+    docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(words)).alias("avgdl")).write.mode("overwrite").parquet(f"{path}/whole")
 
 
 def bank_rows(store: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomtrace.functions.text import tokens
+from loomtrace.operators import retrieval
 from loomtrace.sources import files
 from loomtrace.streaming import folds
 
@@ -50,11 +51,22 @@ def test_memo_first_writer(spark, tmp_path):
 def test_index_export_pool_pending(spark, tmp_path):
     d = spark.createDataFrame([(1, "red fox"), (2, None)], "k INT, t STRING")
     files.write_index(d, "k", tokens(F.col("t")), str(tmp_path / "ix"))
-    assert spark.read.parquet(str(tmp_path / "ix")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "ix" / "postings")).count() == 2
+    q = spark.createDataFrame([(1, "fox"), (2, "owl")], "q INT, t STRING")
+    got = retrieval.bm25_from_index(q, "q", tokens(F.col("t")), str(tmp_path / "ix"), "k").collect()
+    assert [(r["q"], r["k"]) for r in got] == [(1, 1)] and got[0]["score"] > 0
     files.export(d, F.col("k") > 0, str(tmp_path / "x"))
     with pytest.raises(Exception):
         files.export(d, F.col("t").isNotNull(), str(tmp_path / "y"))
     assert files.grow_pool(d, str(tmp_path / "pool")) == 2 and files.grow_pool(d, str(tmp_path / "pool")) == 4
+    for run, name in (("a", "summary.json"), ("b", "other.json"), ("c", "summary.json")):
+        (tmp_path / "runs" / run).mkdir(parents=True)
+        (tmp_path / "runs" / run / name).write_text("{}")
+    assert sorted(r["run"] for r in files.completed_runs(spark, str(tmp_path / "runs" / "*" / "*.json")).collect()) == ["a", "c"]
+    for game, kind, ok in (("one_cup", "pick", True), ("two_cup", "pick", False), ("one_pan", "pick", True), ("three_cup", "heat", True)):
+        (tmp_path / "games" / game).mkdir(parents=True)
+        (tmp_path / "games" / game / "game.json").write_text(f'{{"kind": "{kind}", "solvable": {str(ok).lower()}}}')
+    assert [r["file"].split("/")[-2] for r in files.listed_games(spark, str(tmp_path / "games"), ["pick"], "cup").collect()] == ["one_cup"]
     done = spark.createDataFrame([(1, "complete"), (2, "error")], "k INT, status STRING")
     assert [r["k"] for r in files.pending(d.select("k"), done, "k").collect()] == [2]
 
@@ -87,7 +99,7 @@ def test_crossings_and_first_writer_as_streams(spark, tmp_path):
 
 
 def test_bank_stream_equals_the_batch_fold(spark, tmp_path):
-    from loomtrace.operators import banks
+    from loomtrace.operators import banks, retrieval
 
     ddl = "chain STRING, position INT, op STRING, target STRING, content STRING, scope STRING, task STRING, evidence ARRAY<INT>"
     ops = [("c", 1, "add", None, "one", "s", "t1", [0]), ("c", 2, "add", None, "ONE", "s", "t2", [0]), ("c", 3, "refine", "mem_000001", "one more", "s", "t3", [2]), ("c", 4, "replace", "mem_000007", "x", "s", "t4", [5]), ("c", 5, "add", None, "two", "", "t6", []), ("d", 1, "add", None, "one", "s", "t1", [0])]

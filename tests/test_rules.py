@@ -99,3 +99,16 @@ def test_merging_bank_equals_a_plain_one(spark):
     got = {r["id"]: (r["content"], r["version"]) for r in banks.fold_merging(spark.createDataFrame(rows, "chain STRING, position INT, content STRING")).collect()}
     assert len(got) >= 2 and sum(v for _, v in got.values()) == len(rows)
     assert got["mem_000001"][1] >= 2 and "ferry" in got["mem_000001"][0]
+
+
+@pytest.mark.parametrize(
+    "reply, want",
+    [("craft 4 planks using 1 log", "craft 4 planks using 1 log"), ("First:\nAction: get 2 oak logs", "get 2 oak logs"), ("`INVENTORY`", "INVENTORY"), ("get some logs", None), ("inventory now", None), (None, None), ("", None)],
+)
+def test_crafting_command(spark, reply, want):
+    assert one(spark, rules.crafting_command(F.lit(reply).cast("string"))) == want
+
+
+@pytest.mark.parametrize("reply, want", [("go north", "Go North"), ("I will\n`LOOK`\nnow", "look"), ("look around", None), (None, None), ("x" * 5000 + "\ngo NORTH", "Go North")])
+def test_admissible_command(spark, reply, want):
+    assert one(spark, rules.admissible_command(F.lit(reply).cast("string"), F.array(F.lit("Go North"), F.lit("look")))) == want
