@@ -8,8 +8,8 @@ with the question and the prompt, its language against the one expected, what `f
 The field is trained here, with numpy, on at most TRAIN_REPLIES replies of at most TRAIN_CHARS characters, chosen by a hash
 of their key, so the choice does not depend on the order of rows. Labels come from distant evidence (wordings of
 refusals, which are labels only and no features; `finish_reason`; objects that aren't closed) and from corruptions whose
-labels are known by how they were made: an answer cut off, the question in its place or before it, an answer in another
-language. Everything else covers all rows: a reply is tagged where it is read, and only (key, defect) is shuffled.
+labels are known by how they were made: an answer cut off, the question or a refusal in its place, the question before it, an
+answer in another language. Everything else covers all rows: a reply is tagged where it is read, and only (key, defect) is shuffled.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from loomtrace.llm.common import is_shown
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
 #: Bounds of the training sample: replies, and characters of prompt and content together. Rounds over it.
-TRAIN_REPLIES, TRAIN_CHARS, ROUNDS = 3000, 8000, 60
+TRAIN_REPLIES, TRAIN_CHARS, ROUNDS = 3000, 8000, 80
 #: Hashed features.
 BITS = 16
 #: Shares of an answer's characters from which a tag makes a defect.
@@ -244,6 +244,13 @@ def clauses(text: str) -> list[str]:
     return [c for c in (x.strip() for x in _CLAUSE.split(text)) if c]
 
 
+# Refusals that stand in the answer's place in corrupted pairs, by the language of the question.
+EXAMPLES = {
+    "en": ["I'm sorry, but I can't help with that.", "I cannot assist with this request.", "Sorry, I am not able to answer this question.", "I must decline to answer.", "As an AI assistant, I can't provide that information.", "I won't be able to do that for you.", "That is not something I can help with.", "This is beyond what I may do here.", "My guidelines do not allow me to comment on this.", "I'd rather not go into this.", "It would be inappropriate for me to answer that.", "Unfortunately, I have to refuse this request. Please try another question.", "Providing this is outside of what I am allowed to do."],
+    "de": ["Dabei kann ich leider nicht helfen.", "Es tut mir leid, diese Frage darf ich nicht beantworten.", "Ich muss die Antwort ablehnen.", "Dazu möchte ich mich nicht äußern.", "Als Assistent kann ich diese Auskunft nicht geben.", "Das liegt außerhalb dessen, was ich tun darf."],
+    "fr": ["Désolé, je ne peux pas vous aider sur ce point.", "Je ne suis pas autorisé à répondre à cette question.", "Je dois refuser de répondre.", "Je préfère ne pas me prononcer là-dessus.", "En tant qu'assistant, je ne peux pas fournir cette information.", "Cela dépasse ce que je peux faire."],
+    "es": ["Lo siento, no puedo ayudar con eso.", "No estoy autorizado a responder a esta pregunta.", "Debo negarme a responder.", "Prefiero no hablar de este tema.", "Como asistente no puedo dar esa información.", "Eso queda fuera de lo que puedo hacer."],
+}
 #: Measurements of a clause; the first ids of the field. Hashed words come after them.
 MEASURES = (
     "bias", "first", "last", "alone", "is_question", "is_echo", "echo_half", "in_prompt", "other_language", "own_language", "no_language", "ended", "open_end", "open_long", "broken_form", "tail_word", "open_list", "short", "short_alone", "number", "cut_by_length", "stopped", "filtered", "parsed_empty",
@@ -289,12 +296,13 @@ def features(parts: list[str], question: str, prompt: str, expected: str | None,
         lang = language_of(p)
         words = c.split()
         ended = bool(_END.search(p))
+        short = len(words) <= 3 and len(c) <= 24
         shared = sum(w in asked for w in words) / max(1, len(words))
         on = {
             "bias": True, "first": i == 0, "last": last, "alone": len(parts) == 1, "is_question": p.rstrip("”\"» ").endswith("?"), "is_echo": len(c) >= 8 and (c == q or c in q and len(c) >= 0.6 * len(q) or q in c and len(q) >= 0.8 * len(c)),
             "echo_half": shared >= 0.6 and len(words) >= 4, "in_prompt": len(c) >= 12 and c in whole, "other_language": lang is not None and expected is not None and lang != expected, "own_language": lang is not None and lang == expected, "no_language": lang is None, "ended": last and ended and not listed,
             "open_end": last and not ended and not _ITEM.match(p), "open_long": last and not ended and (len(words) >= 4 or len(parts) > 1) and not _ITEM.match(p), "broken_form": last and broken, "tail_word": last and not ended and bool(words) and words[-1] in _TAILS, "open_list": last and listed,
-            "short": len(words) <= 3, "short_alone": len(words) <= 3 and len(parts) == 1, "number": _DIGIT.search(c) is not None, "cut_by_length": last and finish == "length", "stopped": last and finish == "stop", "filtered": finish == "content_filter", "parsed_empty": parsed is not None and not is_shown(dict(parsed).get("answer")),
+            "short": short, "short_alone": short and len(parts) == 1, "number": _DIGIT.search(c) is not None, "cut_by_length": last and finish == "length", "stopped": last and finish == "stop", "filtered": finish == "content_filter", "parsed_empty": parsed is not None and not is_shown(dict(parsed).get("answer")),
         }
         ids = [_M[k] for k, v in on.items() if v]
         own = [w for w in words if w not in asked and not w.isdigit()]
@@ -350,7 +358,7 @@ class Field:
         flat = np.fromiter((x for r in rows for x in r), np.int64, int(lengths.sum()))
         return np.add.reduceat(self.emit[flat], np.concatenate([[0], np.cumsum(lengths)[:-1]]), axis=0)
 
-    def fit(self, xs: list[list[list[int]]], ys: list[np.ndarray], rounds: int = ROUNDS, rate: float = 0.08, decay: float = 3e-4) -> Field:
+    def fit(self, xs: list[list[list[int]]], ys: list[np.ndarray], rounds: int = ROUNDS, rate: float = 0.08, decay: float = 1e-4) -> Field:
         """Maximises the likelihood by Adam. Sequences are padded within groups of about one length, so a long answer pads no short one."""
         groups: dict[int, list[int]] = {}
         for i, x in enumerate(xs):
@@ -497,8 +505,9 @@ def _train(sample: Sample, rng: random.Random) -> Field:
                 add(sequence(prompt, text[:cut], rng.choice(["length", "stop", None])), whole(UNFINISHED))
         if rng.random() < 0.2:
             add(sequence(prompt, f"{text}\n\n1. {' '.join(text.split()[:2])}\n2. ", rng.choice(["length", "stop", None])), whole(UNFINISHED))
-        if refused and rng.random() < 0.3:
+        if refused and rng.random() < 0.2:
             add(sequence(prompt, rng.choice(refused), finish), REFUSAL)
+        add(sequence(prompt, rng.choice(EXAMPLES.get(expected_language(question) or "en", EXAMPLES["en"])), finish), REFUSAL)
         add(sequence(prompt, rng.choice(["{}", "{}", "Q: {}", "You asked: {}", "{} {}"]).format(question, question), finish), ECHO)
         add(sequence(prompt, f"{question} {text}", finish), lambda s: np.where(s.has("is_echo") & (np.arange(len(s.ids)) == 0), ECHO, ANSWER))
         other, foreign, _ = rng.choice(sound)
