@@ -183,7 +183,7 @@ def page_fails(text: str, title: str | None, frame: list[int], codes: np.ndarray
         if not s:
             continue
         in_place, *n = known_judged(s)
-        if s in heading and n[3]:
+        if s in heading and n[1] + n[3]:
             headed = True
         if levels[i] >= RECURRENT:
             continue
