@@ -110,13 +110,15 @@ def _hash(s: str) -> int:
 
 
 def known(token: str) -> tuple[list[int], list[int]]:
-    """Hashes of a token's words and marks, kept for the worker."""
+    """Hashes of a token's words and marks, kept for the worker: 300,000 tokens of at most 40 characters."""
     k = _known.get(token)
     if k is None:
-        if len(_known) > 300_000:
-            _known.clear()
         words, marks = read(token)
-        k = _known[token] = ([_hash(w) for w in words], [_hash(m) for m in marks])
+        k = ([_hash(w) for w in words], [_hash(m) for m in marks])
+        if len(token) <= 40:
+            if len(_known) >= 300_000:
+                _known.clear()
+            _known[token] = k
     return k
 
 

@@ -158,16 +158,18 @@ def learn_words(texts: list[str], again: bool = False) -> dict[str, dict[str, fl
 
 
 def language_of(text: str) -> str | None:
-    """The language a text shows, None if it shows none: by script, by common words, by the words learned from the sample."""
-    k = (text, len(_LEARNED))
-    if k not in _languages:
-        if len(_languages) > 100_000:
+    """The language a text shows, None if it shows none: by script, by common words, by the words learned from the sample.
+    Kept for the worker for texts of ordinary length: 100,000 of at most 400 characters."""
+    if len(text) > 400:
+        return _language_of(text)
+    if text not in _languages:
+        if len(_languages) >= 100_000:
             _languages.clear()
-        _languages[k] = _language_of(text)
-    return _languages[k]
+        _languages[text] = _language_of(text)
+    return _languages[text]
 
 
-_languages: dict[tuple, str | None] = {}
+_languages: dict[str, str | None] = {}
 
 
 def _weights() -> dict[str, dict[str, float]]:
@@ -263,10 +265,12 @@ _HASHES: dict[str, int] = {}
 def _id(feature: str) -> int:
     k = _HASHES.get(feature)
     if k is None:
-        if len(_HASHES) >= 200_000:
-            _HASHES.clear()
         k = zlib.crc32(feature.encode("utf-8", "replace")) & MASK
-        k = _HASHES[feature] = k if k >= len(MEASURES) else k + len(MEASURES)
+        k = k if k >= len(MEASURES) else k + len(MEASURES)
+        if len(feature) <= 60:
+            if len(_HASHES) >= 200_000:
+                _HASHES.clear()
+            _HASHES[feature] = k
     return k
 
 
