@@ -99,6 +99,16 @@ def tool_chats(messages: DataFrame, run: str, order: list[str], role: str) -> Da
     return per.select(run, why.alias("why"))
 
 
+def action_chats(steps: DataFrame, run: str, order: str, shown: Column, kind: Column) -> DataFrame:
+    """(run, why) for runs as chats of a system message and, for each step, what is shown and the action as JSON: nothing
+    blank, only known actions, the last one a finish and no other; null if all holds. Aggregates only."""
+    per = steps.groupBy(run).agg(
+        F.bool_or(F.coalesce(F.trim(shown), F.lit("")) == "").alias("blank_"), F.bool_or(~F.coalesce(kind.isin(*ACTIONS), F.lit(False))).alias("unknown_"), F.max_by(F.coalesce(kind == "finish", F.lit(False)), order).alias("ends_"), F.count_if(kind == "finish").alias("finishes_")
+    )
+    why = first_reason(("blank_content", F.col("blank_")), ("invalid_action_target", F.col("unknown_")), ("missing_terminal_finish", ~F.col("ends_")), ("finish_before_terminal_step", F.col("finishes_") > 1))
+    return per.select(run, why.alias("why"))
+
+
 def first_calls(calls: DataFrame, owner: str, name: str, order: str, known: list[str]) -> DataFrame:
     """at most one call of each known tool, the first."""
     ok = calls.where(F.lower(F.col(name)).isin(*known))

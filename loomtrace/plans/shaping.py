@@ -143,9 +143,9 @@ def within_length(spark, d):
 
 @query()
 def merging_bank(spark, d):
-    """Tasks of a kind folded into a bank that merges near-duplicates; an ordered fold, so no SQL."""
+    """The memories of each source folded into a bank that merges near-duplicates, texts given by their digests; an ordered fold, so no SQL."""
     from loomtrace.session import ship
 
     ship(spark)
-    t = table(spark, d, "tasks").where("instruction IS NOT NULL").select(F.split_part("id", F.lit("_"), F.lit(2)).alias("chain"), F.col("id").alias("position"), F.col("instruction").alias("content"))
-    return banks.fold_merging(t)
+    t = table(spark, d, "documents").where("text IS NOT NULL AND source IS NOT NULL").select(F.col("source").alias("chain"), F.col("doc_id").alias("position"), F.col("text").alias("content"))
+    return banks.fold_merging(t).select("chain", "id", F.md5("content").alias("digest"), "version")

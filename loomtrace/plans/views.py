@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loomtrace.functions import text as tx
 from loomtrace.functions.text import RETRIEVAL_STOPWORDS, tokens, verb_key
 from loomtrace.operators import banks, policy, retrieval, rules, selection, windows
+from loomtrace.operators import validation as va
 from loomtrace.operators import evaluation as ev
 from loomtrace.plans.banks import _FOLD, _P, _dist, _operations, _shown_bank
 from loomtrace.plans.evaluation import _OUT, _PAIR, CONTROL, TREATED, _pairs
@@ -198,3 +199,21 @@ def budgeted_bank(spark, d):
     n = ops.groupBy("chain").agg(F.count(F.lit(1)).alias("n"))
     w = banks.within_budget(ops.join(n, "chain"), "chain", "position", F.lit(True), banks.capacity(F.col("n"), 0.3, F.lit(True)))
     return _shown_bank(banks.fold_operations(w.where("allowed").drop("n", "slot", "allowed")))
+
+
+@query(
+    f"""WITH {STEP}, x AS (SELECT run_id, "index" AS i, trim(coalesce(observation.text, '')) = '' AS blank, lower(coalesce(action['action'], '')) AS k FROM st),
+    p AS (SELECT run_id, bool_or(blank) AS blank, bool_or(k NOT IN ('click', 'fill', 'press', 'scroll', 'back', 'goto', 'finish')) AS other, arg_max(k, i) = 'finish' AS ends, count(*) FILTER (k = 'finish') AS finishes FROM x GROUP BY run_id)
+    SELECT run_id, coalesce(CASE WHEN blank THEN 'blank_content' WHEN other THEN 'invalid_action_target' WHEN NOT ends THEN 'missing_terminal_finish' WHEN finishes > 1 THEN 'finish_before_terminal_step' END, 'ok') AS why FROM p"""
+)
+def action_chat_validation(spark, d):
+    """browser runs as training chats whose answers are JSON actions."""
+    s = steps(spark, d, F.col("observation.text").alias("shown"), F.lower(F.coalesce(F.element_at("action", F.lit("action")), F.lit(""))).alias("kind"))
+    return va.action_chats(s, "run_id", "index", F.col("shown"), F.col("kind")).select("run_id", F.coalesce("why", F.lit("ok")).alias("why"))
+
+
+@query(f"WITH {STEP}, e AS (SELECT run_id, \"index\" AS i, unnest(range(1, len(observation.elements) + 1)) AS k, unnest(observation.elements) AS e FROM st WHERE observation.elements IS NOT NULL) SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY i, k) - 1 AS BIGINT) AS place, e.ref AS ref FROM e")
+def flattened_elements(spark, d):
+    """The lists that are nested in a run's steps as one sequence, numbered anew, for runs of any length."""
+    e = steps(spark, d, F.col("observation.elements").alias("els")).where("els IS NOT NULL").select("run_id", "index", F.posexplode("els").alias("k", "e")).select("run_id", "index", "k", F.col("e.ref").alias("ref"))
+    return selection.ranked(e, "run_id", ["index", "k"]).select("run_id", (F.col("turn") - 1).alias("place"), "ref")
