@@ -8,9 +8,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomtrace.operators.selection import ranked, running
+
 
 def active_entries(bank: DataFrame) -> DataFrame:
     """S3: active entries with content; a missing status counts as active."""
@@ -133,14 +134,14 @@ def capacity(n_tasks: Column, fraction: float, hard: Column) -> Column:
 
 def within_budget(df: DataFrame, chain: str, position: str, writes: Column, slots: Column) -> DataFrame:
     """Adds `slot` (how many writes a chain has made up to here) and `allowed`: writes beyond the chain's slots are turned down."""
-    slot = F.sum(writes.cast("int")).over(W.partitionBy(chain).orderBy(position).rowsBetween(W.unboundedPreceding, 0))
-    return df.withColumn("slot", slot).withColumn("allowed", ~writes | slots.isNull() | (F.col("slot") <= slots))
+    slotted = running(df, chain, [position], writes.cast("int"), "slot")
+    return slotted.withColumn("allowed", ~writes | slots.isNull() | (F.col("slot") <= slots))
 
 
 def repaired_ids(df: DataFrame, key: str, order: str) -> DataFrame:
     """Ids made unique: the n-th row of an id gets the suffix _n."""
-    n = F.row_number().over(W.partitionBy(key).orderBy(order))
-    return df.withColumn("n_", n).withColumn(key, F.when(F.col("n_") == 1, F.col(key)).otherwise(F.concat_ws("_", key, F.col("n_")))).drop("n_")
+    r = ranked(df, key, [order], "i_", "n_")
+    return r.withColumn(key, F.when(F.col("i_") == 1, F.col(key)).otherwise(F.concat_ws("_", key, F.col("i_")))).drop("i_", "n_")
 
 
 def fold_merging(entries: DataFrame, threshold: float = 0.25, keep: float = 0.9) -> DataFrame:

@@ -100,12 +100,12 @@ def running(df: DataFrame, group: str, order: list[str], value: Column, name: st
     return out.drop("part_", "row_")
 
 
-def ranked(df: DataFrame, group: str, order: list[str]) -> DataFrame:
+def ranked(df: DataFrame, group: str, order: list[str], turn: str = "turn", n: str = "n") -> DataFrame:
     """Adds `turn` (rank from 1 within the group) and `n` (the group's rows): row_number for groups of any size. Positions
     come from a range partitioning by group and order, so a group with a third of all rows spreads over many tasks."""
-    p = positions(df, [group, *order])
-    ends = p.groupBy(group).agg(F.min("pos").alias("first_"), F.count(F.lit(1)).alias("n"))
-    return p.join(ends, group).withColumn("turn", F.col("pos") - F.col("first_") + 1).drop("pos", "first_")
+    p = positions(df, [group, *order]).withColumnRenamed("pos", "pos_")
+    ends = p.groupBy(F.col(group).alias("group_")).agg(F.min("pos_").alias("first_"), F.count(F.lit(1)).alias(n))
+    return p.join(ends, F.col(group).eqNullSafe(F.col("group_"))).withColumn(turn, F.col("pos_") - F.col("first_") + 1).drop("pos_", "first_", "group_")
 
 
 def batches(df: DataFrame, order: list[str], size: int) -> DataFrame:

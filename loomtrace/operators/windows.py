@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomtrace.operators.selection import running
+from loomtrace.operators.selection import ranked, running
+
+#: Positions of a group that are looked over together.
+BLOCK = 1000
 
 
 def newest_first(df: DataFrame, group: str, order: str, size: Column, most: int) -> DataFrame:
@@ -23,14 +26,13 @@ def two_ended(df: DataFrame, group: str, order: str, size: Column, most: int) ->
     """Whole rows from both ends of a group within the budget, the tail first and in turns, up to the first overflow.
 
     Adds `kept`; a group that fits is kept whole. The row that doesn't fit ends the taking, as do all after it."""
-    g = W.partitionBy(group)
-    r = df.withColumn("n_", F.count(F.lit(1)).over(g)).withColumn("i_", F.row_number().over(g.orderBy(order))).withColumn("size_", size)
+    r = ranked(df.withColumn("size_", size.cast("bigint")), group, [order], "i_", "n_")
     tail = F.col("n_") - F.col("i_")  # 0 for the last
     head = F.col("i_") - 1
     # takes go tail0, head0, tail1, head1, ...: a row is reached from the nearer end
-    r = r.withColumn("turn_", F.least(2 * tail, 2 * head + 1))
-    used = F.sum("size_").over(g.orderBy("turn_").rowsBetween(W.unboundedPreceding, 0))
-    return r.withColumn("kept", (F.sum("size_").over(g) <= most) | (used <= most)).drop("turn_", "size_", "i_", "n_")
+    used = running(r.withColumn("turn_", F.least(2 * tail, 2 * head + 1)), group, ["turn_"], F.col("size_"), "used_")
+    total = df.groupBy(F.col(group).alias("group_")).agg(F.sum(size.cast("bigint")).alias("total_"))
+    return used.join(total, F.col(group).eqNullSafe(F.col("group_"))).withColumn("kept", (F.col("total_") <= most) | (F.col("used_") <= most)).drop("turn_", "size_", "i_", "n_", "used_", "total_", "group_")
 
 
 def round_robin_budget(df: DataFrame, group: str, verb: Column, order: str, size: Column, most: int) -> DataFrame:
@@ -59,7 +61,10 @@ def group_advantage(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def marginal(df: DataFrame, group: str, order: str, value: str, baseline: float) -> DataFrame:
     """A value less the one before it in its group, the first less the baseline."""
-    return df.withColumn("marginal", F.col(value) - F.coalesce(F.lag(value).over(W.partitionBy(group).orderBy(order)), F.lit(baseline)))
+    r = ranked(df, group, [order], "i_", "n_").drop("n_")
+    before = r.select(F.col(group).alias("group_"), (F.col("i_") + 1).alias("turn_"), F.col(value).alias("before_"))
+    j = r.join(before, F.col(group).eqNullSafe(F.col("group_")) & (F.col("i_") == F.col("turn_")), "left")
+    return j.withColumn("marginal", F.col(value) - F.coalesce("before_", F.lit(baseline))).drop("i_", "group_", "turn_", "before_")
 
 
 def repeats(df: DataFrame, group: str, order: str, key: Column) -> DataFrame:
@@ -87,8 +92,12 @@ def crossings(df: DataFrame, group: str, place: str, size: str, every: int = 8)
 
 def recent(df: DataFrame, group: str, position: str, item: Column, window: int = 20) -> DataFrame:
     """Adds `recent`: the items at the `window` positions before a row's, in order."""
-    w = W.partitionBy(group).orderBy(position).rangeBetween(-window, -1)
-    return df.withColumn("recent", F.array_sort(F.collect_list(item).over(w)))
+    # a group is cut into blocks of positions, each with the `window` positions before it, so that a long one spreads
+    block = F.floor(F.col(position) / BLOCK)
+    late = F.pmod(F.col(position), F.lit(BLOCK)) >= BLOCK - window
+    r = df.withColumn("own_", block).withColumn("block_", F.explode(F.when(late, F.array(block, block + 1)).otherwise(F.array(block))))
+    w = W.partitionBy(group, "block_").orderBy(position).rangeBetween(-window, -1)
+    return r.withColumn("recent", F.array_sort(F.collect_list(item).over(w))).where("own_ = block_").drop("own_", "block_")
 
 
 def last_rows(df: DataFrame, group: str, order: str, n: int) -> DataFrame:

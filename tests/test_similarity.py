@@ -114,3 +114,30 @@ def test_running_sums_over_partitions(spark):
         want[k] = sums[g]
     assert got == want and pos == {k: k for k in range(3000)}
     assert running(df.limit(0), "g", ["k"], F.col("v"), "s").count() == 0
+
+
+def test_two_ended_and_marginal_on_long_groups(spark):
+    from loomtrace.operators import windows
+
+    rng = random.Random(8)
+    rows = [(g, k, rng.randint(1, 9), "n") for g in ("hot", "a", None) for k in range(400 if g == "hot" else 7)]
+    df = spark.createDataFrame(rows, "g STRING, k INT, size INT, n STRING")
+    kept = {(r["g"], r["k"]): r["kept"] for r in windows.two_ended(df, "g", "k", F.col("size"), 60).collect()}
+    assert len(kept) == len(rows)
+    for g in ("hot", "a", None):
+        sizes = [s for h, _, s, _ in rows if h == g]
+        head = tail = used = 0
+        if sum(sizes) <= 60:
+            head = len(sizes)
+        else:
+            while head + tail < len(sizes):
+                last = tail <= head
+                s = sizes[len(sizes) - 1 - tail if last else head]
+                if used + s > 60:
+                    break
+                used, tail, head = used + s, tail + last, head + (not last)
+        assert [kept[(g, k)] for k in range(len(sizes))] == [k < head or k >= len(sizes) - tail for k in range(len(sizes))]
+    gain = {(r["g"], r["k"]): r["marginal"] for r in windows.marginal(df, "g", "k", "size", 2.0).collect()}
+    assert all(gain[(g, k)] == s - (2.0 if k == 0 else dict(((h, j), z) for h, j, z, _ in rows)[(g, k - 1)]) for g, k, s, _ in rows)
+    near = {(r["g"], r["k"]): r["recent"] for r in windows.recent(df.withColumn("k", F.col("k") + 900), "g", "k", F.col("k"), 20).collect()}
+    assert all(near[(g, k + 900)] == [j + 900 for j in range(max(0, k - 20), k)] for g, k, _, _ in rows)
