@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -144,50 +146,115 @@ def repaired_ids(df: DataFrame, key: str, order: str) -> DataFrame:
     return r.withColumn(key, F.when(F.col("i_") == 1, F.col(key)).otherwise(F.concat_ws("_", key, F.col("i_")))).drop("i_", "n_")
 
 
+class Postings:
+    """Which entries of a bank hold a word, for the overlaps of a draft with all entries at once.
+
+    A word of few entries has the list of them, a word of an eighth of all or more a row with a byte for each. What is a
+    row is settled anew whenever the room for entries doubles, so rows take no more than lists would."""
+
+    def __init__(self, room: int = 256) -> None:
+        self.lists: dict[str, list] = {}
+        self.rows: dict[str, np.ndarray] = {}
+        self.sizes = np.zeros(room, np.int64)
+        self.n = 0
+
+    def shared(self, words: frozenset[str]) -> np.ndarray:
+        """How many of the words each entry holds."""
+        lists = [x[0][: x[1]] for w in words if (x := self.lists.get(w))]
+        out = np.bincount(np.concatenate(lists, dtype=np.int64), minlength=self.n) if lists else np.zeros(self.n, np.int64)
+        rows = [x for w in words if (x := self.rows.get(w)) is not None]
+        for k in range(0, len(rows), 255):  # as many as a byte can count
+            few = np.zeros(self.n, np.uint8)
+            for x in rows[k : k + 255]:
+                few += x[: self.n]
+            out += few
+        return out
+
+    def change(self, i: int, old: frozenset[str], new: frozenset[str]) -> None:
+        """Entry i, which may be the next one, had the old words and has the new ones."""
+        if i == self.n:
+            if i == len(self.sizes):
+                self.grow()
+            self.n += 1
+        self.sizes[i] = len(new)
+        for w in old - new:
+            if w in self.rows:
+                self.rows[w][i] = 0
+            else:
+                at = self.lists[w]
+                at[1] -= 1
+                at[0][np.flatnonzero(at[0][: at[1] + 1] == i)[0]] = at[0][at[1]]
+                if not at[1]:
+                    del self.lists[w]
+        for w in new - old:
+            if w in self.rows:
+                self.rows[w][i] = 1
+            elif (at := self.lists.get(w)) is None:
+                self.lists[w] = [np.full(2, i, np.int32), 1]
+            else:
+                if at[1] == len(at[0]):
+                    at[0] = np.concatenate([at[0], np.zeros_like(at[0])])
+                at[0][at[1]] = i
+                at[1] += 1
+
+    def grow(self) -> None:
+        n, room = self.n, 2 * self.n
+        self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        rows = {}
+        for w, x in self.rows.items():
+            if 8 * (k := int(np.count_nonzero(x))) >= n:
+                rows[w] = np.concatenate([x, np.zeros(room - n, np.uint8)])
+            elif k:
+                self.lists[w] = [np.flatnonzero(x).astype(np.int32), k]
+        for w in [w for w, x in self.lists.items() if 8 * x[1] >= n]:
+            ids, k = self.lists.pop(w)
+            rows[w] = np.zeros(room, np.uint8)
+            rows[w][ids[:k]] = 1
+        self.rows = rows
+
+
 def fold_merging(entries: DataFrame, threshold: float = 0.25, keep: float = 0.9) -> DataFrame:
     """A chain of drafts folded into a bank that merges: a draft whose words overlap an entry's by the threshold refines
     the best one (the earliest on ties); where it would lose more than a tenth of the entry's words, the texts are joined.
 
     entries: chain, position, content. Gives chain, id, content, version. Chains fold in parallel, drafts stream by sorted;
-    the current bank is held with an index from words to its entries, so a draft meets only those it shares a word with."""
+    the current bank is held with an index from words to its entries, which counts a draft's overlaps with all of them at once."""
     from loomtrace.functions.text import RANKING_STOPWORDS
 
     stop = frozenset(RANKING_STOPWORDS)
 
     def words(t: str) -> frozenset[str]:
-        return frozenset(w for w in re.findall("[a-z0-9]+", t.lower()) if w not in stop)
+        return frozenset(sys.intern(w) for w in re.findall("[a-z0-9]+", t.lower()) if w not in stop)
 
-    def done(chain: str, bank: list[list]) -> pd.DataFrame:
-        return pd.DataFrame([(chain, f"mem_{i + 1:06d}", e[0], e[1]) for i, e in enumerate(bank)], columns=["chain", "id", "content", "version"])
+    def done(chain: str, bank: list[list]) -> Iterator[pd.DataFrame]:
+        for k in range(0, len(bank), 1000):
+            yield pd.DataFrame([(chain, f"mem_{i + 1:06d}", e[0], e[1]) for i, e in enumerate(bank[k : k + 1000], k)], columns=["chain", "id", "content", "version"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chain, bank, index = None, [], {}
+        chain, bank, index = None, [], Postings()
         for batch in batches:
             for r in batch.itertuples(index=False):
                 if r.chain != chain:
-                    if bank:
-                        yield done(chain, bank)
-                    chain, bank, index = r.chain, [], {}
+                    yield from done(chain, bank)
+                    chain, bank, index = r.chain, [], Postings()
                 text = r.content or ""
-                new = words(text)
-                shared = Counter(i for w in new for i in index.get(w, ()))
-                score = lambda i: shared[i] / (len(new) + len(bank[i][2]) - shared[i])
-                best = min(shared, key=lambda i: (-score(i), i), default=None)
-                if best is None or score(best) < threshold:
+                new, old, best = words(text), frozenset(), len(bank)
+                if new and bank:
+                    shared = index.shared(new)
+                    scores = shared / (len(new) + index.sizes[: len(bank)] - shared)
+                    first = int(scores.argmax())  # the earliest of the best
+                    if shared[first] and scores[first] >= threshold:
+                        best = first
+                if best == len(bank):
                     bank.append([text, 1, new])
-                    best, old = len(bank) - 1, frozenset()
                 else:
                     e = bank[best]
                     old = e[2]
                     joined = shared[best] / len(old) < keep and text not in e[0]
-                    e[0] = f"{e[0]} {text}" if joined else text or e[0]
-                    e[1], e[2] = e[1] + 1, words(e[0])
-                for w in old - bank[best][2]:
-                    index[w].discard(best)
-                for w in bank[best][2] - old:
-                    index.setdefault(w, set()).add(best)
-        if bank:
-            yield done(chain, bank)
+                    # no word goes over the blank between joined texts
+                    e[:] = [f"{e[0]} {text}", e[1] + 1, old | new] if joined else [text, e[1] + 1, new]
+                index.change(best, old, bank[best][2])
+        yield from done(chain, bank)
 
     rows = entries.select("chain", "position", "content").where("chain IS NOT NULL")
     return in_order(rows).mapInPandas(run, "chain STRING, id STRING, content STRING, version INT")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +116,43 @@ def test_crafting_command(spark, reply, want):
 @pytest.mark.parametrize("reply, want", [("go north", "Go North"), ("I will\n`LOOK`\nnow", "look"), ("look around", None), (None, None), ("x" * 5000 + "\ngo NORTH", "Go North")])
 def test_admissible_command(spark, reply, want):
     assert one(spark, rules.admissible_command(F.lit(reply).cast("string"), F.array(F.lit("Go North"), F.lit("look")))) == want
+
+
+def plain_merging(drafts, threshold=0.25, keep=0.9):
+    from loomtrace.functions.text import RANKING_STOPWORDS
+
+    words = lambda t: set(re.findall("[a-z0-9]+", t.lower())) - set(RANKING_STOPWORDS)
+    bank = []
+    for t in drafts:
+        new = words(t)
+        best = max(((len(new & words(e[0])) / len(new | words(e[0])), -i) for i, e in enumerate(bank) if new & words(e[0])), default=(0, 0))
+        if best[0] < threshold:
+            bank.append([t, 1])
+        else:
+            e = bank[-best[1]]
+            old = words(e[0])
+            e[:] = [f"{e[0]} {t}" if len(new & old) / len(old) < keep and t not in e[0] else t, e[1] + 1]
+    return bank
+
+
+def test_a_merging_bank_of_many_entries(spark):
+    rng = random.Random(4)
+    common = [f"c{k}" for k in range(12)]
+    drafts = []
+    for k in range(900):
+        t = rng.sample(common, rng.randint(0, 6)) + [f"r{rng.randrange(6000)}" for _ in range(rng.randint(0, 9))]
+        drafts.append(rng.choice([" ".join(t), " ".join(t).upper(), rng.choice(drafts or [""]), " ".join(rng.choice(drafts or [""]).split()[:4])]))
+    want = plain_merging(drafts)
+    assert len(want) > 256 and max(v for _, v in want) > 3
+    df = spark.createDataFrame([("c", k, t) for k, t in enumerate(drafts)], "chain STRING, position INT, content STRING")
+    got = {r["id"]: [r["content"], r["version"]] for r in banks.fold_merging(df).collect()}
+    assert got == {f"mem_{i + 1:06d}": e for i, e in enumerate(want)}
+
+
+def test_a_long_chain_of_drafts_with_common_words_folds_in_time(spark):
+    common = " ".join(f"c{k}" for k in range(60))
+    df = spark.range(5000).selectExpr("'c' AS chain", "id AS position", f"concat('{common} ', array_join(transform(sequence(1, 150), i -> concat('w', id, 'x', i)), ' ')) AS content").cache()
+    df.count()
+    began = time.time()
+    assert banks.fold_merging(df).count() == 5000
+    assert time.time() - began < 25  # 60 words in all entries: 750 million meetings of a draft and an entry
