@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from loomtrace.operators import near
 from loomtrace.session import cut_lineage
 
 
@@ -73,15 +74,17 @@ def near_duplicates(df: DataFrame, key: str, text: Column, threshold: float = 0.
     Equal texts are one class, named by its least key, and only classes are compared: `links` is how many other classes
     the row's class resembles by n-word runs at the threshold, `other` the earlier one it resembles most (the least on
     ties), null if none. Null texts, and texts without a word, are classes of their own text."""
-    rows = df.where(F.col(key).isNotNull()).select(key, F.coalesce(F.md5(text), F.lit("null")).alias("digest"), text.alias("text"))
+    rows = df.where(F.col(key).isNotNull()).select(key, text.alias("text"))
+    named = F.min(key).over(W.partitionBy("digest"))
+    digest = F.coalesce(F.unhex(F.md5("text")), F.lit(b""))
+    members = cut_lineage(rows.select(key, digest.alias("digest")).withColumn("class_id", named).select(key, "class_id"))
     words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    # kept as words: else the optimizer would find them anew for every run of them
-    classes = cut_lineage(rows.groupBy("digest").agg(F.min(key).alias("class_id"), F.first("text").alias("text")).select("digest", "class_id", words.alias("ws")))
-    pairs = cut_lineage(earlier_overlaps(classes.select("class_id", "ws"), "class_id", shingles(F.col("ws"), n), threshold))
+    firsts = near.only(rows, key, members.where(F.col(key) != F.col("class_id")).select(key), "left_anti")
+    pairs = cut_lineage(near.near_pairs(firsts, key, words, n, threshold, members.count(), BLOCK).withColumnRenamed(key, "class_id"))
     links = pairs.select("class_id").unionByName(pairs.select(F.col("other").alias("class_id"))).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
     best = pairs.groupBy("class_id").agg(F.max(F.struct(F.round("overlap", 9).alias("overlap"), (-F.col("other")).alias("other"))).alias("b"))
-    told = classes.select("digest", "class_id").join(links, "class_id", "left").join(best, "class_id", "left")
-    return rows.select(key, "digest").join(told, "digest").select(key, "class_id", F.coalesce("links", F.lit(0)).alias("links"), (-F.col("b.other")).alias("other"), F.col("b.overlap").alias("overlap"))
+    told = links.join(best, "class_id", "left")
+    return members.join(told, "class_id", "left").select(key, "class_id", F.coalesce("links", F.lit(0)).alias("links"), (-F.col("b.other")).alias("other"), F.col("b.overlap").alias("overlap"))
 
 
 def best_overlap(df: DataFrame, key: str, words: Column, threshold: float = 0.25) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -141,3 +142,58 @@ def test_two_ended_and_marginal_on_long_groups(spark):
     assert all(gain[(g, k)] == s - (2.0 if k == 0 else dict(((h, j), z) for h, j, z, _ in rows)[(g, k - 1)]) for g, k, s, _ in rows)
     near = {(r["g"], r["k"]): r["recent"] for r in windows.recent(df.withColumn("k", F.col("k") + 900), "g", "k", F.col("k"), 20).collect()}
     assert all(near[(g, k + 900)] == [j + 900 for j in range(max(0, k - 20), k)] for g, k, _, _ in rows)
+
+
+@pytest.mark.parametrize("threshold, limits", [(0.8, {"SKETCH_BYTES": 0}), (0.8, {"BROADCAST_KEYS": 0}), (0.5, {}), (0.3, {"WORDS": 50, "HELD": 20, "AT_ONCE": 30})])
+def test_near_duplicates_by_every_way_equal_brute_force(spark, monkeypatch, threshold, limits):
+    from loomtrace.operators import near
+
+    for name, x in limits.items():
+        monkeypatch.setattr(near, name, x)
+    rows = corpus(11)
+    got = {r["doc_id"]: (r["class_id"], r["links"], r["other"]) for r in similarity.near_duplicates(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), "doc_id", F.col("text"), threshold).collect()}
+    assert got == brute(rows, threshold)
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.55, 0.3])
+def test_similar_sets_share_a_signature_and_sketches_leave_room(threshold):
+    from loomtrace.operators import near
+
+    rng = np.random.default_rng(6)
+    sets = []
+    for k in range(300):
+        base = rng.integers(0, 1 << 63, rng.choice([1, 2, 3, 7, 8, 15, 40, 130, 300]), dtype=np.uint64)
+        sets += [base, *(np.unique(np.concatenate([base[: max(1, int(len(base) * rng.uniform(threshold, 1)))], rng.integers(0, 1 << 63, rng.integers(0, 3), dtype=np.uint64)])) for _ in range(2))]
+    sizes, hashes = np.array([len(x) for x in sets]), np.concatenate(sets)
+    row, missed, entry, s, count = near.signatures(sizes, hashes, threshold)
+    order = np.lexsort((s, -count, entry))
+    first = order[near._within(np.bincount(entry, minlength=len(row))) <= missed[entry]]
+    held = [set() for _ in sets]
+    for e, x in zip(entry[first], s[first]):
+        held[row[e]].add(x)
+    look = near.by_bits(np.arange(len(sets)), sizes, np.frombuffer(near.sketches(sizes, hashes), np.uint64))
+    pairs = [(a, b) for k in range(0, len(sets), 3) for a, b in ((k, k + 1), (k, k + 2), (k + 1, k + 2))]
+    alike = [(a, b) for a, b in pairs if len(x := np.intersect1d(sets[a], sets[b])) / (len(sets[a]) + len(sets[b]) - len(x)) >= threshold]
+    assert len(alike) > 300 and all(held[a] & held[b] for a, b in alike)
+    a, b = np.array(alike).T
+    assert near._may(look, (a, sizes[a]), (b, sizes[b]), threshold).all()
+    far = np.arange(0, len(sets) - 3, 3)
+    big = far[(sizes[far] > 100) & (sizes[far + 3] > 100)]
+    assert threshold < 0.8 or len(big) > 5 and not near._may(look, (big, sizes[big]), (big + 3, sizes[big + 3]), threshold).any()
+
+
+def test_near_duplicates_keep_less_on_disk_than_the_texts_are(spark):
+    from urllib.parse import urlparse
+
+    from loomtrace.session import shared_dir
+
+    rng = random.Random(9)
+    told = [" ".join(f"w{rng.randrange(900)}" for _ in range(12)) for _ in range(300)]
+    rows = [(k, " ".join(f"{rng.choice(told)} n{rng.randrange(10**6)}" for _ in range(12))) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    shared_dir(spark)
+    top = Path(urlparse(spark.sparkContext.getCheckpointDir()).path)
+    held = lambda: sum(p.stat().st_size for p in top.rglob("*") if p.is_file())
+    before = held()
+    assert similarity.near_duplicates(df, "doc_id", F.col("text")).count() == len(rows)
+    assert held() - before < sum(len(t) for _, t in rows)
